@@ -7,6 +7,8 @@ GROUPS = (
     "tables",
     "profiles",
     "statistics",
+    "charts",
+    "analyses",
 )
 
 

@@ -320,7 +320,7 @@ def chunk_strategy(spark: SparkSession, folder: str) -> DataFrame:
 
 def notes_sql(notes: list[str], name: str) -> str:
     return (
-        f"WITH listed AS (SELECT dataset, list_filter([{', '.join(notes)}], x -> x IS NOT NULL) AS l "
+        f"WITH listed AS (SELECT dataset, list_filter([{', '.join(notes)}], lambda x: x IS NOT NULL) AS l "
         f"FROM ({OVERVIEWS_SQL})) "
         f"SELECT dataset, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS note_no, "
         f"unnest(l) AS {name} FROM listed"
