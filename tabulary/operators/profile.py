@@ -149,13 +149,14 @@ def _long(row: DataFrame, columns: Sequence[str], cells: Sequence[Column]) -> Da
 
 
 def column_measures(df: DataFrame) -> DataFrame:
-    """One wide pass: counts, text lengths, date-like and number-like shares per column."""
+    """One wide pass: counts, bytes, text lengths, date-like and number-like shares per column."""
     aggregates, cells, names = [F.count(F.lit(1)).alias("_rows")], [], []
     for i, field in enumerate(df.schema.fields):
         value = clean_value(field)
         kind = kind_of(field.dataType)
         names.append(field.name)
         aggregates.append(F.count(value).alias(f"_n{i}"))
+        aggregates.append(F.coalesce(F.sum(cell_bytes(field)), F.lit(0)).alias(f"_b{i}"))
         if kind == "string":
             aggregates += [
                 F.avg(F.length(value)).alias(f"_l{i}"),
@@ -170,6 +171,7 @@ def column_measures(df: DataFrame) -> DataFrame:
                 F.lit(kind).alias("kind"),
                 F.col("_rows").alias("row_count"),
                 F.col(f"_n{i}").alias("non_null"),
+                F.col(f"_b{i}").alias("bytes"),
                 (F.col(f"_l{i}") if measured else F.lit(None).cast("double")).alias("avg_length"),
                 (F.col(f"_m{i}") if measured else F.lit(None).cast("int")).alias("max_length"),
                 (F.col(f"_d{i}") if measured else F.lit(None).cast("double")).alias("date_share"),
@@ -179,13 +181,21 @@ def column_measures(df: DataFrame) -> DataFrame:
     return _long(df.agg(*aggregates), names, cells)
 
 
-def column_profile(df: DataFrame) -> DataFrame:
-    """One row per column: counts, uniqueness, text measures and the class of the column."""
+def column_profile(df: DataFrame, unique_for: Sequence[str] | None = None) -> DataFrame:
+    """One row per column: counts, uniqueness, text measures and the class of the column.
+
+    Distinct values are counted for ``unique_for``, by default for every column.
+    """
     nulls = F.col("row_count") - F.col("non_null")
     unique = F.coalesce(F.col("unique_count"), F.lit(0))
+    wanted = df.columns if unique_for is None else list(unique_for)
+    measures = column_measures(df)
+    if wanted:
+        measures = measures.join(unique_counts(df, wanted), "column", "left")
+    else:
+        measures = measures.withColumn("unique_count", F.lit(None).cast("long"))
     return (
-        column_measures(df)
-        .join(unique_counts(df), "column", "left")
+        measures
         .withColumns(
             {
                 "null_count": nulls,
@@ -212,6 +222,12 @@ def _column_class() -> Column:
     )
 
 
+def column_classes(df: DataFrame) -> DataFrame:
+    """Column profile for its classes only: numbers and times need no distinct count."""
+    undecided = [f.name for f in df.schema.fields if kind_of(f.dataType) in ("string", "other")]
+    return column_profile(df, undecided)
+
+
 def null_profile(df: DataFrame) -> DataFrame:
     """Missing share per column, beside the share of all cells and the column average."""
     cells = column_measures(df).select(
@@ -324,19 +340,21 @@ def sample_values(df: DataFrame, columns: Sequence[str] | None = None, n: int =
 
 def dataset_overview(df: DataFrame) -> DataFrame:
     """One row with sizes, missing shares and the number of columns of each class."""
-    profile = column_profile(df).agg(
+    cells = F.sum("row_count")
+    return column_classes(df).agg(
+        F.coalesce(F.max("row_count"), F.lit(0)).alias("row_count"),
+        F.count(F.lit(1)).alias("column_count"),
+        (F.sum("bytes") / F.lit(1024.0 * 1024.0)).alias("memory_mb"),
+        F.coalesce(F.try_divide(F.sum("non_null"), cells), F.lit(0.0)).alias("data_density"),
         F.count_if(F.col("column_class") == "numeric").alias("numeric_columns"),
         F.count_if(F.col("column_class") == "text").alias("text_columns"),
         F.count_if(F.col("column_class") == "categorical").alias("categorical_columns"),
         F.count_if(F.col("column_class") == "date").alias("date_columns"),
         F.avg("null_pct").alias("avg_null_pct"),
-        (F.sum("null_count") * 100.0 / F.greatest(F.sum("row_count"), F.lit(1))).alias(
+        F.coalesce(F.try_divide(F.sum("null_count") * 100.0, cells), F.lit(0.0)).alias(
             "total_null_pct"
         ),
-        F.lit(1).alias("_one"),
     )
-    sizes = table_profile(df).withColumn("_one", F.lit(1))
-    return sizes.join(profile, "_one").drop("_one")
 
 
 def for_each_dataset(datasets: dict[str, DataFrame], build) -> DataFrame:

@@ -9,6 +9,7 @@ GROUPS = (
     "statistics",
     "charts",
     "analyses",
+    "questions",
 )
 
 
