@@ -10,6 +10,7 @@ GROUPS = (
     "charts",
     "analyses",
     "questions",
+    "searching",
 )
 
 
