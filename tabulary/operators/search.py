@@ -199,9 +199,12 @@ def _topk_pass(
 
 
 def semantic_search(chunks: DataFrame, queries: DataFrame, n: int = 5, **groups) -> DataFrame:
-    """Nearest chunks of every query with their columns; empty documents are left out."""
+    """Nearest chunks of every query with their columns; empty documents are left out.
+
+    The hits are written once, so that measuring them does not search again.
+    """
     filled = chunks.filter(F.length("document") > 0)
-    hits = vector_topk(filled, queries, n, **groups)
+    hits = written(vector_topk(filled, queries, n, **groups), "hits")
     return small_side(hits).join(filled.drop("embedding"), "id")
 
 

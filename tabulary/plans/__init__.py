@@ -11,6 +11,8 @@ GROUPS = (
     "analyses",
     "questions",
     "searching",
+    "chunking",
+    "talks",
 )
 
 
