@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -88,6 +90,29 @@ def cell_text(field: T.StructField) -> Column:
     return clean_value(field).cast("string")
 
 
+def name_at(names: Sequence[str], position: Column) -> Column:
+    """The name at a zero-based position of a fixed list."""
+    return F.get(F.array(*[F.lit(name) for name in names]), position)
+
+
+def stacked(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Numbers of several columns below each other: ``(keep..., column_no, value)``.
+
+    One narrow row per cell keeps the aggregates behind it small and compiled, however
+    many columns there are.
+    """
+    cells = F.array(*[as_double(df.schema[name]) for name in columns])
+    return df.select(
+        *[quoted(name) for name in keep], F.posexplode(cells).alias("column_no", "value")
+    )
+
+
+def column_list(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The fixed list ``(column_no, column)``, a few rows for broadcasting."""
+    rows = list(enumerate(columns))
+    return F.broadcast(df.sparkSession.createDataFrame(rows, "column_no int, column string"))
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast if it has at most ``rows`` rows.
 

@@ -11,7 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabulary.functions.columns import as_double, numeric_columns, quoted, small_side
+from tabulary.functions.columns import (
+    as_double,
+    name_at,
+    numeric_columns,
+    quoted,
+    small_side,
+    stacked,
+)
 from tabulary.operators.quantiles import quantile_struct
 from tabulary.operators.rowindex import with_row_index
 
@@ -23,37 +30,40 @@ BOX_CATEGORIES = 10
 SUGGESTIONS = 8
 
 
-def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
-    """Equal-width bins over the value range, empty ones included, the last one closed.
+def histograms(
+    df: DataFrame, columns: Sequence[str], bins: int = HISTOGRAM_BINS
+) -> DataFrame:
+    """Equal-width bins over each value range, empty ones included, the last one closed.
 
-    A constant column has the single bin 0.
+    A constant column has the single bin 0. Ranges are a few numbers per column.
     """
-    value = as_double(df.schema[column])
-    bounds = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"))).scalar()
-    lo, width = bounds["lo"], (bounds["hi"] - bounds["lo"]) / F.lit(float(bins))
-    bin_no = F.when(width > 0, F.least(F.floor((value - lo) / width), F.lit(bins - 1))).otherwise(
-        F.lit(0)
+    values = stacked(df, columns).filter(F.col("value").isNotNull())
+    width = (F.max("value") - F.min("value")) / F.lit(float(bins))
+    ranges = small_side(
+        values.groupBy("column_no").agg(F.min("value").alias("_lo"), width.alias("_width"))
     )
+    place = F.least(F.floor((F.col("value") - F.col("_lo")) / F.col("_width")), F.lit(bins - 1))
     counted = (
-        df.filter(value.isNotNull())
-        .select(bin_no.cast("int").alias("bin"))
-        .groupBy("bin")
+        values.join(ranges, "column_no")
+        .select("column_no", F.when(F.col("_width") > 0, place).otherwise(0).cast("int").alias("bin"))
+        .groupBy("column_no", "bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    last = F.when(width > 0, F.lit(bins - 1)).otherwise(F.lit(0))
-    frame = (
-        df.sparkSession.range(bins)
-        .select(F.col("id").cast("int").alias("bin"))
-        .filter(lo.isNotNull() & (F.col("bin") <= last))
-    )
-    return frame.join(counted, "bin", "left").select(
+    last = F.when(F.col("_width") > 0, F.lit(bins - 1)).otherwise(F.lit(0))
+    frame = ranges.select("*", F.explode(F.sequence(F.lit(0), last)).alias("bin"))
+    return frame.join(counted, ["column_no", "bin"], "left").select(
+        name_at(columns, F.col("column_no")).alias("column"),
         "bin",
-        (lo + F.col("bin") * width).alias("bin_start"),
-        (lo + (F.col("bin") + 1) * width).alias("bin_end"),
+        (F.col("_lo") + F.col("bin") * F.col("_width")).alias("bin_start"),
+        (F.col("_lo") + (F.col("bin") + 1) * F.col("_width")).alias("bin_end"),
         F.coalesce("n", F.lit(0)).alias("n"),
     )
 
 
+def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
+    return histograms(df, [column], bins).drop("column")
+
+
 def bar_counts(df: DataFrame, column: str, top: int | None = BAR_CATEGORIES) -> DataFrame:
     """Rows per value, most frequent first; equal counts in value order."""
     value = quoted(column)

@@ -18,6 +18,7 @@ from tabulary.functions.columns import (
     cell_bytes,
     cell_text,
     clean_value,
+    column_list,
     kind_of,
     quoted,
     string_columns,
@@ -135,50 +136,47 @@ def unique_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
     )
 
 
-def _long(row: DataFrame, columns: Sequence[str], cells: Sequence[Column]) -> DataFrame:
-    """One row per column out of a one-row frame."""
-    marked = [
-        F.struct(
-            F.lit(name).alias("column"), F.lit(i).alias("position"), cell.alias("_s")
-        )
-        for i, (name, cell) in enumerate(zip(columns, cells))
-    ]
-    return row.select(F.explode(F.array(*marked)).alias("_m")).select(
-        "_m.column", "_m.position", "_m._s.*"
-    )
-
-
 def column_measures(df: DataFrame) -> DataFrame:
-    """One wide pass: counts, bytes, text lengths, date-like and number-like shares per column."""
-    aggregates, cells, names = [F.count(F.lit(1)).alias("_rows")], [], []
+    """One pass: counts, bytes, text lengths, date-like and number-like shares per column.
+
+    Each cell becomes one narrow row of numbers, so no text is moved and the aggregate
+    stays compiled however many columns there are.
+    """
+    nothing = F.lit(None).cast("int")
+    cells, known = [], []
     for i, field in enumerate(df.schema.fields):
         value = clean_value(field)
         kind = kind_of(field.dataType)
-        names.append(field.name)
-        aggregates.append(F.count(value).alias(f"_n{i}"))
-        aggregates.append(F.coalesce(F.sum(cell_bytes(field)), F.lit(0)).alias(f"_b{i}"))
-        if kind == "string":
-            aggregates += [
-                F.avg(F.length(value)).alias(f"_l{i}"),
-                F.max(F.length(value)).alias(f"_m{i}"),
-                F.avg(value.rlike(DATE_PATTERN).cast("double")).alias(f"_d{i}"),
-                F.avg(value.rlike(NUMBER_PATTERN).cast("double")).alias(f"_x{i}"),
-            ]
-        measured = kind == "string"
+        text = kind == "string"
+        known.append((i, field.name, field.dataType.simpleString(), kind))
         cells.append(
             F.struct(
-                F.lit(field.dataType.simpleString()).alias("data_type"),
-                F.lit(kind).alias("kind"),
-                F.col("_rows").alias("row_count"),
-                F.col(f"_n{i}").alias("non_null"),
-                F.col(f"_b{i}").alias("bytes"),
-                (F.col(f"_l{i}") if measured else F.lit(None).cast("double")).alias("avg_length"),
-                (F.col(f"_m{i}") if measured else F.lit(None).cast("int")).alias("max_length"),
-                (F.col(f"_d{i}") if measured else F.lit(None).cast("double")).alias("date_share"),
-                (F.col(f"_x{i}") if measured else F.lit(None).cast("double")).alias("number_share"),
+                value.isNotNull().alias("filled"),
+                cell_bytes(field).alias("bytes"),
+                (F.length(value) if text else nothing).alias("length"),
+                (value.rlike(DATE_PATTERN).cast("int") if text else nothing).alias("dated"),
+                (value.rlike(NUMBER_PATTERN).cast("int") if text else nothing).alias("numbered"),
             )
         )
-    return _long(df.agg(*aggregates), names, cells)
+    measured = (
+        df.select(F.posexplode(F.array(*cells)).alias("position", "_cell"))
+        .select("position", "_cell.*")
+        .groupBy("position")
+        .agg(
+            F.count(F.lit(1)).alias("row_count"),
+            F.count_if("filled").alias("non_null"),
+            F.sum("bytes").alias("bytes"),
+            F.avg("length").alias("avg_length"),
+            F.max("length").alias("max_length"),
+            F.avg("dated").alias("date_share"),
+            F.avg("numbered").alias("number_share"),
+        )
+    )
+    names = df.sparkSession.createDataFrame(
+        known, "position int, column string, data_type string, kind string"
+    )
+    zeros = {name: F.coalesce(name, F.lit(0)) for name in ("row_count", "non_null", "bytes")}
+    return F.broadcast(names).join(measured, "position", "left").withColumns(zeros)
 
 
 def column_profile(df: DataFrame, unique_for: Sequence[str] | None = None) -> DataFrame:
@@ -257,12 +255,7 @@ def unique_ratio(df: DataFrame) -> DataFrame:
     counted = value_frequency(df).groupBy("column").agg(
         F.count(F.lit(1)).alias("unique_count"), F.sum("n").alias("non_null")
     )
-    every = _long(
-        df.agg(F.count(F.lit(1)).alias("_rows")),
-        df.columns,
-        [F.struct(F.col("_rows").alias("rows")) for _ in df.columns],
-    ).select("column")
-    return every.join(counted, "column", "left").select(
+    return column_list(df, df.columns).join(counted, "column", "left").select(
         "column",
         F.coalesce("unique_count", F.lit(0)).alias("unique_count"),
         F.coalesce("non_null", F.lit(0)).alias("non_null"),

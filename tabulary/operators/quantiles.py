@@ -12,9 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tabulary.functions.columns import as_double, quoted, small_side
+from tabulary.functions.columns import name_at, quoted, small_side, stacked
 
 _MIN_ACCURACY = 10_000
 _MAX_ACCURACY = 1_000_000
@@ -36,73 +35,48 @@ def exact_quantiles(
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Rows ``(by..., column, probability, value)``; missing values are skipped."""
-    fields = {field.name: field for field in df.schema.fields}
     by = list(by)
-    values = df.select(
-        *[quoted(name) for name in by],
-        *[as_double(fields[name]).alias(f"_v{i}") for i, name in enumerate(columns)],
-    )
+    group_names = [quoted(name) for name in by]
+    values = stacked(df, columns, by).filter(F.col("value").isNotNull())
     accuracy = _accuracy(df)
     slack = 2.0 / accuracy
     lows = [max(0.0, p - slack) for p in probabilities]
     highs = [min(1.0, p + slack) for p in probabilities]
-    sketches = values.groupBy(*by).agg(
-        *[
-            F.percentile_approx(f"_v{i}", lows + highs, accuracy).alias(f"_b{i}")
-            for i in range(len(columns))
-        ]
+    sketches = values.groupBy(*group_names, "column_no").agg(
+        F.percentile_approx("value", lows + highs, accuracy).alias("_bracket")
     )
-    if by:
-        brackets = small_side(sketches)
-        keys = [f"_k{j}" for j in range(len(by))]
-        brackets = brackets.select(
-            *[quoted(name).alias(key) for name, key in zip(by, keys)],
-            *[f"_b{i}" for i in range(len(columns))],
-        )
-        matched = F.lit(True)
-        for name, key in zip(by, keys):
-            matched = matched & quoted(name).eqNullSafe(F.col(key))
-        placed = values.join(brackets, matched).drop(*keys)
-    else:
-        row = sketches.first()
-        placed = values.withColumns(
-            {
-                f"_b{i}": F.array(*[F.lit(v) for v in row[f"_b{i}"]]).cast("array<double>")
-                if row[f"_b{i}"] is not None
-                else F.lit(None).cast("array<double>")
-                for i in range(len(columns))
-            }
-        )
-
+    keys = [f"_k{j}" for j in range(len(by))]
+    brackets = small_side(sketches).select(
+        *[quoted(name).alias(key) for name, key in zip(by, keys)],
+        F.col("column_no").alias("_c"),
+        "_bracket",
+    )
+    matched = F.col("column_no") == F.col("_c")
+    for name, key in zip(by, keys):
+        matched = matched & quoted(name).eqNullSafe(F.col(key))
     wide = len(probabilities)
-    marks = []
-    for i, name in enumerate(columns):
-        value = F.col(f"_v{i}")
-        for j, p in enumerate(probabilities):
-            low, high = F.col(f"_b{i}")[j], F.col(f"_b{i}")[wide + j]
-            zone = F.when(value < low, BELOW).when(value > high, ABOVE).otherwise(INSIDE)
-            marks.append(
-                F.struct(
-                    F.lit(name).alias("column"),
-                    F.lit(float(p)).alias("probability"),
-                    zone.alias("_zone"),
-                    value.alias("_v"),
-                )
-            )
-    spread = placed.select(*[quoted(n) for n in by], F.explode(F.array(*marks)).alias("_m"))
-    spread = spread.select(*[quoted(n) for n in by], "_m.*").filter(F.col("_v").isNotNull())
-    group = [*[quoted(n) for n in by], F.col("column"), F.col("probability")]
-    slot = F.when(F.col("_zone") == INSIDE, F.col("_v")).otherwise(F.lit(0.0)).alias("_slot")
+    wanted = F.explode(F.array(*[F.lit(i) for i in range(wide)])).alias("_p")
+    spread = values.join(brackets, matched).select(
+        *group_names, "column_no", "value", "_bracket", wanted
+    )
+    low, high = F.col("_bracket")[F.col("_p")], F.col("_bracket")[F.col("_p") + wide]
+    spread = spread.withColumn(
+        "_zone",
+        F.when(F.col("value") < low, BELOW).when(F.col("value") > high, ABOVE).otherwise(INSIDE),
+    )
+    group = [*group_names, F.col("column_no"), F.col("_p")]
+    slot = F.when(F.col("_zone") == INSIDE, F.col("value")).otherwise(F.lit(0.0)).alias("_slot")
     counted = spread.groupBy(*group, "_zone", slot).agg(
         F.count(F.lit(1)).alias("_rows"),
-        F.min("_v").alias("_least"),
-        F.max("_v").alias("_most"),
+        F.min("value").alias("_least"),
+        F.max("value").alias("_most"),
     )
     ordered = W.partitionBy(*group).orderBy("_zone", "_slot")
     upto = counted.withColumn("_end", F.sum("_rows").over(ordered)).withColumn(
         "_all", F.sum("_rows").over(W.partitionBy(*group))
     )
-    position = (F.col("_all") - 1) * F.col("probability")
+    chances = F.array(*[F.lit(float(p)) for p in probabilities])
+    position = (F.col("_all") - 1) * F.get(chances, F.col("_p"))
     ranked = upto.withColumns(
         {
             "_start": F.col("_end") - F.col("_rows"),
@@ -121,7 +95,12 @@ def exact_quantiles(
     value = F.when(missed, F.raise_error(F.lit("quantile fell outside its bracket"))).otherwise(
         lower + (upper - lower) * F.col("_share")
     )
-    return found.select(*group, value.cast("double").alias("value"))
+    return found.select(
+        *group_names,
+        name_at(columns, F.col("column_no")).alias("column"),
+        F.get(chances, F.col("_p")).alias("probability"),
+        value.cast("double").alias("value"),
+    )
 
 
 def _value_at(rank: Column) -> Column:

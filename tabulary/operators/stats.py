@@ -8,7 +8,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulary.functions.columns import as_double, clean_value, numeric_columns, quoted
+from tabulary.functions.columns import (
+    as_double,
+    clean_value,
+    column_list,
+    name_at,
+    numeric_columns,
+    quoted,
+    small_side,
+    stacked,
+)
 from tabulary.operators.quantiles import exact_quantiles, quantile_struct
 
 # Accepted names of a statistic and the name each one stands for.
@@ -52,29 +61,23 @@ def column_stat(df: DataFrame, column: str, stat: str) -> DataFrame:
     )
 
 
-def additive_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All additive statistics of all columns from one pass, in long form."""
-    row = df.agg(
-        *[
-            F.struct(
-                *[
-                    build(as_double(df.schema[name])).cast("double").alias(stat)
-                    for stat, build in ADDITIVE.items()
-                ]
-            ).alias(f"_c{i}")
-            for i, name in enumerate(columns)
-        ]
+def additive_wide(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """All additive statistics from one pass, one row per column."""
+    measured = (
+        stacked(df, columns)
+        .groupBy("column_no")
+        .agg(*[build(F.col("value")).cast("double").alias(s) for s, build in ADDITIVE.items()])
+    )
+    named = column_list(df, columns).join(measured, "column_no", "left")
+    return named.select(
+        "column",
+        *[F.coalesce(s, F.lit(0.0)).alias(s) if s in ("sum", "count") else s for s in ADDITIVE],
     )
-    cells = [
-        F.struct(
-            F.lit(name).alias("column"),
-            F.lit(stat).alias("stat"),
-            F.col(f"_c{i}")[stat].alias("value"),
-        )
-        for i, name in enumerate(columns)
-        for stat in ADDITIVE
-    ]
-    return row.select(F.explode(F.array(*cells)).alias("_s")).select("_s.*")
+
+
+def additive_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The same in long form: ``(column, stat, value)``."""
+    return additive_wide(df, columns).unpivot(["column"], list(ADDITIVE), "stat", "value")
 
 
 def stats_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -89,13 +92,7 @@ def stats_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Count, mean, deviation, extremes and exact quartiles, one row per column."""
     columns = list(columns or numeric_columns(df))
-    wanted = ["count", "mean", "std", "min", "max"]
-    wide = (
-        additive_stats(df, columns)
-        .filter(F.col("stat").isin(*wanted))
-        .groupBy("column")
-        .agg(*[F.max(F.when(F.col("stat") == s, F.col("value"))).alias(s) for s in wanted])
-    )
+    wide = additive_wide(df, columns).select("column", "count", "mean", "std", "min", "max")
     return wide.join(quantile_struct(df, columns), "column", "left")
 
 
@@ -169,24 +166,31 @@ def correlation_pair(df: DataFrame, x: str, y: str) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson correlations ``(column_a, column_b, correlation)``."""
     columns = list(columns or numeric_columns(df))
-    cells = []
-    aggregates = []
-    for i, a in enumerate(columns):
-        for j in range(i, len(columns)):
-            name = f"_r{i}_{j}"
-            x, y = as_double(df.schema[a]), as_double(df.schema[columns[j]])
-            aggregates.append(F.corr(x, y).alias(name))
-            pairs = [(a, columns[j])] if i == j else [(a, columns[j]), (columns[j], a)]
-            cells += [
-                F.struct(
-                    F.lit(left).alias("column_a"),
-                    F.lit(right).alias("column_b"),
-                    F.col(name).alias("correlation"),
-                )
-                for left, right in pairs
-            ]
-    row = df.agg(*aggregates)
-    return row.select(F.explode(F.array(*cells)).alias("_s")).select("_s.*")
+    numbers = range(len(columns))
+    pairs = F.array(
+        *[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b")) for i in numbers for j in numbers if i <= j]
+    )
+    cells = F.array(*[as_double(df.schema[name]) for name in columns])
+    paired = df.select(cells.alias("_v"), F.explode(pairs).alias("_p")).select(
+        F.col("_p.a").alias("a"),
+        F.col("_p.b").alias("b"),
+        F.get("_v", F.col("_p.a")).alias("x"),
+        F.get("_v", F.col("_p.b")).alias("y"),
+    )
+    found = paired.groupBy("a", "b").agg(F.corr("x", "y").alias("correlation"))
+    sides = F.when(
+        F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("l"), F.col("b").alias("r")))
+    ).otherwise(
+        F.array(
+            F.struct(F.col("a").alias("l"), F.col("b").alias("r")),
+            F.struct(F.col("b").alias("l"), F.col("a").alias("r")),
+        )
+    )
+    return found.select("correlation", F.explode(sides).alias("_s")).select(
+        name_at(columns, F.col("_s.l")).alias("column_a"),
+        name_at(columns, F.col("_s.r")).alias("column_b"),
+        "correlation",
+    )
 
 
 def outlier_fences(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -212,7 +216,7 @@ def analyze_statistics(
     analysis_types: Sequence[str] = ("descriptive", "correlation", "distribution"),
 ) -> DataFrame:
     """Chosen analyses in one long frame ``(analysis_type, column, item, value)``."""
-    from tabulary.operators.charts import histogram
+    from tabulary.operators.charts import histograms
 
     columns = list(columns or numeric_columns(df))
     parts = []
@@ -237,15 +241,14 @@ def analyze_statistics(
             )
         )
     if "distribution" in analysis_types:
-        for name in columns:
-            parts.append(
-                histogram(df, name).select(
-                    F.lit("distribution").alias("analysis_type"),
-                    F.lit(name).alias("column"),
-                    F.concat(F.lit("bin "), F.col("bin").cast("string")).alias("item"),
-                    F.col("n").cast("double").alias("value"),
-                )
+        parts.append(
+            histograms(df, columns).select(
+                F.lit("distribution").alias("analysis_type"),
+                "column",
+                F.concat(F.lit("bin "), F.col("bin").cast("string")).alias("item"),
+                F.col("n").cast("double").alias("value"),
             )
+        )
     if "outliers" in analysis_types:
         parts.append(outlier_summary(df, columns))
     return reduce(DataFrame.unionByName, [part.select(*shape) for part in parts])
@@ -253,25 +256,18 @@ def analyze_statistics(
 
 def outlier_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Number of values outside the fences of each column, in one pass."""
-    fences = {row["column"]: row for row in outlier_fences(df, columns).collect()}
-    counts = df.agg(
-        *[
-            F.count_if(
-                (as_double(df.schema[name]) < F.lit(fences[name]["low_fence"]))
-                | (as_double(df.schema[name]) > F.lit(fences[name]["high_fence"]))
-            ).alias(f"_c{i}")
-            for i, name in enumerate(columns)
-            if name in fences
-        ]
-    )
-    cells = [
-        F.struct(F.lit(name).alias("column"), F.col(f"_c{i}").cast("double").alias("value"))
-        for i, name in enumerate(columns)
-        if name in fences
-    ]
-    return counts.select(F.explode(F.array(*cells)).alias("_s")).select(
-        F.lit("outliers").alias("analysis_type"),
-        "_s.column",
-        F.lit("outlier_count").alias("item"),
-        "_s.value",
+    fences = small_side(outlier_fences(df, columns).select("column", "low_fence", "high_fence"))
+    outside = (F.col("value") < F.col("low_fence")) | (F.col("value") > F.col("high_fence"))
+    return (
+        stacked(df, columns)
+        .join(column_list(df, columns), "column_no")
+        .join(fences, "column")
+        .groupBy("column")
+        .agg(F.count_if(outside).cast("double").alias("value"))
+        .select(
+            F.lit("outliers").alias("analysis_type"),
+            "column",
+            F.lit("outlier_count").alias("item"),
+            "value",
+        )
     )
