@@ -113,13 +113,14 @@ def column_list(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, "column_no int, column string"))
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if it has at most ``rows`` rows.
+def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Mark ``df`` for broadcast if it has at most ``rows`` (``BROADCAST_ROWS``) rows.
 
     At most ``rows + 1`` rows are fetched. A larger frame is returned as it is and
     joins by shuffle, where adaptive execution splits hot keys.
     """
-    fetched = df.limit(rows + 1).collect()
-    if len(fetched) > rows:
+    most = BROADCAST_ROWS if rows is None else rows
+    fetched = df.limit(most + 1).collect()
+    if len(fetched) > most:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(fetched, df.schema))

@@ -71,7 +71,11 @@ def exact_quantiles(
         F.min("value").alias("_least"),
         F.max("value").alias("_most"),
     )
-    ordered = W.partitionBy(*group).orderBy("_zone", "_slot")
+    ordered = (
+        W.partitionBy(*group)
+        .orderBy("_zone", "_slot")
+        .rowsBetween(W.unboundedPreceding, W.currentRow)
+    )
     upto = counted.withColumn("_end", F.sum("_rows").over(ordered)).withColumn(
         "_all", F.sum("_rows").over(W.partitionBy(*group))
     )

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabulary.functions.columns import as_double, numeric_columns, quoted
+from tabulary.functions.columns import as_double, numeric_columns, quoted, small_side
 from tabulary.functions.text import strip, tokens
 from tabulary.operators.stats import STAT_ALIASES, stats_table
 from tabulary.operators.thresholds import counts_at_thresholds
@@ -474,13 +474,14 @@ def answer_questions(
     ]
     conditional = F.col("op") == "conditional_count"
     mapped = map_column_name(F.col("target"), columns)
-    resolved = tagged.withColumn(
-        "column", F.when(conditional, _first(by_entity, mapped)).otherwise(mapped)
-    )
+    meant = F.when(conditional, _first(by_entity, mapped)).otherwise(mapped)
+    # as above: exploding one name keeps the joins from working it out again and again
+    resolved = tagged.select("*", F.explode(F.array(meant)).alias("column"))
     conditions = resolved.filter(
         conditional & F.col("column").isin(*numeric_columns(dataset))
     ).select("column", F.col("cond_value").alias("threshold"))
-    counts = counts_at_thresholds(dataset, conditions).withColumnRenamed("column", "_ccol")
+    counts = small_side(counts_at_thresholds(dataset, conditions))
+    counts = counts.withColumnRenamed("column", "_ccol")
     facts = F.broadcast(
         dataset_facts(dataset, name_column, key_column)
         .withColumnRenamed("column", "_fcol")

@@ -19,7 +19,9 @@ BLOCK = 100_000  # thresholds one pass keeps in memory
 _COUNTS = "column string, threshold double, below long, equal long, above long"
 
 
-def counts_at_thresholds(df: DataFrame, conditions: DataFrame, block: int = BLOCK) -> DataFrame:
+def counts_at_thresholds(
+    df: DataFrame, conditions: DataFrame, block: int = BLOCK
+) -> DataFrame:
     """Counts for the distinct ``(column, threshold)`` rows of ``conditions``.
 
     Every task places its values among the sorted thresholds and hands on one count per

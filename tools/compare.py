@@ -82,7 +82,7 @@ def main() -> int:
     catalogue = load()
     spark = build_session(
         "compare", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
-        spark__driver__memory="8g",
+        spark__driver__memory="8g", spark__ui__showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
     connection = duck(folder, catalogue.TABLES)
