@@ -20,6 +20,7 @@ from tabulary.functions.columns import (
     clean_value,
     column_list,
     kind_of,
+    name_at,
     quoted,
     string_columns,
 )
@@ -84,42 +85,47 @@ def table_profile(df: DataFrame) -> DataFrame:
 
 
 def value_frequency(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Counts of every distinct value of every column, from one scan and one shuffle.
+    """Counts of every distinct value of every column: ``(column, value_..., n)``.
 
-    Whole numbers, fractions and the rest keep a slot of their own, so that numbers are
-    grouped as numbers and no cell is formatted before it has been counted. Null cells
-    are left out. Equal values meet on the map side first, so a hot value is no hot task.
+    Whole numbers, fractions and the rest are counted apart, so that numbers are grouped as
+    numbers and no cell is formatted before it has been counted; each part reads only its
+    own columns. Null cells are left out. Equal values meet on the map side first, so a hot
+    value is no hot task.
     """
-    cells = []
+    slots = {"long": [], "double": [], "string": []}
     for field in _fields(df, columns):
-        value = clean_value(field)
-        whole = isinstance(field.dataType, (T.IntegralType, T.BooleanType))
-        fraction = isinstance(field.dataType, (T.FloatType, T.DoubleType))
-        cells.append(
-            F.struct(
-                F.lit(field.name).alias("column"),
-                (value.cast("long") if whole else F.lit(None).cast("long")).alias("value_long"),
-                (value.cast("double") if fraction else F.lit(None).cast("double")).alias(
-                    "value_double"
-                ),
-                (F.lit(None).cast("string") if whole or fraction else value.cast("string")).alias(
-                    "value_text"
-                ),
+        slots[_slot_of(field.dataType)].append(field)
+    parts = []
+    for kind, fields in slots.items():
+        if not fields:
+            continue
+        cells = F.array(*[clean_value(field).cast(kind) for field in fields])
+        counted = (
+            df.select(F.posexplode(cells).alias("column_no", "value"))
+            .filter(F.col("value").isNotNull())
+            .groupBy("column_no", "value")
+            .agg(F.count(F.lit(1)).alias("n"))
+        )
+
+        def slot(wanted: str, held: str = kind) -> Column:
+            return F.col("value") if held == wanted else F.lit(None).cast(wanted)
+
+        parts.append(
+            counted.select(
+                name_at([field.name for field in fields], F.col("column_no")).alias("column"),
+                slot("long").alias("value_long"),
+                slot("double").alias("value_double"),
+                slot("string").alias("value_text"),
+                "n",
             )
         )
-    cell = F.col("_cell")
-    filled = (
-        cell["value_long"].isNotNull()
-        | cell["value_double"].isNotNull()
-        | cell["value_text"].isNotNull()
-    )
-    return (
-        df.select(F.explode(F.array(*cells)).alias("_cell"))
-        .filter(filled)
-        .select("_cell.*")
-        .groupBy("column", "value_long", "value_double", "value_text")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _slot_of(data_type: T.DataType) -> str:
+    if isinstance(data_type, (T.IntegralType, T.BooleanType)):
+        return "long"
+    return "double" if isinstance(data_type, (T.FloatType, T.DoubleType)) else "string"
 
 
 def value_as_text() -> Column:

@@ -8,6 +8,7 @@ and keeps only the values inside it, so that the last step sorts a small slice.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,6 +21,7 @@ _MAX_ACCURACY = 1_000_000
 _SLICE_ROWS = 1_000_000  # aim for the number of rows inside one bracket
 
 BELOW, INSIDE, ABOVE = 0, 1, 2
+ZONES = 3
 
 
 def _accuracy(df: DataFrame) -> int:
@@ -55,21 +57,33 @@ def exact_quantiles(
     for name, key in zip(by, keys):
         matched = matched & quoted(name).eqNullSafe(F.col(key))
     wide = len(probabilities)
-    wanted = F.explode(F.array(*[F.lit(i) for i in range(wide)])).alias("_p")
-    spread = values.join(brackets, matched).select(
-        *group_names, "column_no", "value", "_bracket", wanted
+    zones = []
+    for i in range(wide):
+        low, high = F.col("_bracket")[i], F.col("_bracket")[i + wide]
+        zones.append(
+            F.when(F.col("value") < low, BELOW).when(F.col("value") > high, ABOVE).otherwise(INSIDE)
+        )
+    # one code per value says where it lies for every quantile; only values inside some
+    # bracket are told apart, all others are counted per code on the map side
+    code = reduce(lambda total, zone: total * ZONES + zone, zones)
+    within = reduce(lambda found, zone: found | (zone == INSIDE), zones, F.lit(False))
+    coded = values.join(brackets, matched).groupBy(
+        *group_names,
+        "column_no",
+        code.alias("_code"),
+        F.when(within, F.col("value")).otherwise(F.lit(0.0)).alias("_cell"),
+    )
+    tallied = coded.agg(
+        F.count(F.lit(1)).alias("_n"), F.min("value").alias("_min"), F.max("value").alias("_max")
     )
-    low, high = F.col("_bracket")[F.col("_p")], F.col("_bracket")[F.col("_p") + wide]
-    spread = spread.withColumn(
-        "_zone",
-        F.when(F.col("value") < low, BELOW).when(F.col("value") > high, ABOVE).otherwise(INSIDE),
+    divisors = F.array(*[F.lit(ZONES ** (wide - 1 - i)) for i in range(wide)])
+    spread = tallied.select("*", F.posexplode(divisors).alias("_p", "_divisor")).withColumn(
+        "_zone", (F.floor(F.col("_code") / F.col("_divisor")) % ZONES).cast("int")
     )
     group = [*group_names, F.col("column_no"), F.col("_p")]
-    slot = F.when(F.col("_zone") == INSIDE, F.col("value")).otherwise(F.lit(0.0)).alias("_slot")
+    slot = F.when(F.col("_zone") == INSIDE, F.col("_cell")).otherwise(F.lit(0.0)).alias("_slot")
     counted = spread.groupBy(*group, "_zone", slot).agg(
-        F.count(F.lit(1)).alias("_rows"),
-        F.min("value").alias("_least"),
-        F.max("value").alias("_most"),
+        F.sum("_n").alias("_rows"), F.min("_min").alias("_least"), F.max("_max").alias("_most")
     )
     ordered = (
         W.partitionBy(*group)

@@ -13,6 +13,7 @@ from tabulary.functions.columns import as_double, numeric_columns, quoted, small
 from tabulary.functions.text import strip, tokens
 from tabulary.operators.stats import STAT_ALIASES, stats_table
 from tabulary.operators.thresholds import counts_at_thresholds
+from tabulary.session import written
 
 # Question patterns in the order in which they are tried.
 STATISTICAL_PATTERNS = (
@@ -475,8 +476,8 @@ def answer_questions(
     conditional = F.col("op") == "conditional_count"
     mapped = map_column_name(F.col("target"), columns)
     meant = F.when(conditional, _first(by_entity, mapped)).otherwise(mapped)
-    # as above: exploding one name keeps the joins from working it out again and again
-    resolved = tagged.select("*", F.explode(F.array(meant)).alias("column"))
+    # written once: both the conditions and the answers start from the tagged questions
+    resolved = written(tagged.withColumn("column", meant), "questions")
     conditions = resolved.filter(
         conditional & F.col("column").isin(*numeric_columns(dataset))
     ).select("column", F.col("cond_value").alias("threshold"))
