@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulary.session import written
+
 BROADCAST_ROWS = 10_000
 
 _WIDTHS = {
@@ -113,13 +115,16 @@ def column_list(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(rows, "column_no int, column string"))
 
 
-def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
+def small_side(df: DataFrame, rows: int | None = None, store: bool = False) -> DataFrame:
     """Mark ``df`` for broadcast if it has at most ``rows`` (``BROADCAST_ROWS``) rows.
 
-    At most ``rows + 1`` rows are fetched. A larger frame is returned as it is and
-    joins by shuffle, where adaptive execution splits hot keys.
+    At most ``rows + 1`` rows are fetched. A larger frame joins by shuffle, where adaptive
+    execution splits hot keys. With ``store`` the frame is written first: use it where the
+    number of rows has no known bound, so that a large frame is not worked out twice.
     """
     most = BROADCAST_ROWS if rows is None else rows
+    if store:
+        df = written(df, "side")
     fetched = df.limit(most + 1).collect()
     if len(fetched) > most:
         return df

@@ -119,7 +119,7 @@ def scatter_hue(df: DataFrame, x: str, y: str, hue: str) -> DataFrame:
     points = df.filter(a.isNotNull() & b.isNotNull()).select(
         a.alias("x"), b.alias("y"), quoted(hue).alias("hue")
     )
-    lines = small_side(trend_line(points, "x", "y", ["hue"])).withColumnRenamed("hue", "_hue")
+    lines = small_side(trend_line(points, "x", "y", ["hue"]), store=True).withColumnRenamed("hue", "_hue")
     return points.join(lines, F.col("hue").eqNullSafe(F.col("_hue")), "left").select(
         "x", "y", "hue", (F.col("slope") * F.col("x") + F.col("intercept")).alias("trend")
     )
@@ -150,7 +150,7 @@ def time_series(df: DataFrame, time: str, unit: str, **aggregates: Column) -> Da
 def box_stats(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     """Quartiles, whiskers at the last values inside 1.5 interquartile ranges, fliers."""
     value = as_double(df.schema[column])
-    quartiles = small_side(quantile_struct(df, [column], by).drop("column"))
+    quartiles = small_side(quantile_struct(df, [column], by).drop("column"), store=bool(by))
     keys = [f"_k{i}" for i in range(len(by))]
     renamed = quartiles.select(
         *[quoted(n).alias(k) for n, k in zip(by, keys)], "q1", "median", "q3"

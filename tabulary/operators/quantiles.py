@@ -48,7 +48,7 @@ def exact_quantiles(
         F.percentile_approx("value", lows + highs, accuracy).alias("_bracket")
     )
     keys = [f"_k{j}" for j in range(len(by))]
-    brackets = small_side(sketches).select(
+    brackets = small_side(sketches, store=bool(by)).select(
         *[quoted(name).alias(key) for name, key in zip(by, keys)],
         F.col("column_no").alias("_c"),
         "_bracket",

@@ -204,8 +204,8 @@ def semantic_search(chunks: DataFrame, queries: DataFrame, n: int = 5, **groups)
     The hits are written once, so that measuring them does not search again.
     """
     filled = chunks.filter(F.length("document") > 0)
-    hits = written(vector_topk(filled, queries, n, **groups), "hits")
-    return small_side(hits).join(filled.drop("embedding"), "id")
+    hits = small_side(vector_topk(filled, queries, n, **groups), store=True)
+    return hits.join(filled.drop("embedding"), "id")
 
 
 def hybrid_search(

@@ -228,7 +228,9 @@ def count_by_type(spark: SparkSession, folder: str) -> DataFrame:
 )
 def budget_exceed_count(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select("o_orderpriority", "o_totalprice")
-    budgets = small_side(orders.groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("budget")))
+    budgets = small_side(
+        orders.groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("budget")), store=True
+    )
     return (
         orders.join(budgets, "o_orderpriority")
         .groupBy("o_orderpriority")
@@ -427,7 +429,7 @@ def filter_sort_rows(spark: SparkSession, folder: str) -> DataFrame:
 )
 def cross_dataset_lookup(spark: SparkSession, folder: str) -> DataFrame:
     customers = table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
-    orders = table(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    orders = table(spark, folder, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct()
     found = customers.join(orders, "c_custkey", "left_semi").withColumn("_found", F.lit(1))
     lost = customers.join(orders, "c_custkey", "left_anti").withColumn("_found", F.lit(0))
     return (

@@ -19,6 +19,9 @@ from tabulary.plans import load  # noqa: E402
 from tabulary.session import build_session  # noqa: E402
 
 
+CROSS_JOINS = ("CartesianProduct", "BroadcastNestedLoopJoin")
+
+
 def canonical(value):
     if isinstance(value, float):
         if math.isnan(value):
@@ -50,6 +53,10 @@ def compare(spark, connection, catalogue, name, folder):
     begun = time.time()
     try:
         df = catalogue.QUERIES[name](spark, folder)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        crossed = [word for word in CROSS_JOINS if word in plan]
+        if crossed:
+            return False, f"plan has {crossed}", time.time() - begun
         got = rows_of(df.columns, [tuple(row) for row in df.collect()])
     except Exception as error:  # noqa: BLE001 - report and go on
         return False, f"spark failed: {str(error)[:1500]}", time.time() - begun
