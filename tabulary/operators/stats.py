@@ -63,15 +63,31 @@ def column_stat(df: DataFrame, column: str, stat: str) -> DataFrame:
 
 def additive_wide(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """All additive statistics from one pass, one row per column."""
+    value = F.col("value")
     measured = (
         stacked(df, columns)
         .groupBy("column_no")
-        .agg(*[build(F.col("value")).cast("double").alias(s) for s, build in ADDITIVE.items()])
+        .agg(
+            F.count(value).cast("double").alias("_count"),
+            F.sum(value).alias("_sum"),
+            F.min(value).alias("min"),
+            F.max(value).alias("max"),
+            F.var_samp(value).alias("var"),
+        )
     )
-    named = column_list(df, columns).join(measured, "column_no", "left")
-    return named.select(
-        "column",
-        *[F.coalesce(s, F.lit(0.0)).alias(s) if s in ("sum", "count") else s for s in ADDITIVE],
+    return (
+        column_list(df, columns)
+        .join(measured, "column_no", "left")
+        .select(
+            "column",
+            F.try_divide("_sum", "_count").alias("mean"),
+            F.coalesce("_sum", F.lit(0.0)).alias("sum"),
+            "min",
+            "max",
+            F.coalesce("_count", F.lit(0.0)).alias("count"),
+            F.sqrt("var").alias("std"),
+            "var",
+        )
     )
 
 
