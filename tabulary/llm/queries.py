@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulary.llm import byte_bpe, decontaminate, language, token_counts
+from tabulary.llm import (
+    byte_bpe,
+    decontaminate,
+    fingerprints,
+    language,
+    simhash,
+    token_counts,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -64,3 +71,13 @@ def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op2_simhash")
+def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query("op3_fingerprints")
+def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edit_likeness(table(spark, folder, "documents"))
