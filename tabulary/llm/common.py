@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,17 +26,21 @@ def picked(df: DataFrame, **columns: str) -> DataFrame:
 
 
 def map_batches(
-    df: DataFrame, make: Callable[[pa.RecordBatch], list[pa.Array] | None], schema: str
+    df: DataFrame,
+    make: Callable[[pa.RecordBatch], list[pa.Array]],
+    schema: str,
+    names: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``make`` turns a batch into the columns of ``schema``; empty batches are passed over."""
-    names = [part.split()[0] for part in schema.split(",")]
+    """``make`` turns a batch into the columns of ``schema``; empty batches are passed over.
+
+    ``names`` are the columns' names if the schema holds commas within a type.
+    """
+    names = list(names or (part.split()[0] for part in schema.split(",")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                columns = make(batch)
-                if columns is not None:
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays(make(batch), names=names)
 
     return df.mapInArrow(run, schema)
 

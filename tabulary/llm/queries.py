@@ -12,6 +12,8 @@ from tabulary.llm import (
     decontaminate,
     fingerprints,
     language,
+    pii,
+    secrets,
     simhash,
     token_counts,
 )
@@ -81,3 +83,41 @@ def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_fingerprints")
 def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.edit_likeness(table(spark, folder, "documents"))
+
+
+def spans_listed(found: str, condition=None) -> F.Column:
+    """Spans as ``kind:start:end``, comma-joined."""
+    spans = F.filter(found, condition) if condition else F.col(found)
+    return F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+
+
+def counted(found, kind: str) -> F.Column:
+    """How many spans are of one kind."""
+    chosen = F.filter(found, lambda s: s["kind"] == kind)
+    return F.size(chosen).cast("long").alias(f"n_{kind}")
+
+
+@query("op4_pii")
+def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        *(counted(F.filter("found", lambda s: ~s["disguised"]), kind) for kind in pii.KINDS),
+        F.sha2(spans_listed("found", lambda s: ~s["disguised"]), 256).alias("base_sha256"),
+        spans_listed("found").alias("spans"),
+        F.size(F.filter("found", lambda s: s["disguised"])).cast("long").alias("n_disguised"),
+    )
+
+
+@query("op6_secrets")
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        *(counted("found", kind) for kind in secrets.KINDS[:-1]),
+        F.sha2(spans_listed("found", lambda s: s["kind"] != "random"), 256).alias("base_sha256"),
+        spans_listed("found").alias("spans"),
+        counted("found", "random"),
+    )
