@@ -16,6 +16,7 @@ from tabulary.llm import (
     secrets,
     simhash,
     token_counts,
+    warc,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +122,18 @@ def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
         spans_listed("found").alias("spans"),
         counted("found", "random"),
     )
+
+
+@query("op8_warc")
+def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
+    index = warc.archive(table(spark, folder, "pages"))
+    return index.select(
+        "page_id",
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        "refers_to",
+        "url_key",
+        "captured_at",
+        "archive",
+    )
