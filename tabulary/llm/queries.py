@@ -15,6 +15,7 @@ from tabulary.llm import (
     pii,
     secrets,
     simhash,
+    suffixes,
     token_counts,
     warc,
 )
@@ -137,3 +138,9 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
         "captured_at",
         "archive",
     )
+
+
+@query("op9_suffix_dedup")
+def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, folder, "documents"), keep=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
