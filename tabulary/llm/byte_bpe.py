@@ -183,14 +183,13 @@ def encode(
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         coder = encoder(ranks, pattern)
-        packed = [np.frombuffer(coder.encode(text), "<u4") for text in texts(batch.column(1))]
-        ends = np.concatenate([[0], np.cumsum([len(ids) for ids in packed])]).astype(np.int32)
-        ids = pa.array(np.concatenate(packed).astype(np.int32))
-        return [batch.column(0), pa.ListArray.from_arrays(pa.array(ends), ids)]
+        packed = [coder.encode(text) for text in texts(batch.column(1))]
+        return [batch.column(0), listed([len(ids) // 4 for ids in packed], b"".join(packed))]
 
     kind = df.schema[id_col].dataType.simpleString()
     chosen = picked(df, doc_id=id_col, text=text_col)
-    return map_batches(chosen, make, f"doc_id {kind}, token_ids array<int>")
+    names = ("doc_id", "token_ids")
+    return map_batches(chosen, make, f"doc_id {kind}, token_ids array<int>", names)
 
 
 def decode(
@@ -215,31 +214,43 @@ def round_trip(
     text_col: str = "text",
     ranks: str = RANKS,
     pattern: str = PIECES,
+    with_ids: bool = False,
 ) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: texts encoded and decoded again.
 
-    Both happen in one pass, so no id leaves its task. Nulls, empty texts, repeated rows and
-    empty tables as in :func:`encode`.
+    Both happen in one pass, so no id leaves its task unless ``with_ids`` asks for the column
+    ``token_ids``. Nulls, empty texts, repeated rows and empty tables as in :func:`encode`.
     """
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         coder = encoder(ranks, pattern)
-        counts, ids_digests, decoded_digests = [], [], []
+        counts, ids_digests, decoded_digests, packed = [], [], [], []
         for text in texts(batch.column(1)):
             ids = coder.encode(text)
             counts.append(len(ids) // 4)
             ids_digests.append(hashlib.sha256(ids).hexdigest())
             decoded_digests.append(hashlib.sha256(coder.decode(ids)).hexdigest())
-        return [
+            if with_ids:
+                packed.append(ids)
+        columns = [
             batch.column(0),
             pa.array(counts, pa.int64()),
             pa.array(ids_digests, pa.string()),
             pa.array(decoded_digests, pa.string()),
         ]
+        if with_ids:
+            columns.append(listed(counts, b"".join(packed)))
+        return columns
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_batches(
-        picked(df, doc_id=id_col, text=text_col),
-        make,
-        f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string",
-    )
+    schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    if with_ids:
+        schema, names = f"{schema}, token_ids array<int>", [*names, "token_ids"]
+    return map_batches(picked(df, doc_id=id_col, text=text_col), make, schema, names)
+
+
+def listed(counts: list[int], packed: bytes) -> pa.Array:
+    """Packed ids as one list of so many ids for each row."""
+    ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(packed, "<i4")))

@@ -9,11 +9,9 @@ sampled suffix positions, and overlapping places merge into spans to remove.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -222,7 +220,10 @@ def _pass(df: DataFrame, benchmark, key_type: str) -> DataFrame:
         ]
 
     return map_batches(
-        df, make, f"doc_id {key_type}, n_words long, spans array<array<long>>, items array<string>"
+        df,
+        make,
+        f"doc_id {key_type}, n_words long, spans array<array<long>>, items array<string>",
+        ("doc_id", "n_words", "spans", "items"),
     )
 
 
@@ -254,30 +255,30 @@ def contamination(
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    passes = []
-    for number in range(blocks):
-        rows = items.filter(block == number).collect()
-        stated = Benchmark([(row[0], row[1].encode()) for row in rows], window)
-        passes.append(_pass(docs, spark.sparkContext.broadcast(stated), key_type))
+    shared = (_shared(items, block == number, window) for number in range(blocks))
     if blocks == 1:
-        return passes[0].withColumn("n_hit", _hits("spans"))
-    return _merged(docs, items, block, blocks, window, key_type)
+        return _pass(docs, next(shared), key_type).withColumn("n_hit", _hits("spans"))
+    return _merged(docs, shared, window, key_type)
+
+
+def _shared(items: DataFrame, own, window: int):
+    """One block of the benchmark, broadcast."""
+    rows = items.filter(own).collect()
+    stated = Benchmark([(row[0], row[1].encode()) for row in rows], window)
+    return items.sparkSession.sparkContext.broadcast(stated)
 
 
 def _hits(spans: str) -> F.Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, span: n + span[1] - span[0])
 
 
-def _merged(docs, items, block, blocks: int, window: int, key_type: str) -> DataFrame:
+def _merged(docs: DataFrame, blocks, window: int, key_type: str) -> DataFrame:
     """Spans and items of several passes, merged for each row of the documents."""
     spark = docs.sparkSession
-    # A row is known by a number of its own, so equal rows stay apart.
+    # Equal rows have one key and equal results.
     key = F.struct("doc_id", F.xxhash64("text").alias("hash"), F.length("text").alias("size"))
     found = None
-    for number in range(blocks):
-        rows = items.filter(block == number).collect()
-        stated = Benchmark([(row[0], row[1].encode()) for row in rows], window)
-        shared = spark.sparkContext.broadcast(stated)
+    for shared in blocks:
         kind = f"struct<doc_id:{key_type},hash:bigint,size:int>"
         part = _pass(docs.select(key.alias("doc_id"), "text"), shared, kind)
         part = part.filter((F.size("spans") > 0) | (F.size("items") > 0)).distinct()
@@ -332,5 +333,28 @@ def without_passages(text: str, spans: list[list[int]]) -> str:
     return b"".join(kept).decode()
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+def cleaned(
+    df: DataFrame, benchmark: DataFrame, window: int = WINDOW, text_col: str = "text"
+) -> DataFrame:
+    """``df`` with the passages of the benchmark taken out of ``text_col``.
+
+    The words hit and what stands between them go; the rest of a text stays, and with it the
+    row. Rows without a hit are untouched, null texts included. The benchmark has columns
+    ``item_id, text``.
+    """
+    names = df.columns
+    whole = F.struct(*(F.col(f"`{name}`") for name in names)).alias("whole")
+    rows = df.select(whole).withColumn("text", F.col(f"whole.`{text_col}`"))
+    found = contamination(rows, benchmark, window, id_col="whole")
+    kind = found.schema["doc_id"].dataType.simpleString()
+    hit = found.select("doc_id", F.col(f"doc_id.`{text_col}`").alias("text"), "spans")
+
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        kept = [without_passages(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
+        return [batch.column(0), pa.array(kept, pa.string())]
+
+    result = map_batches(hit, make, f"whole {kind}, text string", ("whole", "text"))
+    return result.select(
+        *(F.col("text").alias(n) if n == text_col else F.col(f"whole.`{n}`").alias(n) for n in names)
+    )

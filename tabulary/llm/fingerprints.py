@@ -124,7 +124,7 @@ def in_order(docs: DataFrame) -> tuple[DataFrame, int]:
     wanted = SLOTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = docs.select(F.col("doc_id").cast("double").alias("at"))
     steps = [n / wanted for n in range(1, wanted)]
-    cuts = sorted(set(ids.approxQuantile("at", steps, 1 / (4 * wanted)))) if steps else []
+    cuts = sorted(set(ids.approxQuantile("at", steps, 1 / (4 * wanted)))) or [0.0]
     split = Bucketizer(
         splits=[-float("inf"), *cuts, float("inf")],
         inputCol="at",

@@ -188,4 +188,5 @@ def identify(
 
     kind = df.schema[id_col].dataType.simpleString()
     chosen = picked(df, doc_id=id_col, text=text_col)
-    return map_batches(chosen, make, f"doc_id {kind}, lang_pred string, score double")
+    names = ("doc_id", "lang_pred", "score")
+    return map_batches(chosen, make, f"doc_id {kind}, lang_pred string, score double", names)

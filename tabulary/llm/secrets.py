@@ -221,19 +221,8 @@ def _above(size: int, limit: int):
     return lambda t: (t["size_class"] != size) | (t["bin"] < limit)
 
 
-def find(
-    df: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    share: float = FALSE_SHARE,
-) -> DataFrame:
-    """``doc_id, found``: spans of secrets of every whole text, by start and kind.
-
-    ``found`` is an array of ``kind, start, end`` in code points, the end left out; kinds are
-    ``assign``, ``access``, ``hex`` and, for strings no plain kind touches, ``random``. A null
-    or empty text has none. Repeated rows and null ids stay, an empty table gives no row, extra
-    columns are not looked at.
-    """
+def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, base, tested``: plain spans, and for other long strings their tested class."""
     docs = picked(df, doc_id=id_col, text=text_col)
     text = F.coalesce("text", F.lit(""))
     spans = docs.select(
@@ -259,8 +248,11 @@ def find(
     )
     for step in (_coded, _measured, _moments, _scores, _combined):
         spans = spans.withColumn("tested", F.transform("tested", step))
-    spans = written(spans, "secrets")
-    limits = cutoffs(spans, share)
+    return spans
+
+
+def judged(spans: DataFrame, limits: dict[int, int]) -> DataFrame:
+    """``doc_id, found`` from scanned rows and the cut of each class of lengths."""
     random = F.col("tested")
     for size, limit in limits.items():
         random = F.filter(random, _above(size, limit))
@@ -279,6 +271,45 @@ def find(
     )
 
 
+def find(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    share: float = FALSE_SHARE,
+) -> DataFrame:
+    """``doc_id, found``: spans of secrets of every whole text, by start and kind.
+
+    ``found`` is an array of ``kind, start, end`` in code points, the end left out; kinds are
+    ``assign``, ``access``, ``hex`` and, for strings no plain kind touches, ``random``. Which
+    strings are random depends on all rows, so the scanned rows, without their texts, are
+    written once. A null or empty text has no span. Repeated rows and null ids stay, an empty
+    table gives no row, extra columns are not looked at.
+    """
+    spans = written(scanned(df, id_col, text_col), "secrets")
+    return judged(spans, cutoffs(spans, share))
+
+
+def mask(df: DataFrame, text_col: str = "text", share: float = FALSE_SHARE) -> DataFrame:
+    """``df`` with every secret of ``text_col`` replaced by its kind in brackets.
+
+    Rows are scanned twice, for the cuts and for the spans, rather than written with their
+    texts. All columns stay as they are, a null text included.
+    """
+    own = f"`{text_col}`"
+    limits = cutoffs(scanned(df.select(F.lit(None).cast("int").alias("none"), F.col(own).alias("text")), "none", "text"), share)
+    rows = df.select(F.struct(*(F.col(f"`{name}`") for name in df.columns)).alias("whole"))
+    rows = rows.withColumn("text", F.col(f"whole.{own}"))
+    found = judged(scanned(rows, "whole", "text"), limits).select(F.col("doc_id").alias("whole"), "found")
+    return found.select(
+        *(
+            masked(F.col(f"whole.{own}"), F.col("found")).alias(name)
+            if name == text_col
+            else F.col(f"whole.`{name}`").alias(name)
+            for name in df.columns
+        )
+    )
+
+
 def masked(text: Column, found: Column) -> Column:
     """``text`` with every span replaced by its kind in brackets; overlapping ones as one."""
     begin = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))

@@ -63,7 +63,8 @@ def fingerprints(
         return [batch.column(0), pa.array(found, pa.int64())]
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_batches(picked(df, doc_id=id_col, text=text_col), make, f"doc_id {kind}, bits long")
+    chosen = picked(df, doc_id=id_col, text=text_col)
+    return map_batches(chosen, make, f"doc_id {kind}, bits long", ("doc_id", "bits"))
 
 
 def trie_join(group: np.ndarray, bits: np.ndarray, first_bit: int, budget: int) -> np.ndarray:
@@ -253,3 +254,31 @@ def near_duplicates(
         F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with one row of each group of near-duplicates: the one with the smallest id.
+
+    Rows without an id come after all others and then go by a hash of their text; of rows that
+    are alike in both one stays. All columns are kept.
+    """
+    own = F.col(f"`{id_col}`")
+    key = F.struct(
+        own.isNull().alias("none"),
+        own.alias("id"),
+        F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("hash"),
+    )
+    groups = near_duplicates(df.select(key.alias("key"), F.col(f"`{text_col}`").alias("text")), "key")
+    kept = groups.select(F.col("component_id").alias("kept")).distinct()
+    names = df.columns
+    whole = df.select(
+        F.struct(*(F.col(f"`{name}`") for name in names)).alias("whole"), key.alias("key")
+    )
+    # Field by field, so that the join can hash the key.
+    same = (
+        (F.col("key.none") == F.col("kept.none"))
+        & F.col("key.id").eqNullSafe(F.col("kept.id"))
+        & (F.col("key.hash") == F.col("kept.hash"))
+    )
+    one = whole.join(kept, same, "left_semi").dropDuplicates(["key"])
+    return one.select(*(F.col(f"whole.`{name}`").alias(name) for name in names))
