@@ -76,8 +76,8 @@ def bar_counts(df: DataFrame, column: str, top: int | None = BAR_CATEGORIES) ->
     return counted if top is None else counted.limit(top)
 
 
-def pie_shares(df: DataFrame, column: str, top: int = PIE_CATEGORIES) -> DataFrame:
-    """Shares of the shown slices, and of all rows."""
+def pie_shares(df: DataFrame, column: str, top: int | None = PIE_CATEGORIES) -> DataFrame:
+    """Shares of the shown slices, and of all rows; without ``top`` every value is a slice."""
     shown = bar_counts(df, column, top)
     shown_total = shown.agg(F.sum("n")).scalar()
     every = df.agg(F.count(quoted(column))).scalar()
@@ -194,11 +194,16 @@ def _box_schema() -> str:
 
 
 def box_by_category(
-    df: DataFrame, category: str, measure: str, top: int = BOX_CATEGORIES
+    df: DataFrame, category: str, measure: str, top: int | None = BOX_CATEGORIES
 ) -> DataFrame:
-    """A box per category, the first ``top`` categories by name; a numeric pair is swapped."""
+    """A box per category, the first ``top`` categories by name; a numeric pair is swapped.
+
+    Without ``top`` every category has its box, and none is listed anywhere.
+    """
     if category in numeric_columns(df) and measure not in numeric_columns(df):
         category, measure = measure, category
+    if top is None:
+        return box_stats(df.filter(quoted(category).isNotNull()), measure, [category])
     shown = [
         row[0]
         for row in df.select(quoted(category))
@@ -253,8 +258,8 @@ def kde_density(df: DataFrame, column: str, points: int = 200) -> DataFrame:
     )
 
 
-def chart_suggestions(profiles: DataFrame, limit: int = SUGGESTIONS) -> DataFrame:
-    """Up to ``limit`` charts per dataset from ``(dataset, position, column, column_class)``.
+def chart_suggestions(profiles: DataFrame, limit: int | None = SUGGESTIONS) -> DataFrame:
+    """Up to ``limit`` charts, or all, per dataset from ``(dataset, position, column, column_class)``.
 
     Single columns come first in column order, then numeric pairs, then boxes by group.
     """
@@ -315,11 +320,9 @@ def chart_suggestions(profiles: DataFrame, limit: int = SUGGESTIONS) -> DataFram
         )
     )
     order = W.partitionBy("dataset").orderBy("_section", "_first", "_second")
-    return (
-        every.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= limit)
-        .select("dataset", "rank", "chart_type", "columns", "title")
-    )
+    ranked = every.withColumn("rank", F.row_number().over(order))
+    shown = ranked if limit is None else ranked.filter(F.col("rank") <= limit)
+    return shown.select("dataset", "rank", "chart_type", "columns", "title")
 
 
 def _single(number: int, chart: str, before: str, after: str) -> Column:

@@ -18,10 +18,10 @@ from tabulary.functions.text import labelled_cells, preprocess_text
 from tabulary.operators import profile, stats
 from tabulary.operators.rowindex import with_row_index
 
-# Rows per block, sampled rows per adaptive block, and what makes a table
-# dense, wordy or sparse.
+# Rows per block, the largest and smallest adaptive block, and what makes a
+# table dense, wordy or sparse.
 CHUNK_ROWS = 1000
-SAMPLED_ROWS = 5
+LARGEST_BLOCK, SMALLEST_BLOCK = 1000, 200
 DENSE = 0.8
 SPARSE = 0.3
 WORDY = 100
@@ -75,26 +75,33 @@ def adaptive_size(density: float, avg_length: float, largest: int, smallest: int
 
 
 def adaptive_row_chunks(
-    df: DataFrame, order_by: Sequence[str], source: str, overview: DataFrame | None = None
+    df: DataFrame,
+    order_by: Sequence[str],
+    source: str,
+    overview: DataFrame | None = None,
+    largest: int = LARGEST_BLOCK,
+    smallest: int = SMALLEST_BLOCK,
+    sampled: int | None = None,
 ) -> DataFrame:
-    """Blocks sized by density and text length, each showing evenly spaced rows.
+    """Blocks sized by density and text length, each with all its rows.
 
-    Only the shown rows are moved; the others are counted where they are.
+    With ``sampled`` a block shows so many evenly spaced rows, its first and last among them;
+    the others are counted where they are and can't be found by a search.
     """
+    if sampled is not None and sampled < 2:
+        raise ValueError("a block shows two rows at least")
     measured = (overview if overview is not None else profile.dataset_overview(df)).first()
-    plan = profile.chunk_strategy(df.sparkSession.createDataFrame([measured])).first()
     length = profile.avg_text_length(df).first()["avg_text_length"]
-    size = adaptive_size(
-        measured["data_density"], length, plan["max_chunk_size"], plan["min_chunk_size"]
-    )
+    size = adaptive_size(measured["data_density"], length, largest, smallest)
     total = measured["row_count"]
     number = F.floor(F.col("row_index") / size)
     place = F.col("row_index") - number * size
     rows = F.least(F.lit(size), F.lit(total) - number * size)
-    steps = SAMPLED_ROWS - 1
-    shown = rows <= SAMPLED_ROWS
-    for i in range(SAMPLED_ROWS):
-        shown = shown | (place == F.floor(F.lit(i) * (rows - 1) / steps))
+    shown = F.lit(True)
+    if sampled is not None:
+        shown = rows <= sampled
+        for i in range(sampled):
+            shown = shown | (place == F.floor(F.lit(i) * (rows - 1) / (sampled - 1)))
     line = F.concat(
         F.lit("Record "),
         F.col("row_index").cast("string"),
@@ -278,16 +285,23 @@ def chunk_metrics(chunks: DataFrame, stored: str = "stored") -> DataFrame:
     )
 
 
-def build_chunks(df: DataFrame, source: str, order_by: Sequence[str]) -> DataFrame:
-    """All chunks of a table: ``(chunk_id, chunk_type, source, text, embed_text, meta)``."""
-    spark = df.sparkSession
-    measured = profile.dataset_overview(df)
-    overview = spark.createDataFrame(measured.collect(), measured.schema)  # one row
-    plan = profile.chunk_strategy(overview).first()
-    if plan["strategy_type"] == "adaptive":
-        rows = adaptive_row_chunks(df, order_by, source, overview)
+def build_chunks(
+    df: DataFrame,
+    source: str,
+    order_by: Sequence[str],
+    size: int = CHUNK_ROWS,
+    adaptive: bool = True,
+) -> DataFrame:
+    """All chunks of a table: ``(chunk_id, chunk_type, source, text, embed_text, meta)``.
+
+    Blocks have at most ``size`` rows, fewer if ``adaptive`` and the table is dense; the advice
+    of ``profile.chunk_strategy`` is for the caller to take. Every row is in some block.
+    """
+    if adaptive:
+        smallest = min(size, SMALLEST_BLOCK)
+        rows = adaptive_row_chunks(df, order_by, source, largest=size, smallest=smallest)
     else:
-        rows = row_chunks(df, order_by, source)
+        rows = row_chunks(df, order_by, source, size)
     nothing = F.lit(None).cast("string")
     parts = [
         _chunk(

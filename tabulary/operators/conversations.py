@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-# Defaults of a remembered message, and how much a history shows.
+# Defaults of a remembered message, and how much a list of queries shows.
 UNKNOWN_SESSION = "unknown"
 DEFAULT_ROLE = "user"
-HISTORY_MESSAGES = 50
 RECENT_QUERIES = 5
 QUERY_LENGTH = 50
 ANSWER_LENGTH = 100
@@ -40,11 +39,14 @@ def with_context(memory: DataFrame) -> DataFrame:
     return memory.withColumn("context", F.from_json("analysis_context", CONTEXT_SCHEMA))
 
 
-def session_history(memory: DataFrame, limit: int = HISTORY_MESSAGES) -> DataFrame:
-    """The first messages of every session in time order, those without a time first."""
+def session_history(memory: DataFrame, limit: int | None = None) -> DataFrame:
+    """The messages of every session in time order, those without a time first.
+
+    With ``limit`` only so many of the first messages of each session.
+    """
     order = W.partitionBy("session_id").orderBy(F.col("ts").asc_nulls_first(), F.col("text"))
     ranked = memory.withColumn("message_no", F.row_number().over(order))
-    return with_context(ranked.filter(F.col("message_no") <= limit))
+    return with_context(ranked if limit is None else ranked.filter(F.col("message_no") <= limit))
 
 
 def conversation_topics(memory: DataFrame) -> DataFrame:

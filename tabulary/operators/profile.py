@@ -84,9 +84,14 @@ def table_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def value_frequency(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def value_frequency(
+    df: DataFrame, columns: Sequence[str] | None = None, digests: bool = False
+) -> DataFrame:
     """Counts of every distinct value of every column: ``(column, value_..., n)``.
 
+    With ``digests`` texts are represented by a 256-bit digest in ``value_text``, so that only
+    digests are shuffled where the texts themselves are not shown.
+
     Whole numbers, fractions and the rest are counted apart, so that numbers are grouped as
     numbers and no cell is formatted before it has been counted; each part reads only its
     own columns. Null cells are left out. Equal values meet on the map side first, so a hot
@@ -99,7 +104,11 @@ def value_frequency(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     for kind, fields in slots.items():
         if not fields:
             continue
-        cells = F.array(*[clean_value(field).cast(kind) for field in fields])
+        values = [clean_value(field).cast(kind) for field in fields]
+        if digests and kind == "string":
+            # Short texts are no longer than their digest and stay as they are.
+            values = [F.when(F.length(v) <= 32, v).otherwise(F.sha2(v, 256)) for v in values]
+        cells = F.array(*values)
         counted = (
             df.select(F.posexplode(cells).alias("column_no", "value"))
             .filter(F.col("value").isNotNull())
@@ -136,7 +145,7 @@ def value_as_text() -> Column:
 
 def unique_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return (
-        value_frequency(df, columns)
+        value_frequency(df, columns, digests=True)
         .groupBy("column")
         .agg(F.count(F.lit(1)).alias("unique_count"))
     )

@@ -1,33 +1,48 @@
-"""Exact interpolated quantiles without holding a group in one task.
-
-``percentile`` keeps every distinct value of a group in one hash map. Here a bounded
-sketch brackets each quantile first; a second pass counts what lies below the bracket
-and keeps only the values inside it, so that the last step sorts a small slice.
+"""Exact interpolated quantiles with constant state per task and group.
+
+``percentile`` keeps every distinct value of a group in one hash map, and a sketch that must
+bracket a quantile ever more closely grows with the rows. Here histograms narrow down where a
+rank lies: the first one by power of two and eight bits below it, the next by equal widths inside
+the bin that holds the rank. A bin carries its count, minimum and maximum, so a rank is known as
+soon as its bin holds one value or the rank is at its edge. Histograms have a fixed size and are
+combined before the shuffle; at most six passes are needed, mostly two.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulary.functions.columns import name_at, quoted, small_side, stacked
-
-_MIN_ACCURACY = 10_000
-_MAX_ACCURACY = 1_000_000
-_SLICE_ROWS = 1_000_000  # aim for the number of rows inside one bracket
-
-BELOW, INSIDE, ABOVE = 0, 1, 2
-ZONES = 3
-
-
-def _accuracy(df: DataFrame) -> int:
-    """Sketch accuracy that keeps a bracket near ``_SLICE_ROWS`` rows for this input."""
-    wanted = df.count() * 4 // _SLICE_ROWS
-    return int(min(max(wanted, _MIN_ACCURACY), _MAX_ACCURACY))
+from tabulary.session import written
+
+#: Bits below the power of two in the first histogram, and bins of the following ones.
+FINE = 256
+BINS = 4096
+#: More than any exponent of a double, so that shifted ones are above zero.
+EXPONENTS = 1100
+INFINITE = 1 << 40
+
+
+def first_bin(value: Column) -> Column:
+    """The bin of a number: rises with the number, as logarithm and floor never fall."""
+    size = F.abs(value)
+    exponent = F.floor(F.log2(size))
+    fine = F.floor((size / F.pow(F.lit(2.0), exponent) - 1) * FINE)
+    place = (exponent + EXPONENTS) * (2 * FINE) + F.greatest(F.lit(-1), F.least(F.lit(FINE), fine))
+    place = F.when(size == float("inf"), F.lit(INFINITE)).otherwise(place)
+    return F.when(size == 0, F.lit(0)).otherwise(F.signum(value).cast("long") * (place + 2))
+
+
+def _histogram(values: DataFrame, group: Sequence[Column], place: Column) -> DataFrame:
+    return values.groupBy(*group, place.cast("long").alias("_bin")).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.min("value").alias("_least"),
+        F.max("value").alias("_most"),
+    )
 
 
 def exact_quantiles(
@@ -38,99 +53,123 @@ def exact_quantiles(
 ) -> DataFrame:
     """Rows ``(by..., column, probability, value)``; missing values are skipped."""
     by = list(by)
-    group_names = [quoted(name) for name in by]
+    groups = [quoted(name) for name in by]
     values = stacked(df, columns, by).filter(F.col("value").isNotNull())
-    accuracy = _accuracy(df)
-    slack = 2.0 / accuracy
-    lows = [max(0.0, p - slack) for p in probabilities]
-    highs = [min(1.0, p + slack) for p in probabilities]
-    sketches = values.groupBy(*group_names, "column_no").agg(
-        F.percentile_approx("value", lows + highs, accuracy).alias("_bracket")
-    )
-    keys = [f"_k{j}" for j in range(len(by))]
-    brackets = small_side(sketches, store=bool(by)).select(
-        *[quoted(name).alias(key) for name, key in zip(by, keys)],
-        F.col("column_no").alias("_c"),
-        "_bracket",
-    )
-    matched = F.col("column_no") == F.col("_c")
-    for name, key in zip(by, keys):
-        matched = matched & quoted(name).eqNullSafe(F.col(key))
-    wide = len(probabilities)
-    zones = []
-    for i in range(wide):
-        low, high = F.col("_bracket")[i], F.col("_bracket")[i + wide]
-        zones.append(
-            F.when(F.col("value") < low, BELOW).when(F.col("value") > high, ABOVE).otherwise(INSIDE)
-        )
-    # one code per value says where it lies for every quantile; only values inside some
-    # bracket are told apart, all others are counted per code on the map side
-    code = reduce(lambda total, zone: total * ZONES + zone, zones)
-    within = reduce(lambda found, zone: found | (zone == INSIDE), zones, F.lit(False))
-    coded = values.join(brackets, matched).groupBy(
-        *group_names,
-        "column_no",
-        code.alias("_code"),
-        F.when(within, F.col("value")).otherwise(F.lit(0.0)).alias("_cell"),
-    )
-    tallied = coded.agg(
-        F.count(F.lit(1)).alias("_n"), F.min("value").alias("_min"), F.max("value").alias("_max")
-    )
-    divisors = F.array(*[F.lit(ZONES ** (wide - 1 - i)) for i in range(wide)])
-    spread = tallied.select("*", F.posexplode(divisors).alias("_p", "_divisor")).withColumn(
-        "_zone", (F.floor(F.col("_code") / F.col("_divisor")) % ZONES).cast("int")
-    )
-    group = [*group_names, F.col("column_no"), F.col("_p")]
-    slot = F.when(F.col("_zone") == INSIDE, F.col("_cell")).otherwise(F.lit(0.0)).alias("_slot")
-    counted = spread.groupBy(*group, "_zone", slot).agg(
-        F.sum("_n").alias("_rows"), F.min("_min").alias("_least"), F.max("_max").alias("_most")
+    group = [*groups, F.col("column_no")]
+    counted = _histogram(values, group, first_bin(F.col("value")))
+    ordered = W.partitionBy(*group).orderBy("_bin").rowsBetween(
+        W.unboundedPreceding, W.currentRow
     )
-    ordered = (
-        W.partitionBy(*group)
-        .orderBy("_zone", "_slot")
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    upto = counted.withColumn("_end", F.sum("_rows").over(ordered)).withColumn(
-        "_all", F.sum("_rows").over(W.partitionBy(*group))
+    counted = counted.withColumn("_end", F.sum("_n").over(ordered)).withColumn(
+        "_all", F.sum("_n").over(W.partitionBy(*group))
     )
     chances = F.array(*[F.lit(float(p)) for p in probabilities])
     position = (F.col("_all") - 1) * F.get(chances, F.col("_p"))
-    ranked = upto.withColumns(
-        {
-            "_start": F.col("_end") - F.col("_rows"),
-            "_at": position,
-            "_floor": F.floor(position),
-            "_ceil": F.ceil(position),
-        }
+    wanted = F.explode(F.array(F.floor(position), F.ceil(position))).alias("_rank")
+    ranks = (
+        counted.select("*", F.posexplode(chances).alias("_p", "_chance"))
+        .select("*", wanted)
+        .filter((F.col("_end") - F.col("_n") <= F.col("_rank")) & (F.col("_rank") < F.col("_end")))
+        .select(
+            *group,
+            "_p",
+            "_rank",
+            (position - F.floor(position)).alias("_share"),
+            (F.col("_rank") - F.col("_end") + F.col("_n")).alias("_at"),
+            "_n",
+            "_least",
+            "_most",
+        )
+        .distinct()
     )
-    found = ranked.groupBy(*group).agg(
-        F.max(_value_at(F.col("_floor"))).alias("_lower"),
-        F.max(_value_at(F.col("_ceil"))).alias("_upper"),
-        F.first(F.col("_at") - F.col("_floor")).alias("_share"),
+    ranks = _kept(ranks, by)
+    while not ranks.filter(_known().isNull()).isEmpty():
+        ranks = _kept(_narrowed(values, ranks, by), by)
+    known = F.struct("_rank", _known().alias("_value"))
+    found = ranks.groupBy(*group, "_p").agg(
+        F.min(known)["_value"].alias("_lower"),
+        F.max(known)["_value"].alias("_upper"),
+        F.first("_share").alias("_share"),
     )
     lower, upper = F.col("_lower"), F.col("_upper")
-    missed = lower.isNull() | upper.isNull()
-    value = F.when(missed, F.raise_error(F.lit("quantile fell outside its bracket"))).otherwise(
-        lower + (upper - lower) * F.col("_share")
-    )
+    # Of two equal values, infinite ones too, the value itself.
+    value = F.when(lower == upper, lower).otherwise(lower + (upper - lower) * F.col("_share"))
     return found.select(
-        *group_names,
+        *groups,
         name_at(columns, F.col("column_no")).alias("column"),
         F.get(chances, F.col("_p")).alias("probability"),
         value.cast("double").alias("value"),
     )
 
 
-def _value_at(rank: Column) -> Column:
-    """The value at a zero-based rank, where this row covers it and knows it."""
-    covers = (F.col("_start") <= rank) & (rank < F.col("_end"))
-    zone = F.col("_zone")
-    known = (
-        F.when(zone == INSIDE, F.col("_slot"))
-        .when((zone == BELOW) & (rank == F.col("_end") - 1), F.col("_most"))
-        .when((zone == ABOVE) & (rank == F.col("_start")), F.col("_least"))
+def _kept(ranks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Ranks as they stand: a few rows per column, or a written table where there are groups."""
+    if by:
+        return written(ranks, "ranks")
+    return ranks.sparkSession.createDataFrame(ranks.collect(), ranks.schema)
+
+
+def _known() -> Column:
+    """The value at a rank if its bin tells: one value in it, or the rank at an edge."""
+    return F.when(
+        (F.col("_least") == F.col("_most")) | (F.col("_at") == 0), F.col("_least")
+    ).when(F.col("_at") == F.col("_n") - 1, F.col("_most"))
+
+
+def _narrowed(values: DataFrame, ranks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Ranks with the bin of the next histogram, drawn inside the bins that don't tell yet."""
+    keys = [f"_k{j}" for j in range(len(by))]
+    open_ = ranks.filter(_known().isNull())
+    bins = open_.select(
+        *[quoted(name).alias(key) for name, key in zip(by, keys, strict=True)],
+        F.col("column_no").alias("_c"),
+        F.col("_least").alias("_low"),
+        F.col("_most").alias("_high"),
+    ).distinct()
+    bins = small_side(bins, store=True) if by else F.broadcast(bins)
+    inside = (
+        (F.col("column_no") == F.col("_c"))
+        & (F.col("value") >= F.col("_low"))
+        & (F.col("value") <= F.col("_high"))
+    )
+    for name, key in zip(by, keys, strict=True):
+        inside = inside & quoted(name).eqNullSafe(F.col(key))
+    step = (F.col("value") - F.col("_low")) / (F.col("_high") - F.col("_low")) * BINS
+    place = F.least(F.floor(step), F.lit(BINS - 1))
+    group = [*[quoted(name) for name in by], F.col("column_no"), F.col("_low")]
+    counted = _histogram(values.join(bins, inside), group, place)
+    ordered = W.partitionBy(*group).orderBy("_bin").rowsBetween(
+        W.unboundedPreceding, W.currentRow
+    )
+    counted = counted.withColumn("_end", F.sum("_n").over(ordered)).select(
+        *[quoted(name).alias(key) for name, key in zip(by, keys, strict=True)],
+        F.col("column_no").alias("_c"),
+        "_low",
+        "_end",
+        F.col("_n").alias("_new_n"),
+        F.col("_least").alias("_new_least"),
+        F.col("_most").alias("_new_most"),
+    )
+    held = (
+        (F.col("column_no") == F.col("_c"))
+        & (F.col("_least") == F.col("_low"))
+        & (F.col("_at") >= F.col("_end") - F.col("_new_n"))
+        & (F.col("_at") < F.col("_end"))
+    )
+    for name, key in zip(by, keys, strict=True):
+        held = held & quoted(name).eqNullSafe(F.col(key))
+    groups = [*[quoted(name) for name in by], F.col("column_no")]
+    moved = open_.join(counted, held).select(
+        *groups,
+        "_p",
+        "_rank",
+        "_share",
+        (F.col("_at") - F.col("_end") + F.col("_new_n")).alias("_at"),
+        F.col("_new_n").alias("_n"),
+        F.col("_new_least").alias("_least"),
+        F.col("_new_most").alias("_most"),
     )
-    return F.when(covers, known)
+    return ranks.filter(_known().isNotNull()).unionByName(moved)
 
 
 def quantile_struct(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -481,7 +481,7 @@ def answer_questions(
     conditions = resolved.filter(
         conditional & F.col("column").isin(*numeric_columns(dataset))
     ).select("column", F.col("cond_value").alias("threshold"))
-    counts = small_side(counts_at_thresholds(dataset, conditions))
+    counts = small_side(counts_at_thresholds(dataset, conditions), store=True)
     counts = counts.withColumnRenamed("column", "_ccol")
     facts = F.broadcast(
         dataset_facts(dataset, name_column, key_column)

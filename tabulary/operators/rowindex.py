@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tabulary.session import written
 
-_PARTITION_SHIFT = 33  # monotonically_increasing_id keeps the partition above 33 row bits
-_ROW_MASK = (1 << _PARTITION_SHIFT) - 1
+PARTITION_SHIFT = 33  # monotonically_increasing_id keeps the partition above 33 row bits
+_ROW_MASK = (1 << PARTITION_SHIFT) - 1
 
 
 def with_row_index(
@@ -24,7 +24,7 @@ def with_row_index(
     """
     ordered = df.orderBy(*order_by).withColumn("_seq", F.monotonically_increasing_id())
     stored = written(ordered, "ordered")
-    part = F.shiftright("_seq", _PARTITION_SHIFT).alias("_part")
+    part = F.shiftright("_seq", PARTITION_SHIFT).alias("_part")
     counts = sorted(
         (row["_part"], row["_rows"])
         for row in stored.groupBy(part).agg(F.count(F.lit(1)).alias("_rows")).collect()

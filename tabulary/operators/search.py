@@ -37,11 +37,13 @@ BOOSTS = (
     ("data_analysis", ("summary", "column"), 1.1),
 )
 PREFERRED_CHUNKS = {"column_search": "column", "statistical": "summary"}
-MOST_CANDIDATES = 50
+CANDIDATES_PER_HIT = 2
 
 
-def candidates_for(n: int) -> int:
-    return min(2 * n, MOST_CANDIDATES)
+def candidates_for(n: int, most: int | None = None) -> int:
+    """How many nearest chunks are ranked again: twice ``n``, ``most`` if given, never below n."""
+    wanted = CANDIDATES_PER_HIT * n
+    return max(n, wanted if most is None else min(wanted, most))
 
 
 def vector_topk(
@@ -214,13 +216,16 @@ def hybrid_search(
     n: int = 10,
     semantic_weight: Column | float = 0.7,
     keyword_weight: Column | float = 0.3,
+    most_candidates: int | None = None,
     **groups,
 ) -> DataFrame:
     """Nearest chunks ranked again by a weighted sum of similarity and word overlap.
 
+    Twice ``n`` chunks are ranked again, or ``most_candidates`` if that is less.
+
     ``queries`` carries ``query_text`` besides its vector; weights may be query columns.
     """
-    hits = semantic_search(chunks, queries, candidates_for(n), **groups)
+    hits = semantic_search(chunks, queries, candidates_for(n, most_candidates), **groups)
     weights = queries.select(
         F.col("query_id"),
         F.col("query_text"),

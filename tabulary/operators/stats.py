@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulary.functions.columns import (
     as_double,
@@ -55,12 +59,23 @@ def column_stat(df: DataFrame, column: str, stat: str) -> DataFrame:
     if name == "median":
         found = exact_quantiles(df, [column], [0.5])
         return found.select("column", F.lit(name).alias("stat"), "value")
-    value = ADDITIVE[name](as_double(df.schema[column])).cast("double")
+    field = df.schema[column]
+    if name == "sum" and isinstance(field.dataType, (T.IntegralType, T.DecimalType)):
+        value = F.coalesce(F.sum(quoted(column).cast(exact_type(field.dataType))), F.lit(0))
+    else:
+        value = ADDITIVE[name](as_double(field))
+    value = value.cast("double")
     return df.agg(value.alias("value")).select(
         F.lit(column).alias("column"), F.lit(name).alias("stat"), "value"
     )
 
 
+def exact_type(data_type: T.DataType) -> str:
+    """The widest decimal that holds sums of whole numbers or decimals."""
+    scale = data_type.scale if isinstance(data_type, T.DecimalType) else 0
+    return f"decimal(38,{scale})"
+
+
 def additive_wide(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """All additive statistics from one pass, one row per column."""
     value = F.col("value")
@@ -182,18 +197,26 @@ def correlation_pair(df: DataFrame, x: str, y: str) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pairwise-complete Pearson correlations ``(column_a, column_b, correlation)``."""
     columns = list(columns or numeric_columns(df))
-    numbers = range(len(columns))
-    pairs = F.array(
-        *[F.struct(F.lit(i).alias("a"), F.lit(j).alias("b")) for i in numbers for j in numbers if i <= j]
+    cells = df.select(*[as_double(df.schema[n]).alias(f"v{i}") for i, n in enumerate(columns)])
+    # Numbers taken from their column's mean keep the sums of squares exact enough; those of a
+    # constant column become zero.
+    finite = [F.when(F.abs(n) < float("inf"), F.col(n)) for n in cells.columns]
+    centre = [F.when(F.min(v) == F.max(v), F.min(v)).otherwise(F.avg(v)) for v in finite]
+    centres = [value or 0.0 for value in cells.agg(*centre).first()]
+    moments = cells.mapInArrow(_pair_moments(centres), _MOMENTS)
+    sums = moments.groupBy("a", "b").agg(
+        *[F.sum(name).alias(name) for name in ("n", "x", "y", "xx", "yy", "xy")]
     )
-    cells = F.array(*[as_double(df.schema[name]) for name in columns])
-    paired = df.select(cells.alias("_v"), F.explode(pairs).alias("_p")).select(
-        F.col("_p.a").alias("a"),
-        F.col("_p.b").alias("b"),
-        F.get("_v", F.col("_p.a")).alias("x"),
-        F.get("_v", F.col("_p.b")).alias("y"),
+    n = F.col("n")
+    across = F.col("xy") - F.col("x") * F.col("y") / n
+    along = (F.col("xx") - F.col("x") * F.col("x") / n) * (F.col("yy") - F.col("y") * F.col("y") / n)
+    found = sums.select(
+        "a",
+        "b",
+        F.when(F.col("a") == F.col("b"), F.when(along > 0, F.lit(1.0)).when(n > 0, F.lit(float("nan"))))
+        .when(n > 0, F.when(along > 0, across / F.sqrt(along)).otherwise(F.lit(float("nan"))))
+        .alias("correlation"),
     )
-    found = paired.groupBy("a", "b").agg(F.corr("x", "y").alias("correlation"))
     sides = F.when(
         F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("l"), F.col("b").alias("r")))
     ).otherwise(
@@ -209,6 +232,37 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     )
 
 
+_MOMENTS = "a int, b int, n double, x double, y double, xx double, yy double, xy double"
+
+
+def _pair_moments(centres: list[float]):
+    """Sums over the rows of a task that have both values, one row for each pair of columns."""
+    width = len(centres)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, width, width))
+        for batch in batches:
+            values = np.column_stack(
+                [column.to_numpy(zero_copy_only=False).astype(float) for column in batch.columns]
+            )
+            known = ~np.isnan(values)
+            values = np.where(known, values - centres, 0.0)
+            mask = known.astype(float)
+            total[0] += mask.T @ mask
+            total[1] += values.T @ mask
+            total[2] += (values * values).T @ mask
+            total[3] += values.T @ values
+        n, x, xx, xy = total
+        a, b = np.triu_indices(width)
+        parts = [n[a, b], x[a, b], x[b, a], xx[a, b], xx[b, a], xy[a, b]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(a.astype("int32")), pa.array(b.astype("int32")), *map(pa.array, parts)],
+            names=["a", "b", "n", "x", "y", "xx", "yy", "xy"],
+        )
+
+    return add
+
+
 def outlier_fences(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Quartiles and the bounds at 1.5 interquartile ranges."""
     span = (F.col("q3") - F.col("q1")) * F.lit(1.5)

@@ -1,97 +1,64 @@
-"""How many values lie below, at and above each of many thresholds, in one pass."""
+"""How many values lie below, at and above each of many thresholds."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tabulary.functions.columns import as_double
-from tabulary.operators.rowindex import with_row_index
+from tabulary.functions.columns import name_at, stacked
+from tabulary.operators.rowindex import PARTITION_SHIFT
 from tabulary.session import written
 
-BLOCK = 100_000  # thresholds one pass keeps in memory
-
-_COUNTS = "column string, threshold double, below long, equal long, above long"
-
 
-def counts_at_thresholds(
-    df: DataFrame, conditions: DataFrame, block: int = BLOCK
-) -> DataFrame:
-    """Counts for the distinct ``(column, threshold)`` rows of ``conditions``.
+def counts_at_thresholds(df: DataFrame, conditions: DataFrame) -> DataFrame:
+    """``(column, threshold, below, equal, above)`` for the distinct thresholds of ``conditions``.
 
-    Every task places its values among the sorted thresholds and hands on one count per
-    gap. More than ``block`` thresholds take one pass per block.
+    Values are counted where they are, thresholds are mixed in among the distinct values, and one
+    range sort puts them in order. Sums per sort partition give every partition its offset, so
+    any number of thresholds takes one scan and no group has to fit in a task.
     """
-    wanted = conditions.select("column", F.col("threshold").cast("double").alias("threshold"))
-    wanted = wanted.filter(F.col("threshold").isNotNull()).distinct()
-    fetched = wanted.limit(block + 1).collect()
-    if len(fetched) <= block:
-        return _one_pass(df, fetched)
-    numbered = written(
-        with_row_index(wanted, ["column", "threshold"]).withColumn(
-            "_block", F.floor(F.col("row_index") / block)
-        ),
-        "thresholds",
-    )
-    blocks = numbered.agg(F.max("_block")).first()[0] + 1
-    parts = [
-        written(
-            _one_pass(df, numbered.filter(F.col("_block") == number).collect()), "threshold-counts"
-        )
-        for number in range(blocks)
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _one_pass(df: DataFrame, rows: list) -> DataFrame:
-    sorted_values: dict[str, np.ndarray] = {}
-    for name in sorted({row["column"] for row in rows}):
-        found = [row["threshold"] for row in rows if row["column"] == name]
-        sorted_values[name] = np.array(sorted(found), dtype="float64")
-    names = list(sorted_values)
-    spark = df.sparkSession
+    wanted = conditions.select("column", F.col("threshold").cast("double").alias("value"))
+    wanted = wanted.filter(F.col("value").isNotNull() & ~F.isnan("value")).distinct()
+    # At most as many names as the table has columns.
+    names = sorted(row["column"] for row in wanted.select("column").distinct().collect())
     if not names:
-        return spark.createDataFrame([], _COUNTS)
-    values = df.select(*[as_double(df.schema[n]).alias(f"v{i}") for i, n in enumerate(names)])
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # slot 2i lies below threshold i, slot 2i+1 at it, the last slot above all
-        totals = [np.zeros(2 * len(sorted_values[n]) + 1, dtype="int64") for n in names]
-        for batch in batches:
-            for i, name in enumerate(names):
-                limits = sorted_values[name]
-                v = batch[f"v{i}"].to_numpy(dtype="float64")
-                v = v[~np.isnan(v)]
-                at = np.searchsorted(limits, v, side="left")
-                hit = np.zeros(len(v), dtype="int64")
-                inside = at < len(limits)
-                hit[inside] = limits[at[inside]] == v[inside]
-                totals[i] += np.bincount(2 * at + hit, minlength=len(totals[i]))
-        for i, total in enumerate(totals):
-            used = np.flatnonzero(total)
-            yield pd.DataFrame({"col_no": i, "slot": used, "n": total[used]})
-
-    gaps = (
-        values.mapInPandas(place, "col_no int, slot long, n long")
-        .groupBy("col_no", "slot")
-        .agg(F.sum("n").alias("n"))
-        .collect()
+        schema = "column string, threshold double, below long, equal long, above long"
+        return df.sparkSession.createDataFrame([], schema)
+    number = F.array_position(F.array(*map(F.lit, names)), F.col("column")) - 1
+    counted = (
+        stacked(df, names)
+        .filter(F.col("value").isNotNull())
+        .groupBy("column_no", "value")
+        .agg(F.count(F.lit(1)).alias("n"), F.lit(False).alias("asked"))
+    )
+    asked = wanted.select(
+        number.cast("int").alias("column_no"), "value", F.lit(0).cast("long").alias("n"), F.lit(True).alias("asked")
+    )
+    merged = (
+        counted.unionByName(asked)
+        .groupBy("column_no", "value")
+        .agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+        .orderBy("column_no", "value")
+        .withColumn("_part", F.shiftright(F.monotonically_increasing_id(), PARTITION_SHIFT))
+    )
+    # Sums and places have to see the same partitions.
+    stored = written(merged, "thresholds")
+    before = W.partitionBy("column_no").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sums = stored.groupBy("_part", "column_no").agg(F.sum("n").alias("_sum")).select(
+        "_part",
+        "column_no",
+        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"),
+        F.sum("_sum").over(W.partitionBy("column_no")).alias("_all"),
+    )
+    own = W.partitionBy("_part", "column_no").orderBy("value")
+    upto = F.sum("n").over(own.rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = stored.withColumn("_upto", upto).filter("asked").join(sums, ["_part", "column_no"])
+    below = F.col("_offset") + F.col("_upto") - F.col("n")
+    return placed.select(
+        name_at(names, F.col("column_no")).alias("column"),
+        F.col("value").alias("threshold"),
+        below.alias("below"),
+        F.col("n").alias("equal"),
+        (F.col("_all") - below - F.col("n")).alias("above"),
     )
-    counts = []
-    for i, name in enumerate(names):
-        limits = sorted_values[name]
-        total = np.zeros(2 * len(limits) + 1, dtype="int64")
-        for row in gaps:
-            if row["col_no"] == i:
-                total[row["slot"]] = row["n"]
-        upto = np.cumsum(total)
-        for j, limit in enumerate(limits):
-            below = int(upto[2 * j])
-            equal = int(total[2 * j + 1])
-            counts.append((name, float(limit), below, equal, int(upto[-1]) - below - equal))
-    return spark.createDataFrame(counts, _COUNTS)

@@ -54,14 +54,11 @@ _CUSTOMER = list(TABLES["customer"])
 @query(
     "adaptive_row_chunks",
     f"""
-    WITH n AS (SELECT count(*) AS total, CASE WHEN count(*) > 10000 THEN 250 ELSE 500 END AS size
-               FROM customer),
+    WITH n AS (SELECT count(*) AS total, 500 AS size FROM customer),
     i AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_index, * FROM customer, n),
     p AS (SELECT *, row_index // size AS chunk_no, row_index % size AS place,
                  least(size, total - (row_index // size) * size) AS rows FROM i),
-    l AS (SELECT *, 'Record ' || row_index || ':' || {lines_sql(_CUSTOMER, "=")} AS line FROM p
-          WHERE rows <= 5 OR place IN (0, floor((rows - 1) / 4.0), floor((rows - 1) * 2 / 4.0),
-                                       floor((rows - 1) * 3 / 4.0), rows - 1))
+    l AS (SELECT *, 'Record ' || row_index || ':' || {lines_sql(_CUSTOMER, "=")} AS line FROM p)
     SELECT 'customer' AS source, chunk_no, min(row_index) AS chunk_start_row,
            max(row_index) AS chunk_end_row, any_value(rows) AS chunk_size,
            CAST(any_value(size) AS INTEGER) AS adaptive_chunk_size,

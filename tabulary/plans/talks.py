@@ -50,6 +50,10 @@ def memory_write(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def memory(spark: SparkSession, folder: str) -> DataFrame:
+    return remembered(table(spark, folder, "conversations"))
+
+
+def remembered(conversations: DataFrame) -> DataFrame:
     """Remembered conversations: answers hold broken context, system turns a dataset."""
     dataset = F.concat(
         F.lit('{"type":"dataset_analysis","dataset_name":"set'),
@@ -59,7 +63,7 @@ def memory(spark: SparkSession, folder: str) -> DataFrame:
     asked = F.concat(
         F.lit('{"type":"query","query_type":"'), search_type(F.col("text")), F.lit('"}')
     )
-    return table(spark, folder, "conversations").select(
+    return conversations.select(
         F.col("conv_id").cast("string").alias("session_id"),
         F.when(F.col("role") != "system", F.lpad(F.col("turn").cast("string"), 6, "0")).alias("ts"),
         "role",
@@ -86,7 +90,7 @@ MEMORY_SQL = (
     SELECT session_id, ts, role, text, context_type, dataset_name, query_type,
            CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts NULLS FIRST, text) AS INTEGER)
            AS message_no
-    FROM {MEMORY_SQL} QUALIFY message_no <= 50
+    FROM {MEMORY_SQL}
     """,
 )
 def session_history(spark: SparkSession, folder: str) -> DataFrame:
@@ -211,18 +215,44 @@ def stream_ingest_profile(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(profile.drop("data_type"), "avg_length")
 
 
+@query(
+    "stream_ingest_chunks",
+    """
+    SELECT 'rows' AS chunk_type, CAST(ceil(count(*) / 500.0) AS BIGINT) AS n_chunks,
+           CAST(count(*) AS DOUBLE) AS n_rows FROM part
+    UNION ALL SELECT 'column', 6, NULL
+    UNION ALL SELECT 'summary', 1, NULL
+    """,
+)
+def stream_ingest_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    schema = table(spark, folder, "part").schema
+    stream = streams.arriving_files(spark, folder, schema, "part.parquet")
+    made = streams.ingest_chunks(
+        stream,
+        "part",
+        ["p_partkey"],
+        scratch_path(spark, "stream-chunks"),
+        scratch_path(spark, "stream-progress"),
+    )
+    return made.groupBy("chunk_type").agg(
+        F.count(F.lit(1)).alias("n_chunks"),
+        F.sum(F.col("meta")["chunk_size"].cast("double")).alias("n_rows"),
+    )
+
+
 @query(
     "stream_session_summary",
-    "SELECT CAST(user_id AS VARCHAR) AS session_id, count(*) AS total_messages, "
-    "count(*) FILTER (WHERE event_type = 'view') AS user_queries FROM events GROUP BY 1",
+    f"""
+    SELECT session_id, count(*) AS total_messages, count(*) FILTER (WHERE role = 'user') AS user_queries,
+           count(DISTINCT dataset_name) AS n_datasets, count(DISTINCT query_type) AS n_query_types
+    FROM {MEMORY_SQL} GROUP BY session_id
+    """,
 )
 def stream_session_summary(spark: SparkSession, folder: str) -> DataFrame:
-    schema = table(spark, folder, "events").schema
-    stream = streams.arriving_files(spark, folder, schema, "events.parquet").select(
-        F.col("user_id").cast("string").alias("session_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
-        F.when(F.col("event_type") == "view", "user").otherwise("assistant").alias("role"),
-    )
+    schema = table(spark, folder, "conversations").schema
+    stream = streams.arriving_files(spark, folder, schema, "conversations.parquet")
     return streams.session_summary(
-        stream, scratch_path(spark, "stream-sessions"), scratch_path(spark, "stream-progress")
+        remembered(stream),
+        scratch_path(spark, "stream-sessions"),
+        scratch_path(spark, "stream-progress"),
     )

@@ -6,12 +6,14 @@ nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabulary.operators.chunks import build_chunks
+from tabulary.operators.conversations import conversation_topics
 from tabulary.operators.profile import column_measures
 
 
@@ -28,15 +30,15 @@ def arriving_files(
 
 def run_available(
     stream: DataFrame,
-    build: Callable[[DataFrame], DataFrame],
+    build: Callable[[DataFrame, int], DataFrame],
     output: str,
     checkpoint: str,
     mode: str = "append",
 ) -> None:
-    """Process what has arrived: ``build(batch)`` goes to ``output/batch_no=<n>``."""
+    """Process what has arrived: ``build(batch, n)`` goes to ``output/batch_no=<n>``."""
 
     def store(batch: DataFrame, number: int) -> None:
-        build(batch).write.mode("overwrite").parquet(f"{output}/batch_no={number}")
+        build(batch, number).write.mode("overwrite").parquet(f"{output}/batch_no={number}")
 
     query = (
         stream.writeStream.outputMode(mode)
@@ -50,7 +52,7 @@ def run_available(
 
 def ingest_profile(stream: DataFrame, output: str, checkpoint: str) -> DataFrame:
     """Column measures of everything ingested so far, added up over the batches."""
-    run_available(stream, column_measures, output, checkpoint)
+    run_available(stream, lambda batch, number: column_measures(batch), output, checkpoint)
     stored = stream.sparkSession.read.parquet(output)
     weighted = F.sum(F.col("avg_length") * F.col("non_null")) / F.sum("non_null")
     return stored.groupBy("position", "column", "data_type").agg(
@@ -61,36 +63,57 @@ def ingest_profile(stream: DataFrame, output: str, checkpoint: str) -> DataFrame
     )
 
 
-def session_counts(
-    messages: DataFrame, late: str = "1 day", span: str = "1 day"
+def ingest_chunks(
+    stream: DataFrame, source: str, order_by: Sequence[str], output: str, checkpoint: str
 ) -> DataFrame:
-    """Messages and user queries per session and time span of a stream.
+    """All chunks of everything ingested so far; the chunks of a batch name it in their source."""
+    run_available(
+        stream,
+        lambda batch, number: build_chunks(batch, f"{source}-{number}", order_by),
+        output,
+        checkpoint,
+    )
+    return stream.sparkSession.read.parquet(output)
 
-    State of spans the watermark has passed is dropped, so it does not grow for ever.
-    """
-    return (
-        messages.withWatermark("ts", late)
-        .groupBy(F.window("ts", span), "session_id")
-        .agg(
-            F.count(F.lit(1)).alias("total_messages"),
-            F.count_if(F.col("role") == "user").alias("user_queries"),
-        )
-        .select(F.col("window.start").alias("span_start"), "session_id", "total_messages", "user_queries")
+
+def session_increments(batch: DataFrame) -> DataFrame:
+    """What a batch adds to each session: messages, user queries, and topics it names."""
+    counts = batch.groupBy("session_id").agg(
+        F.count(F.lit(1)).alias("total_messages"),
+        F.count_if(F.col("role") == "user").alias("user_queries"),
+    )
+    counts = counts.select(
+        "session_id",
+        *(F.lit(None).cast("string").alias(name) for name in ("kind", "name")),
+        "total_messages",
+        "user_queries",
     )
+    if "analysis_context" not in batch.columns:
+        return counts
+    none = F.lit(0).cast("long")
+    topics = conversation_topics(batch).select(
+        "session_id", "kind", "name", none.alias("total_messages"), none.alias("user_queries")
+    )
+    return counts.unionByName(topics)
 
 
 def session_summary(messages: DataFrame, output: str, checkpoint: str) -> DataFrame:
-    """Current totals per session: the newest counts of every span, added up."""
-    run_available(session_counts(messages), lambda batch: batch, output, checkpoint, "update")
-    newest = (
-        messages.sparkSession.read.parquet(output)
-        .groupBy("session_id", "span_start")
-        .agg(
-            F.max_by("total_messages", "batch_no").alias("total_messages"),
-            F.max_by("user_queries", "batch_no").alias("user_queries"),
-        )
+    """Current totals per session: the increments of all batches added up.
+
+    A message counts whenever it arrives, however old it is; what is kept are a few numbers per
+    session and batch and the names of its topics.
+    """
+    run_available(
+        messages, lambda batch, number: session_increments(batch), output, checkpoint
     )
-    return newest.groupBy("session_id").agg(
+    added = messages.sparkSession.read.parquet(output)
+
+    def distinct(kind: str) -> F.Column:
+        return F.countDistinct(F.when(F.col("kind") == kind, F.col("name")))
+
+    return added.groupBy("session_id").agg(
         F.sum("total_messages").alias("total_messages"),
         F.sum("user_queries").alias("user_queries"),
+        distinct("dataset").alias("n_datasets"),
+        distinct("query_type").alias("n_query_types"),
     )
