@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import (
-    IDF,
-    BucketedRandomProjectionLSH,
-    HashingTF,
-    Normalizer,
-    RegexTokenizer,
-)
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulary.functions.text import row_to_text
-from tabulary.operators.search import SCORE_DIGITS, vector_topk
+from tabulary.operators.search import SCORE_DIGITS, hybrid_search, vector_topk
+from tabulary.session import written
 
 FEATURES = 512
 
@@ -83,44 +80,98 @@ def row_search(
     return hits.join(rows, hits["id"] == rows[key]).drop("id")
 
 
+def text_search(
+    chunks: DataFrame,
+    queries: DataFrame,
+    n: int = 10,
+    embedder: TextEmbedder | None = None,
+) -> DataFrame:
+    """Hits for texts: chunks and questions are embedded alike, then ranked as hybrid search.
+
+    ``chunks`` has ``id, document`` and what else is to be shown, ``queries`` has ``query_id,
+    query_text``. The vectors of the chunks are written once, as both ranking steps read them.
+    """
+    embedder = embedder or TextEmbedder().fit(chunks)
+    stored = written(embedder.embed(chunks), "vectors")
+    asked = written(embedder.embed(queries, "query_text", "query_vector"), "asked")
+    return hybrid_search(stored, asked, n)
+
+
+def _signatures(
+    planes: np.ndarray, tables: int
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For every vector a number per table: the sides of the table's planes it lies on."""
+    bits = len(planes) // tables
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
+                sides = flat.reshape(batch.num_rows, -1) @ planes.T > 0
+                powers = 1 << np.arange(bits)
+                numbers = sides.reshape(batch.num_rows, tables, bits) @ powers
+                ends = np.arange(batch.num_rows + 1, dtype=np.int32) * tables
+                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(numbers.ravel()))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), listed], names=["key", "vector", "numbers"]
+                )
+
+    return sign
+
+
+def near_pairs(
+    vectors: DataFrame, queries: DataFrame, bits: int, tables: int, seed: int = 7
+) -> DataFrame:
+    """Pairs that share the signature of at least one table, with their similarity."""
+    first = vectors.select(F.size("embedding").alias("n")).filter("n > 0").first()
+    width = first["n"] if first else 1
+    planes = np.random.default_rng(seed).normal(size=(tables * bits, width))
+
+    def signed(df: DataFrame, key: str, vector: str) -> DataFrame:
+        kind = df.schema[key].dataType.simpleString()
+        known = df.filter(F.size(vector) == width).select(
+            F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector")
+        )
+        return known.mapInArrow(
+            _signatures(planes, tables),
+            f"key {kind}, vector array<double>, numbers array<bigint>",
+        ).select(F.col("key").alias(key), F.col("vector").alias(vector), F.posexplode("numbers").alias("table", "number"))
+
+    stored = signed(vectors, "id", "embedding")
+    asked = signed(queries, "query_id", "query_vector")
+    pairs = asked.join(stored, ["table", "number"])
+    # A pair that meets in several tables counts in the first of them; all are equal.
+    met = pairs.groupBy("query_id", "id").agg(
+        F.first("query_vector").alias("a"), F.first("embedding").alias("b")
+    )
+
+    def dot(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
+
+    a, b = F.col("a"), F.col("b")
+    size = F.sqrt(dot(a, a) * dot(b, b))
+    cosine = F.when(size > 0, dot(a, b) / size).otherwise(0.0)
+    return met.select("query_id", "id", F.round((1 + cosine) / 2, SCORE_DIGITS).alias("similarity"))
+
+
 def vector_topk_approx(
     vectors: DataFrame,
     queries: DataFrame,
     k: int,
-    bucket_length: float = 0.5,
-    tables: int = 8,
-    radius: float = 2.0,
+    bits: int = 8,
+    tables: int = 12,
     seed: int = 7,
 ) -> DataFrame:
-    """Approximate nearest neighbours by random projections, scored like the exact search.
+    """Approximate nearest neighbours by random planes, scored like the exact search.
 
-    Only vectors that share a bucket with a query are compared.
+    Only vectors on the same sides of all ``bits`` planes of one of the ``tables`` as a query
+    are compared with it: of vectors at a right angle about ``tables / 2 ** bits``. More bits
+    compare less, more tables find more.
     """
-    unit = Normalizer(inputCol="_raw", outputCol="features")
-
-    def prepared(df: DataFrame, vector: str) -> DataFrame:
-        return unit.transform(
-            df.withColumn("_raw", array_to_vector(F.col(vector).cast("array<double>")))
-        ).drop("_raw", vector)
-
-    stored = prepared(vectors.select("id", "embedding"), "embedding")
-    asked = prepared(queries.select("query_id", "query_vector"), "query_vector")
-    model = BucketedRandomProjectionLSH(
-        inputCol="features",
-        outputCol="hashes",
-        bucketLength=bucket_length,
-        numHashTables=tables,
-        seed=seed,
-    ).fit(stored)
-    near = model.approxSimilarityJoin(stored, asked, radius, distCol="distance")
-    pairs = near.select(
-        F.col("datasetB.query_id").alias("query_id"),
-        F.col("datasetA.id").alias("id"),
-        F.round(1 - F.col("distance") * F.col("distance") / 4, SCORE_DIGITS).alias("similarity"),
-    )
     order = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("id").asc())
     return (
-        pairs.withColumn("rank", F.row_number().over(order))
+        near_pairs(vectors, queries, bits, tables, seed)
+        .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
         .select("query_id", "rank", "id", "similarity")
     )

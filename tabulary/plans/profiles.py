@@ -179,7 +179,7 @@ def column_type_class(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-BASE_TABLES = ("customer", "part", "orders", "events", "documents")
+BASE_TABLES = tuple(TABLES)
 BASE_COLUMNS = {name: TABLES[name] for name in BASE_TABLES}
 
 

@@ -103,7 +103,7 @@ def _type_of(name: str, kind: str) -> str:
     return {"d": "double", "s": "string", "t": "timestamp_ntz", "a": "array<float>"}[kind]
 
 
-_SCHEMA_TABLES = ("customer", "part", "orders", "events")
+_SCHEMA_TABLES = tuple(TABLES)
 
 
 def _schema_sql(name: str) -> str:

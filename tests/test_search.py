@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tabulary.functions.text import keyword_score, preprocess_text, row_to_text
 from tabulary.operators import collections, search
-from tabulary.operators.embed import TextEmbedder, row_search, vector_topk_approx
+from tabulary.operators.embed import TextEmbedder, near_pairs, row_search, text_search, vector_topk_approx
 
 
 def unit(rows):
@@ -99,6 +99,31 @@ def test_approximate_search_finds_most(spark):
     near = vector_topk_approx(stored, asked, 5)
     shared = exact.join(near, ["query_id", "id"]).count()
     assert shared >= 0.9 * exact.count()
+    assert near_pairs(stored, asked, 8, 12).count() <= 0.2 * 4000
+
+
+def test_text_search_finds_the_text_itself(spark):
+    rows = [(n, f"item {n} is made of {w} in the town of {t}", w) for n, (w, t) in enumerate(
+        zip(("wood", "steel", "glass", "stone") * 5, ("bern", "oslo", "rome", "kyiv", "bonn") * 4)
+    )]
+    store = spark.createDataFrame(rows, "id long, document string, material string")
+    asked = store.filter("id % 3 = 0").selectExpr("id AS query_id", "document AS query_text")
+    hits = text_search(store, asked, 30)
+    first = {r["query_id"]: r["id"] for r in hits.filter("rank = 1").collect()}
+    assert first == {n: n for n in range(0, 20, 3)}
+    assert hits.groupBy("query_id").count().agg(F.min("count")).first()[0] == 20
+
+
+def test_embedding_is_unit_length_and_equal_for_equal_texts(spark):
+    df = spark.createDataFrame([("a b c",), ("a b c",), ("d e",), ("",), (None,)], "document string")
+    vectors = [r["embedding"] for r in TextEmbedder().fit(df).embed(df).collect()]
+    assert vectors[0] == vectors[1] and len(vectors[0]) == 512
+    assert np.allclose([np.linalg.norm(v) for v in vectors], [1, 1, 1, 0, 0], atol=1e-6)
+
+
+def test_many_hits_are_not_capped():
+    assert [search.candidates_for(n) for n in (1, 30, 200)] == [2, 60, 400]
+    assert search.candidates_for(200, 50) == 200
 
 
 def test_keyword_score(spark):
