@@ -62,7 +62,38 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, folder, "documents"))
 
 
-@query("op10_decontaminate")
+# The pattern of a word, and letters that are made lower-case.
+WORDS_SQL = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    r"'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+
+@query(
+    "op10_decontaminate",
+    f"""
+    WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+    b AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+    s AS (SELECT item_id, w, least(len(w), 10) AS n,
+                 unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS start FROM b WHERE len(w) > 0),
+    windows AS (SELECT DISTINCT item_id, n, array_to_string(list_slice(w, start, start + n - 1), ' ')
+                AS words FROM s),
+    lengths AS (SELECT DISTINCT n FROM windows),
+    places AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS start
+               FROM d, lengths WHERE len(w) >= n),
+    hits AS (SELECT doc_id, start, p.n, item_id FROM places p JOIN windows v
+             ON v.n = p.n AND v.words = array_to_string(list_slice(w, start, start + p.n - 1), ' ')),
+    covered AS (SELECT DISTINCT doc_id, unnest(range(start, start + n)) AS place FROM hits),
+    counts AS (SELECT doc_id, count(*) AS n_hit FROM covered GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits)
+              GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+           coalesce(n_items, 0) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN counts USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
+)
 def op10_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     found = decontaminate.contamination(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")
@@ -125,19 +156,31 @@ def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op8_warc")
+# Five hex digits are four digits of base 32.
+PAYLOADS_SQL = """
+    SELECT page_id, coalesce(html, '') AS payload,
+           array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               CAST(((CAST('0x' || substr(sha1(coalesce(html, '')), CAST(5 * (k // 4) + 1 AS BIGINT), 5)
+                           AS BIGINT) >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31) + 1 AS BIGINT), 1)
+               FOR k IN range(0, 32)], '') AS payload_digest
+    FROM pages
+"""
+
+
+@query(
+    "op8_warc",
+    f"""
+    WITH p AS ({PAYLOADS_SQL}),
+    m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS kept FROM p)
+    SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, payload_digest,
+           CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> kept THEN kept END AS refers_to
+    FROM m
+    """,
+)
 def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
     index = warc.archive(table(spark, folder, "pages"))
-    return index.select(
-        "page_id",
-        "payload_bytes",
-        "payload_digest",
-        "record_type",
-        "refers_to",
-        "url_key",
-        "captured_at",
-        "archive",
-    )
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @query("op9_suffix_dedup")
