@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,21 @@ def csv_encoding(spark: SparkSession, path: str) -> str:
     return "UTF-8" if broken.isEmpty() else "ISO-8859-1"
 
 
+def files_by_encoding(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """Files below ``path`` by encoding: ``UTF-8``, or ``ISO-8859-1`` where a line is no UTF-8.
+
+    One scan of the lines; a name and a flag per file reach the driver, which lists the files
+    of a table anyway.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid")
+    )
+    found: dict[str, list[str]] = {}
+    for row in lines.groupBy("file").agg(F.min("valid").alias("valid")).collect():
+        found.setdefault("UTF-8" if row["valid"] else "ISO-8859-1", []).append(row["file"])
+    return found
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -47,22 +63,45 @@ def read_csv(
 ) -> DataFrame:
     """A CSV table with a header row.
 
+    Without ``encoding`` each file is read in its own, which scans the lines once more.
     Without a schema the types are inferred, which reads the data once more; pass a
     schema for large inputs. ``multi_line`` allows quoted line breaks and makes each
     file one split.
     """
-    reader = (
-        spark.read.option("header", True)
-        .option("encoding", encoding or csv_encoding(spark, path))
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .options(**options)
-    )
-    reader = reader.option("inferSchema", True) if schema is None else reader.schema(schema)
-    table = reader.csv(path)
+
+    def read(files: str | list[str], charset: str, wanted) -> DataFrame:
+        reader = (
+            spark.read.option("header", True)
+            .option("encoding", charset)
+            .option("multiLine", multi_line)
+            .option("escape", '"')
+            .options(**options)
+        )
+        reader = reader.option("inferSchema", True) if wanted is None else reader.schema(wanted)
+        return reader.csv(files)
+
+    groups = {} if encoding else files_by_encoding(spark, path)
+    if len(groups) < 2:
+        table = read(path, encoding or next(iter(groups), "UTF-8"), schema)
+    else:
+        parts = {charset: read(files, charset, schema) for charset, files in sorted(groups.items())}
+        if schema is None:
+            wanted = _common_schema([part.schema for part in parts.values()])
+            parts = {charset: read(groups[charset], charset, wanted) for charset in parts}
+        table = reduce(DataFrame.unionByName, parts.values())
     return table.toDF(*clean_column_names(table.columns)) if clean_names else table
 
 
+def _common_schema(schemas: list[T.StructType]) -> T.StructType:
+    """The columns of the first schema; text where the files' inferred types differ."""
+    fields = []
+    for field in schemas[0]:
+        kinds = {other[field.name].dataType for other in schemas if field.name in other.names}
+        kind = field.dataType if len(kinds) == 1 else T.StringType()
+        fields.append(T.StructField(field.name, kind))
+    return T.StructType(fields)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

@@ -31,6 +31,16 @@ def test_latin1_csv(spark, tmp_path):
     assert readers.csv_encoding(spark, str(path)) == "UTF-8"
 
 
+def test_each_file_is_read_in_its_own_encoding(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("n,v\nMünchen,1\n".encode())
+    (tmp_path / "b.csv").write_bytes("n,v\nKöln,2\n".encode("latin-1"))
+    rows = {tuple(row) for row in readers.read_csv(spark, str(tmp_path)).collect()}
+    assert rows == {("München", 1), ("Köln", 2)}
+    rows = readers.read_csv(spark, str(tmp_path), schema="n string, v long").collect()
+    assert {row["n"] for row in rows} == {"München", "Köln"}
+
+
+
 def test_quoted_newlines_count_once(spark, tmp_path):
     path = tmp_path / "t.csv"
     path.write_text('a,b\n"x\ny",1\nz,2\n')
