@@ -6,7 +6,7 @@ hash is taken, so equal strings have their sampled position at the same place. S
 are named by their gram and grouped; a name that occurs once ends there. The stretch of all
 strings that belong to one sampled position is named next: where a whole stretch occurs again,
 all its strings are repeated. What remains are the edges of repeats. Their stretches meet by gram
-and are sorted with a difference cover of period three: triples at two of three places are
+- or, if very many share one, in short pieces by nearly all their bytes - and are sorted with a difference cover of period three: triples at two of three places are
 sorted, their names are sorted recursively, the remaining suffixes are merged in, and neighbours
 in the order are compared over 400 bytes.
 """
@@ -14,6 +14,7 @@ in the order are compared over 400 bytes.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,10 +29,13 @@ from tabulary.session import written
 LENGTH = 400
 GRAM_BITS = 7
 SLICE = 1 << 19
-#: Bytes of stretches sorted at once, and stretches of one gram beyond which single strings are
-#: counted by their digests instead, as no group may outgrow a task.
+#: Bytes of stretches sorted at once.
 SORTED_BYTES = 1_500_000
+#: Stretches of one gram beyond which they are cut into pieces of so many starts that meet by the
+#: bytes all these strings share. If as many pieces meet again, their strings are counted by
+#: digests instead, as no group may outgrow a task.
 HOT_GRAM = 2_000
+PIECE = 16
 
 BYTES = np.random.default_rng(9).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 FACTOR = 0x9E3779B97F4A7C15
@@ -62,8 +66,11 @@ def window_minima(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
-def cover(data: bytes, length: int, bits: int) -> Iterator[tuple[int, int, int]]:
-    """Stretches of strings by their sampled position: gram hash, first start, how many starts."""
+def cover(data: bytes, length: int, bits: int) -> Iterator[tuple[int, int, int, int]]:
+    """Stretches of strings by their sampled position.
+
+    Gram hash, first start, how many starts, and how far from the first the position is.
+    """
     width = length - (1 << bits) + 1
     whole = np.frombuffer(data, dtype=np.uint8)
     for begin in range(0, len(data) - length + 1, SLICE):
@@ -75,8 +82,10 @@ def cover(data: bytes, length: int, bits: int) -> Iterator[tuple[int, int, int]]
         sampled = (window_minima(keys, width) & POSITION).astype(np.int64)
         starts = np.flatnonzero(np.concatenate([[True], np.diff(sampled) != 0]))
         counts = np.diff(np.append(starts, len(sampled)))
-        grams = hashed[sampled[starts]].view(np.int64)
-        yield from zip(grams.tolist(), (starts + begin).tolist(), counts.tolist(), strict=True)
+        at = sampled[starts]
+        grams = hashed[at].view(np.int64)
+        columns = grams, starts + begin, counts, at - starts
+        yield from zip(*(column.tolist() for column in columns), strict=True)
 
 
 def suffix_order(text: np.ndarray, depth: int | None = None, reach: int = 1) -> np.ndarray:
@@ -183,79 +192,91 @@ def without(data: bytes, spans: list[list[int]]) -> bytes:
     return b"".join([*kept, data[done:]])
 
 
-STRETCH = "`row` long, doc_id {0}, gram long, stretch long, start int, n int"
+STRETCH = (
+    "`row` long, doc_id {0}, gram long, stretch long, start int, n int, at int, copies int"
+)
+STRETCH_NAMES = ["row", "doc_id", "gram", "stretch", "start", "n", "at", "copies"]
 
 
 def stretches(docs: DataFrame, kind: str, length: int, bits: int) -> DataFrame:
-    """A row for every sampled position of every text of at least ``length`` bytes."""
+    """A row for every sampled position of every text of at least ``length`` bytes.
+
+    Stretches that occur more than once in their text are repeated already: one of them goes on
+    with the number of copies, and a row without a gram states where all of them are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
-            doc, gram, name, start, count = [], [], [], [], []
+            rows: list[tuple] = []
             for number, data in enumerate(batch.column(2).to_pylist()):
-                if data is None or len(data) < length:
-                    continue
-                for own, first, n in cover(data, length, bits):
-                    doc.append(number)
-                    gram.append(own)
-                    name.append(digest(data[first : first + n + length - 1]))
-                    start.append(first)
-                    count.append(n)
-            rows = pa.array(doc, pa.int64())
+                if data is not None and len(data) >= length:
+                    rows += _own_stretches(number, data, length, bits)
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            chosen = pa.array(columns[0], pa.int64())
+            kinds = [pa.int64()] * 2 + [pa.int32()] * 4
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(rows),
-                    batch.column(1).take(rows),
-                    pa.array(gram, pa.int64()),
-                    pa.array(np.array(name, dtype=np.uint64).view(np.int64)),
-                    pa.array(start, pa.int32()),
-                    pa.array(count, pa.int32()),
-                ],
-                names=["row", "doc_id", "gram", "stretch", "start", "n"],
+                [batch.column(0).take(chosen), batch.column(1).take(chosen)]
+                + [pa.array(c, k) for c, k in zip(columns[1:], kinds, strict=True)],
+                names=STRETCH_NAMES,
             )
 
     return docs.mapInArrow(run, STRETCH.format(kind))
 
 
-def decided(rows: DataFrame) -> DataFrame:
+def signed(number: int) -> int:
+    return number - (1 << 64) if number >> 63 else number
+
+
+def _own_stretches(number: int, data: bytes, length: int, bits: int) -> list[tuple]:
+    digest = xxhash.xxh3_64_intdigest
+    first: dict[tuple[int, int], tuple] = {}
+    copies: Counter = Counter()
+    known: list[tuple[int, int]] = []
+    for gram, start, n, at in cover(data, length, bits):
+        name = gram, signed(digest(data[start : start + n + length - 1]))
+        copies[name] += 1
+        if name in first:
+            if copies[name] == 2:
+                known.append((first[name][0], first[name][0] + first[name][1]))
+            known.append((start, start + n))
+        else:
+            first[name] = start, n, at
+    rows = [(number, *name, *place, copies[name]) for name, place in first.items()]
+    rows += [(number, None, None, start, end - start, 0, 0) for start, end in joined(known)]
+    return rows
+
+
+def decided(rows: DataFrame, *carried: str) -> DataFrame:
     """Stretches whose gram occurs again: whether they are repeated, and which to compare.
 
     Counts are combined before each shuffle and joined back by name, where adaptive execution
     splits a hot one, so no gram has to fit in a task.
     """
+    places = ["row", "doc_id", "gram", "start", "n", "at", *carried]
     grams = rows.groupBy("gram").agg(
-        F.count(F.lit(1)).alias("grams"),
+        F.sum("copies").alias("grams"),
         F.min("stretch").alias("least"),
         F.max("stretch").alias("most"),
     )
     again = rows.join(grams.filter("grams > 1"), "gram").select(
-        "row", "doc_id", "gram", "stretch", "start", "n", (F.col("least") == F.col("most")).alias("same")
+        *places, "stretch", "copies", (F.col("least") == F.col("most")).alias("same")
     )
     again = written(again, "again")
     mixed = again.filter(~F.col("same"))
     names = mixed.groupBy("gram", "stretch").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(F.struct("row", "start")).alias("one")
+        F.sum("copies").alias("total"), F.min(F.struct("row", "start")).alias("one")
     )
     names = written(names, "names")
     sizes = names.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
     names = names.join(sizes, "gram")
     known = mixed.join(names, ["gram", "stretch"]).select(
-        "row",
-        "doc_id",
-        "gram",
-        "start",
-        "n",
-        (F.col("copies") > 1).alias("repeated"),
+        *places,
+        (F.col("total") > 1).alias("repeated"),
         (F.col("one") == F.struct("row", "start")).alias("compare"),
         (F.col("kinds") > HOT_GRAM).alias("hot"),
     )
     whole = again.filter("same").select(
-        "row",
-        "doc_id",
-        F.lit(None).cast("long").alias("gram"),
-        "start",
-        "n",
+        *places,
         F.lit(True).alias("repeated"),
         F.lit(False).alias("compare"),
         F.lit(False).alias("hot"),
@@ -263,7 +284,9 @@ def decided(rows: DataFrame) -> DataFrame:
     return known.unionByName(whole)
 
 
-STRETCHES = "array<struct<gram:bigint,start:int,n:int,own:boolean,hot:boolean,bytes:binary>>"
+STRETCHES = (
+    "array<struct<gram:bigint,start:int,n:int,at:int,own:boolean,hot:boolean,bytes:binary>>"
+)
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 RESULT_NAMES = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
@@ -299,6 +322,7 @@ def opened(joined_docs: DataFrame, kind: str, length: int, keep: bool) -> DataFr
                         "gram": s["gram"],
                         "start": s["start"],
                         "n": s["n"],
+                        "at": s["at"],
                         "own": not s["repeated"],
                         "hot": s["hot"],
                         "bytes": data[s["start"] : s["start"] + s["n"] + length - 1],
@@ -330,6 +354,7 @@ STRETCH_TYPE = pa.list_(
             ("gram", pa.int64()),
             ("start", pa.int32()),
             ("n", pa.int32()),
+            ("at", pa.int32()),
             ("own", pa.bool_()),
             ("hot", pa.bool_()),
             ("bytes", pa.binary()),
@@ -408,6 +433,64 @@ def _sorted(table: pa.Table, length: int) -> pa.RecordBatch:
     )
 
 
+PIECES = (
+    "`row` long, doc_id {0}, gram long, stretch long, start int, n int, at int, copies int, "
+    "own boolean, bytes binary"
+)
+
+
+def cut_small(rows: DataFrame, kind: str, length: int) -> DataFrame:
+    """Stretches cut into pieces, each named by the bytes that all strings of its place share.
+
+    Pieces are aligned to the sampled position, so equal strings are in pieces of one name.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_64_intdigest
+        for batch in batches:
+            out: list[tuple] = []
+            columns = (batch.column(c).to_pylist() for c in ("start", "n", "at", "bytes"))
+            for number, (start, n, at, data) in enumerate(zip(*columns, strict=True)):
+                begin = 0
+                while begin < n:
+                    block = (at - begin) // PIECE
+                    end = min(n, at - block * PIECE + 1)
+                    shared = at - block * PIECE
+                    core = data[shared : shared + length - PIECE + 1]
+                    piece = data[begin : end - 1 + length]
+                    name = signed(digest(core, seed=block + (1 << 32))), signed(digest(piece))
+                    out.append((number, *name, start + begin, end - begin, at - begin, 1, piece))
+                    begin = end
+            values = list(zip(*out, strict=True)) or [()] * 8
+            chosen = pa.array(values[0], pa.int64())
+            kinds = [pa.int64()] * 2 + [pa.int32()] * 4
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).take(chosen) for c in ("row", "doc_id")]
+                + [pa.array(v, k) for v, k in zip(values[1:7], kinds, strict=True)]
+                + [batch.column("own").take(chosen), pa.array(values[7], pa.binary())],
+                names=[*STRETCH_NAMES, "own", "bytes"],
+            )
+
+    return rows.mapInArrow(run, PIECES.format(kind))
+
+
+def compared_small(rows: DataFrame, kind: str, length: int) -> DataFrame:
+    """Spans of repeated strings of grams with very many stretches, piece by piece."""
+    pieces = decided(cut_small(rows, kind, length), "own", "bytes")
+    pieces = written(pieces.filter("compare OR (own AND repeated)"), "pieces")
+    known = pieces.filter("own AND repeated").select(
+        "row", "doc_id", "start", (F.col("start") + F.col("n") + (length - 1)).alias("end")
+    )
+    open_ = pieces.filter("compare").withColumn("own", F.expr("own AND NOT repeated"))
+    return known.unionByName(
+        compared(by_gram(open_.filter("NOT hot")), kind, length)
+    ).unionByName(counted(open_.filter("hot"), kind, length))
+
+
+def by_gram(rows: DataFrame) -> DataFrame:
+    return rows.repartition("gram").sortWithinPartitions("gram")
+
+
 def counted(rows: DataFrame, kind: str, length: int) -> DataFrame:
     """Spans of repeated strings of grams with very many stretches, by counting digests.
 
@@ -483,13 +566,20 @@ def remove_repeats(
         F.col("text").cast("binary").alias("text"),
     )
     rows = written(stretches(docs, kind, length, gram_bits), "stretches")
+    within = rows.filter("gram IS NULL").select(
+        *("row", "doc_id", "gram", "start", "n", "at"),
+        F.lit(True).alias("repeated"),
+        F.lit(False).alias("compare"),
+        F.lit(False).alias("hot"),
+    )
     per_document = (
-        decided(rows)
+        decided(rows.filter("gram IS NOT NULL"))
+        .unionByName(within)
         .groupBy(F.col("row").alias("own_row"), F.col("doc_id").alias("own_id"))
         .agg(
-            F.collect_list(F.struct("gram", "start", "n", "repeated", "compare", "hot")).alias(
-                "listed"
-            )
+            F.collect_list(
+                F.struct("gram", "start", "n", "at", "repeated", "compare", "hot")
+            ).alias("listed")
         )
     )
     # The id beside its hash, should two hashes ever agree.
@@ -497,10 +587,10 @@ def remove_repeats(
     both = docs.join(per_document, own, "left").select("row", "doc_id", "text", "listed")
     table = written(opened(both, kind, length, keep), "opened")
     pieces = table.select("row", "doc_id", F.inline("stretches"))
-    cold = pieces.filter(~F.col("hot")).repartition("gram").sortWithinPartitions("gram")
-    found = compared(cold, kind, length).unionByName(
-        counted(pieces.filter("hot"), kind, length)
-    )
+    found = compared(by_gram(pieces.filter("NOT hot")), kind, length)
+    hot = pieces.filter("hot")
+    if not hot.isEmpty():
+        found = found.unionByName(compared_small(hot, kind, length))
     found = found.groupBy(F.col("row").alias("own_row"), F.col("doc_id").alias("own_id")).agg(
         F.collect_list(F.struct("start", "end")).alias("found")
     )

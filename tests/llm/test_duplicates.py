@@ -205,7 +205,7 @@ def test_repeated_starts(text, length):
 @given(st.text(alphabet="abé ", max_size=300))
 def test_cover_deals_out_every_start_once(text):
     data, length = text.encode(), 40
-    starts = [s + k for _, s, n in suffixes.cover(data, length, 4) for k in range(n)]
+    starts = [s + k for _, s, n, _ in suffixes.cover(data, length, 4) for k in range(n)]
     assert starts == list(range(max(0, len(data) - length + 1)))
 
 
@@ -255,7 +255,7 @@ def test_repeats_against_brute_force(spark, monkeypatch):
     assert sorted(collected(found, *columns), key=str) == expected
     monkeypatch.setattr(suffixes, "SLICE", 64)
     monkeypatch.setattr(suffixes, "HOT_GRAM", 2000)
-    starts = [s + k for _, s, n in suffixes.cover(b"ab" * 300, 60, 4) for k in range(n)]
+    starts = [s + k for _, s, n, _ in suffixes.cover(b"ab" * 300, 60, 4) for k in range(n)]
     assert starts == list(range(541))
 
 

@@ -178,7 +178,7 @@ def test_random_strings_are_told_from_text(spark):
     for row in secrets.scanned(df, "doc_id", "text").collect():
         for tested in row.tested:
             text = rows[row.doc_id][1][tested.start : tested.end]
-            assert abs(min(400, max(0, slow_bin(text))) - tested.bin) <= 1.01
+            assert abs(min(400, max(0, slow_bin(text))) - tested.bin) <= 2
     found = {r.doc_id: [s for s in r.found if s.kind == "random"] for r in secrets.find(df).collect()}
     share = sum(bool(found[n]) for n in range(300)) / 300
     assert share >= 0.9
