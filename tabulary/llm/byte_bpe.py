@@ -27,7 +27,7 @@ from tabulary.llm.merges import Merges
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.PATTERN
-CHUNKS_KEPT, PIECES_KEPT = 150_000, 500_000
+CHUNKS_KEPT, PIECES_KEPT = 80_000, 250_000
 
 #: Marks that end most words; with the stated pattern such a word is two pieces.
 STOPS = tuple(".,;:!?")

@@ -12,7 +12,8 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from itertools import repeat
+from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -182,8 +183,11 @@ def occurrences(codes: np.ndarray, benchmark: Benchmark) -> tuple[np.ndarray, np
     return places[index.locate(rows)], window
 
 
-def _pass(df: DataFrame, benchmark, key_type: str) -> DataFrame:
-    """``doc_id, n_words, spans, items`` against one block of the benchmark."""
+def _pass(df: DataFrame, benchmark, key_type: str, clean: bool = False) -> DataFrame:
+    """``doc_id, n_words, spans, items`` against one block of the benchmark.
+
+    With ``clean`` also ``text``, without the passages found.
+    """
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         stated = benchmark.value
@@ -212,18 +216,30 @@ def _pass(df: DataFrame, benchmark, key_type: str) -> DataFrame:
             spans[doc] = np.stack([from_, to], axis=1).tolist()
             owners = set().union(*(stated.owners[w] for w in np.unique(windows[group])))
             items[doc] = sorted(str(item) for item in owners if item is not None)
-        return [
+        columns = [
             batch.column(0),
             pa.array(counts),
             pa.array(spans, pa.list_(pa.list_(pa.int64()))),
             pa.array(items, pa.list_(pa.string())),
         ]
-
-    return map_batches(
-        df,
-        make,
-        f"doc_id {key_type}, n_words long, spans array<array<long>>, items array<string>",
-        ("doc_id", "n_words", "spans", "items"),
+        if clean:
+            columns.append(_without(batch.column(1), spans))
+        return columns
+
+    schema = f"doc_id {key_type}, n_words long, spans array<array<long>>, items array<string>"
+    names = ["doc_id", "n_words", "spans", "items"]
+    if clean:
+        schema, names = f"{schema}, text string", [*names, "text"]
+    return map_batches(df, make, schema, names)
+
+
+def _without(texts: pa.Array, spans: list[list]) -> pa.Array:
+    """Texts without their spans; the column itself if none has any."""
+    if not any(spans):
+        return texts
+    return pa.array(
+        [without_passages(t, s) if s else t for t, s in zip(texts.to_pylist(), spans, strict=True)],
+        pa.string(),
     )
 
 
@@ -249,16 +265,25 @@ def contamination(
     the benchmark. Without documents there is no row, without benchmark no hit. Only the named
     columns are used.
     """
-    spark, key_type = df.sparkSession, df.schema[id_col].dataType.simpleString()
+    key_type = df.schema[id_col].dataType.simpleString()
     docs = picked(df, doc_id=id_col, text=text_col)
-    items = picked(benchmark, item_id=item_col, text=item_text_col).filter("text IS NOT NULL")
+    items = picked(benchmark, item_id=item_col, text=item_text_col)
+    shared = _blocks(items, window, block_bytes)
+    first = next(shared)
+    second = next(shared, None)
+    if second is None:
+        return _pass(docs, first, key_type).withColumn("n_hit", _hits("spans"))
+    return _merged(docs, chain((first, second), shared), window, key_type)
+
+
+def _blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator:
+    """The benchmark in blocks, each broadcast when it is asked for; one block at least."""
+    items = items.filter("text IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    shared = (_shared(items, block == number, window) for number in range(blocks))
-    if blocks == 1:
-        return _pass(docs, next(shared), key_type).withColumn("n_hit", _hits("spans"))
-    return _merged(docs, shared, window, key_type)
+    for number in range(blocks):
+        yield _shared(items, block == number, window)
 
 
 def _shared(items: DataFrame, own, window: int):
@@ -343,18 +368,31 @@ def cleaned(
     ``item_id, text``.
     """
     names = df.columns
-    whole = F.struct(*(F.col(f"`{name}`") for name in names)).alias("whole")
-    rows = df.select(whole).withColumn("text", F.col(f"whole.`{text_col}`"))
-    found = contamination(rows, benchmark, window, id_col="whole")
-    kind = found.schema["doc_id"].dataType.simpleString()
-    hit = found.select("doc_id", F.col(f"doc_id.`{text_col}`").alias("text"), "spans")
-
-    def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        texts, spans = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        kept = [without_passages(t, s) if s else t for t, s in zip(texts, spans, strict=True)]
-        return [batch.column(0), pa.array(kept, pa.string())]
-
-    result = map_batches(hit, make, f"whole {kind}, text string", ("whole", "text"))
-    return result.select(
-        *(F.col("text").alias(n) if n == text_col else F.col(f"whole.`{n}`").alias(n) for n in names)
+    rest = F.struct(
+        *(F.col(f"`{name}`") for name in names if name != text_col), F.lit(True).alias("_row")
+    ).alias("rest")
+    rows = df.select(rest, F.col(f"`{text_col}`").alias("text"))
+    shared = _blocks(picked(benchmark, item_id="item_id", text="text"), window, BLOCK_BYTES)
+    first = next(shared)
+    second = next(shared, None)
+    kind = rows.schema["rest"].dataType.simpleString()
+    if second is None:
+        cleaned = _pass(rows.select(F.col("rest").alias("doc_id"), "text"), first, kind, clean=True)
+    else:
+        # All blocks are searched in the text as it came, so it goes along as part of the row.
+        whole = F.struct("rest", "text").alias("doc_id")
+        docs = rows.select(whole, "text")
+        merged = _merged(docs, chain((first, second), shared), window, docs.schema["doc_id"].dataType.simpleString())
+        found = merged.select("doc_id.rest", "doc_id.text", "spans")
+
+        def make(batch: pa.RecordBatch) -> list[pa.Array]:
+            spans = batch.column(2).to_pylist()
+            return [batch.column(0), _without(batch.column(1), spans)]
+
+        cleaned = map_batches(found, make, f"doc_id {kind}, text string", ("doc_id", "text"))
+    return cleaned.select(
+        *(
+            F.col("text").alias(name) if name == text_col else F.col(f"doc_id.`{name}`").alias(name)
+            for name in names
+        )
     )

@@ -23,7 +23,7 @@ from tabulary.llm.common import map_batches, picked, texts
 WIDTH = 1024
 SYMBOLS = 128
 SEED = 20
-CELLS = 4_000_000
+CELLS = 1_500_000
 UNKNOWN = "und"
 
 
@@ -147,10 +147,11 @@ def bundled_by(
         total = np.zeros(SYMBOLS**3, dtype=np.int64)
         for start in range(0, len(chosen), 256):
             total += np.bincount(runs_of(chosen[start : start + 256])[1], minlength=SYMBOLS**3)
-        distinct = np.flatnonzero(total)
-        weights = total[distinct].astype(np.float64)
-        vectors = run_vectors(distinct, width).astype(np.float64)
-        yield language, weights @ vectors
+        distinct, bundled = np.flatnonzero(total), np.zeros(width)
+        for start in range(0, len(distinct), 1024):
+            part = distinct[start : start + 1024]
+            bundled += total[part].astype(np.float64) @ run_vectors(part, width).astype(np.float64)
+        yield language, bundled
 
 
 def identify(
@@ -159,12 +160,14 @@ def identify(
     id_col: str = "doc_id",
     text_col: str = "text",
     width: int = WIDTH,
+    with_text: bool = False,
 ) -> DataFrame:
     """``doc_id, lang_pred, score`` of whole texts; the score is the cosine, 0 at least.
 
     Texts that are null or have no letter are ``und`` with score 0, as are all if nothing was
     learned. Of equal cosines the language first in the alphabet wins. Repeated rows and null
-    ids stay; an empty table gives no row. Only the two named columns are used.
+    ids stay; an empty table gives no row. Only the two named columns are used; ``with_text``
+    gives the texts back too.
     """
     names = sorted(learned)
     norms = [np.linalg.norm(learned[name]) or 1.0 for name in names]
@@ -184,9 +187,12 @@ def identify(
             some = np.flatnonzero(lengths > 0)
             predicted[first + some] = np.array(known, dtype=object)[best[some]]
             scores[first + some] = np.clip(cosine[some, best[some]], 0.0, 1.0)
-        return [batch.column(0), pa.array(predicted, pa.string()), pa.array(scores)]
+        found = [batch.column(0), pa.array(predicted, pa.string()), pa.array(scores)]
+        return [*found, batch.column(1)] if with_text else found
 
     kind = df.schema[id_col].dataType.simpleString()
     chosen = picked(df, doc_id=id_col, text=text_col)
-    names = ("doc_id", "lang_pred", "score")
-    return map_batches(chosen, make, f"doc_id {kind}, lang_pred string, score double", names)
+    schema, names = f"doc_id {kind}, lang_pred string, score double", ["doc_id", "lang_pred", "score"]
+    if with_text:
+        schema, names = f"{schema}, text string", [*names, "text"]
+    return map_batches(chosen, make, schema, names)

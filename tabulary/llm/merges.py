@@ -13,7 +13,7 @@ from tabulary.llm.common import Memo
 
 NEVER = 1 << 60
 SHIFT = 20
-PAIRS_KEPT = 400_000
+PAIRS_KEPT = 200_000
 
 
 class Merges:

@@ -55,23 +55,26 @@ DIGITS = {
 SPELLED = "|".join(DIGITS)
 
 #: A word at or a dot in brackets, or dots spelled out after a spelled at.
-BRACKETED = re.compile(
-    r"\s*(?:[\[({<]\s*(?P<sign>at|@|dot|\.)\s*[\])}>])\s*", re.IGNORECASE
-)
+SIGN = re.compile(r"[\[({<]\s*(?P<sign>at|@|dot|\.)\s*[\])}>]", re.IGNORECASE)
+BRACKETED = re.compile(rf"\s*{SIGN.pattern}\s*", re.IGNORECASE)
 BARE = re.compile(
     r"[A-Za-z0-9._%+-]+(?P<at>\s+at\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*"
     r"(?:\s+dot\s+)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*",
     re.IGNORECASE,
 )
 WORD_SIGN = re.compile(r"\s+(?P<sign>at|dot)\s+|\s*(?P<plain>@)\s*", re.IGNORECASE)
-#: At least four digits, one of them spelled out, with single marks between them.
+#: What may stand between digits that belong together.
+GAP = r"(?:\s+dot\s+|[\s,.-]{1,3})"
+#: At least four numbers, a digit or a dot among them spelled out.
 COUNTED = re.compile(
-    rf"(?:\bplus[\s-]+|\+\s*)?\b(?:(?:{SPELLED})\b|[0-9]+)(?:[\s,.-]{{1,3}}(?:(?:{SPELLED})\b|[0-9]+)){{3,}}",
+    rf"(?:\bplus[\s-]+|\+\s*)?\b(?:(?:{SPELLED})\b|[0-9]+)(?:{GAP}(?:(?:{SPELLED})\b|[0-9]+)){{3,}}",
     re.IGNORECASE,
 )
 DIGIT_PART = re.compile(rf"(?P<plus>plus|\+)|(?P<word>{SPELLED})|(?P<digits>[0-9]+)", re.IGNORECASE)
 #: Two spelled digits in a row: without them no sequence of digits is spelled out.
-SPELLED_PAIR = re.compile(rf"\b(?:{SPELLED})[\s,.-]{{1,3}}(?:{SPELLED}|[0-9])|[0-9][\s,.-]{{1,3}}(?:{SPELLED})\b")
+SPELLED_PAIR = re.compile(
+    rf"\b(?:{SPELLED}){GAP}(?:{SPELLED}|[0-9])|[0-9]{GAP}(?:{SPELLED})\b|[0-9]\s+dot\s+[0-9]"
+)
 
 
 def _luhn(digits: str) -> bool:
@@ -195,12 +198,13 @@ def _numbers(tape: Tape) -> None:
     edits = []
     for run in COUNTED.finditer(tape.text):
         parts = list(DIGIT_PART.finditer(tape.text, *run.span()))
-        if not any(part["word"] for part in parts):
+        if not any(part["word"] for part in parts) and "dot" not in run[0].lower():
             continue
         # A part's stretch reaches to the next one, so that what stands between goes with it.
         for number, part in enumerate(parts):
             end = parts[number + 1].start() if number + 1 < len(parts) else part.end()
-            keep = "." if "." in tape.text[part.end() : end] else ""
+            between = tape.text[part.end() : end].lower()
+            keep = "." if "." in between or "dot" in between else ""
             new = "+" if part["plus"] else part["digits"] or DIGITS[part["word"].lower()]
             edits.append((part.start(), part.end(), new))
             if end > part.end():
@@ -213,10 +217,9 @@ def disguised(text: str) -> bool:
     """Whether a transducer could change the text."""
     low = text.lower()
     return (
-        (not text.isascii() and any(look(letter) is not None for letter in set(text) if letter >= "\x80"))
+        (not text.isascii() and any(look(c) is not None for c in set(text) if c >= "\x80"))
         or ("dot" in low and WORD_SIGN.search(low) is not None)
-        or any(sign in low for sign in ("at]", "at)", "at}", "at>", "@]", "@)", "@}", "@>", " ]", " )"))
-        and BRACKETED.search(low) is not None
+        or SIGN.search(low) is not None
         or SPELLED_PAIR.search(low) is not None
     )
 

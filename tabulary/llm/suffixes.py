@@ -258,7 +258,9 @@ def decided(rows: DataFrame, *carried: str) -> DataFrame:
         F.min("stretch").alias("least"),
         F.max("stretch").alias("most"),
     )
-    again = rows.join(grams.filter("grams > 1"), "gram").select(
+    # Written, so that the join alone deals the rows out and may split a hot gram.
+    grams = written(grams.filter("grams > 1"), "grams")
+    again = rows.join(grams, "gram").select(
         *places, "stretch", "copies", (F.col("least") == F.col("most")).alias("same")
     )
     again = written(again, "again")
@@ -267,13 +269,14 @@ def decided(rows: DataFrame, *carried: str) -> DataFrame:
         F.sum("copies").alias("total"), F.min(F.struct("row", "start")).alias("one")
     )
     names = written(names, "names")
-    sizes = names.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
-    names = names.join(sizes, "gram")
+    many = names.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds"))
+    many = written(many.filter(F.col("kinds") > HOT_GRAM), "many")
+    names = names.join(many, "gram", "left")
     known = mixed.join(names, ["gram", "stretch"]).select(
         *places,
         (F.col("total") > 1).alias("repeated"),
         (F.col("one") == F.struct("row", "start")).alias("compare"),
-        (F.col("kinds") > HOT_GRAM).alias("hot"),
+        F.col("kinds").isNotNull().alias("hot"),
     )
     whole = again.filter("same").select(
         *places,
@@ -488,7 +491,9 @@ def compared_small(rows: DataFrame, kind: str, length: int) -> DataFrame:
 
 
 def by_gram(rows: DataFrame) -> DataFrame:
-    return rows.repartition("gram").sortWithinPartitions("gram")
+    """Groups of stretches, in as many partitions as shuffles have: few bytes are much work."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(partitions, "gram").sortWithinPartitions("gram")
 
 
 def counted(rows: DataFrame, kind: str, length: int) -> DataFrame:

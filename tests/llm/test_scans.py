@@ -73,6 +73,9 @@ def test_plain_kinds_follow_the_patterns(text):
         ("write jоhn@exаmple.com today", "email", "jоhn@exаmple.com"),
         ("john@exa​mple.com", "email", "john@exa​mple.com"),
         ("host １９２.168.0.1 up", "ip", "１９２.168.0.1"),
+        ("host 192 dot 168 dot 0 dot 1 up", "ip", "192 dot 168 dot 0 dot 1"),
+        ("host 192[.]168[.]0[.]1 up", "ip", "192[.]168[.]0[.]1"),
+        ("at one nine two dot one six eight dot zero dot one", "ip", "one nine two dot one six eight dot zero dot one"),
         (
             "call plus four nine one five one two three four five six seven eight",
             "phone",
