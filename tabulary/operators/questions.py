@@ -30,9 +30,9 @@ STATISTICAL_PATTERNS = (
     (r"^(oldest and youngest|youngest and oldest)\s+(\w+)$", "range_pair"),
     (r"^(highest and lowest|lowest and highest)\s+(\w+)$", "range_pair"),
     (r"^(total number of|number of|total)\s+(\w+)$", "count"),
-    (r"how many\s+(\w+)\s+(are|is)\s+(older than|greater than|above|over)\s+(\d+)", "count_greater"),
-    (r"how many\s+(\w+)\s+(are|is)\s+(younger than|less than|below|under)\s+(\d+)", "count_less"),
-    (r"how many\s+(\w+)\s+(are|is)\s+(exactly|equal to)\s+(\d+)", "count_equal"),
+    (r"how many\s+(\w+)\s+(are|is)\s+(older than|greater than|above|over)\s+(\d+)", "conditional_count_greater"),
+    (r"how many\s+(\w+)\s+(are|is)\s+(younger than|less than|below|under)\s+(\d+)", "conditional_count_less"),
+    (r"how many\s+(\w+)\s+(are|is)\s+(exactly|equal to)\s+(\d+)", "conditional_count_equal"),
     (r"^(how many|count of|number of)\s+", "count"),
     (r"^count\s+", "count"),
     (r"who\s+is\s+(the\s+)?(highest|lowest|best|worst|top|bottom)\s+paid", "superlative_salary"),
@@ -218,8 +218,8 @@ def tag_questions(questions: DataFrame, text: str = "question") -> DataFrame:
                     "range_pair": 2,
                 }
             ),
-            "entity": part({"count_greater": 1, "count_less": 1, "count_equal": 1}),
-            "_value": part({"count_greater": 4, "count_less": 4, "count_equal": 4}),
+            "entity": part({f"conditional_count_{sign}": 1 for sign in ("greater", "less", "equal")}),
+            "_value": part({f"conditional_count_{sign}": 4 for sign in ("greater", "less", "equal")}),
         }
     )
     pattern_type, target = F.col("pattern_type"), F.col("_target")
@@ -230,7 +230,7 @@ def tag_questions(questions: DataFrame, text: str = "question") -> DataFrame:
         F.when(F.col("_op").isNotNull(), aliases[F.col("_op")])
         .when(pattern_type.isin("range", "range_pair"), "range")
         .when(pattern_type == "count", "count")
-        .when(pattern_type.startswith("count_"), "conditional_count")
+        .when(pattern_type.startswith("conditional_count_"), "conditional_count")
         .when(
             pattern_type == "superlative_salary",
             F.when(words.rlike("highest|most|maximum|top|best"), largest).otherwise(smallest),
@@ -258,7 +258,7 @@ def tag_questions(questions: DataFrame, text: str = "question") -> DataFrame:
     meant = (
         F.when(pattern_type.isin("range", "range_pair"), ranged)
         .when(pattern_type == "direct_stat_compound", compound)
-        .when(pattern_type.startswith("count_") | (pattern_type == "superlative_age"), "age")
+        .when(pattern_type.startswith("conditional_count_") | (pattern_type == "superlative_age"), "age")
         .when(pattern_type == "superlative_salary", "salary")
         .when(pattern_type == "superlative_performance", "performance_rating")
         .otherwise(target)
@@ -280,9 +280,9 @@ def tag_questions(questions: DataFrame, text: str = "question") -> DataFrame:
         .otherwise(F.lit(SEMANTIC_CONFIDENCE))
     )
     sign = (
-        F.when(pattern_type == "count_greater", ">")
-        .when(pattern_type == "count_less", "<")
-        .when(pattern_type == "count_equal", "==")
+        F.when(pattern_type == "conditional_count_greater", ">")
+        .when(pattern_type == "conditional_count_less", "<")
+        .when(pattern_type == "conditional_count_equal", "==")
     )
     return (
         asked.withColumn("query_type", query_type)
@@ -298,7 +298,8 @@ def tag_questions(questions: DataFrame, text: str = "question") -> DataFrame:
         .select(
             *questions.columns,
             "query_type",
-            "pattern_type",
+            # The patterns of two words are a kind of range that takes its column elsewhere.
+            F.regexp_replace("pattern_type", "^range_pair$", "range").alias("pattern_type"),
             "confidence",
             "op",
             "target",

@@ -187,7 +187,7 @@ def _tagged_sql() -> str:
         "range": 1,
         "range_pair": 2,
     }
-    condition = {"count_greater": 1, "count_less": 1, "count_equal": 1}
+    condition = {f"conditional_count_{sign}": 1 for sign in ("greater", "less", "equal")}
     value = dict.fromkeys(condition, 4)
     return f"""
     WITH a AS (SELECT qid, question, regexp_replace(lower(question), '^\\s+|\\s+$', '', 'g') AS w
@@ -198,10 +198,10 @@ def _tagged_sql() -> str:
     d AS (SELECT qid, question,
         CASE WHEN k IS NOT NULL THEN 'statistical' WHEN {visual} THEN 'visualization'
              WHEN {rows} THEN 'row_search' ELSE 'semantic' END AS query_type,
-        k AS pattern_type,
+        replace(k, 'range_pair', 'range') AS pattern_type,
         CASE WHEN o IS NOT NULL THEN {_case([(f"o = '{a}'", f"'{b}'") for a, b in ops.items()])}
              WHEN k IN ('range', 'range_pair') THEN 'range' WHEN k = 'count' THEN 'count'
-             WHEN k LIKE 'count_%' THEN 'conditional_count'
+             WHEN k LIKE 'conditional_count_%' THEN 'conditional_count'
              WHEN k = 'superlative_salary' THEN
                  CASE WHEN regexp_matches(w, 'highest|most|maximum|top|best') THEN 'max' ELSE 'min' END
              WHEN k = 'superlative_age' THEN
@@ -218,12 +218,12 @@ def _tagged_sql() -> str:
                       THEN 'performance_rating'
                       WHEN contains(t, 'salary') OR contains(t, 'salaries') THEN 'salary'
                       ELSE replace(t, ' ', '_') END
-             WHEN k IN ('count_greater', 'count_less', 'count_equal', 'superlative_age') THEN 'age'
+             WHEN k LIKE 'conditional_count_%' OR k = 'superlative_age' THEN 'age'
              WHEN k = 'superlative_salary' THEN 'salary'
              WHEN k = 'superlative_performance' THEN 'performance_rating' ELSE t END AS target,
         e AS entity,
-        CASE k WHEN 'count_greater' THEN '>' WHEN 'count_less' THEN '<'
-               WHEN 'count_equal' THEN '==' END AS cond_op,
+        CASE k WHEN 'conditional_count_greater' THEN '>' WHEN 'conditional_count_less' THEN '<'
+               WHEN 'conditional_count_equal' THEN '==' END AS cond_op,
         TRY_CAST(v AS BIGINT) AS cond_value FROM c)
     SELECT *, CAST(CASE WHEN pattern_type = 'count' THEN 0.9
              WHEN pattern_type IN ('superlative_general', 'comparison') THEN 0.7

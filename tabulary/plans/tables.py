@@ -147,11 +147,6 @@ def row_count(spark: SparkSession, folder: str) -> DataFrame:
     return readers.row_count(table(spark, folder, "lineitem"))
 
 
-@query("file_manifest")
-def file_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return readers.file_manifest(spark, folder, allowed=("csv", "xlsx", "xls", "parquet"))
-
-
 def _results(spark: SparkSession, folder: str) -> DataFrame:
     """Search results made of documents: some hold data rows, some a chart."""
     return table(spark, folder, "documents").select(
