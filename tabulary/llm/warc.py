@@ -29,7 +29,9 @@ BETWEEN = END * 2
 VERSION = "WARC/1.1"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
-RECORDS_PER_FILE = 5_000
+#: Bytes of payload wanted in a file, and never to be exceeded unless by a single record, as a
+#: file is read as a whole.
+FILE_BYTES, MOST_FILE_BYTES = 16 << 20, 512 << 20
 
 
 def payload_digest(payload: bytes) -> str:
@@ -135,8 +137,10 @@ def write(
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     records = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    # Files stay small enough to be read as a whole.
-    writer = records.write.option("maxRecordsPerFile", RECORDS_PER_FILE)
+    size = F.octet_length("html") + 1024
+    mean, most = chosen.agg(F.avg(size), F.max(size)).first()
+    per_file = max(1, int(min(FILE_BYTES // (mean or 1024), MOST_FILE_BYTES // (most or 1024))))
+    writer = records.write.option("maxRecordsPerFile", per_file)
     writer.option("lineSep", BETWEEN).option("compression", "gzip").text(path)
 
 
