@@ -8,10 +8,9 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from helpers import no_documents, odd_documents
-from tabulary.llm import decontaminate, language, queries
+from tabulary.llm import decontaminate, queries
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
