@@ -518,6 +518,7 @@ def answer_questions(
             F.col("column").isNull(),
             F.concat(F.lit("Column '"), F.col("target"), F.lit("' not found in dataset.")),
         )
+        .when(conditional & F.col("cond_value").isNull(), "The number is out of range")
         .otherwise(
             F.concat(
                 F.lit("Result is NaN - column '"),

@@ -414,6 +414,7 @@ def _answers_sql() -> str:
            CASE WHEN query_type <> 'statistical' THEN 'Routed to ' || query_type
                 WHEN op IS NULL THEN 'Unsupported question' WHEN answer IS NOT NULL THEN NULL
                 WHEN col IS NULL THEN 'Column ''' || target || ''' not found in dataset.'
+                WHEN op = 'conditional_count' AND cond_value IS NULL THEN 'The number is out of range'
                 ELSE 'Result is NaN - column ''' || col || ''' may contain non-numeric data' END
            AS message
     FROM a

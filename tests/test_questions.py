@@ -72,6 +72,9 @@ def test_column_mapping(spark, target, columns, wanted):
     assert df.select(questions.map_column_name(F.col("t"), columns)).first()[0] == wanted
 
 
+HUGE = "how many employees are older than 99999999999999999999"
+
+
 def test_answers(spark):
     staff = spark.createDataFrame(
         [
@@ -93,7 +96,7 @@ def test_answers(spark):
         "lowest paid person": (100.0, "Ann"),
         "median age": (40.0, None),
     }
-    tagged = questions.tag_questions(frame(spark, [*asked, "mean department", "sum bonus", "plot x"]))
+    tagged = questions.tag_questions(frame(spark, [*asked, "mean department", "sum bonus", "plot x", HUGE]))
     rows = {
         r["question"]: r
         for r in questions.answer_questions(tagged, staff, "name", "employee_id").collect()
@@ -104,6 +107,7 @@ def test_answers(spark):
     assert "non-numeric" in rows["mean department"]["message"]
     assert "not found" in rows["sum bonus"]["message"]
     assert rows["plot x"]["message"] == "Routed to visualization"
+    assert rows[HUGE]["message"] == "The number is out of range"
 
 
 def test_search_type_and_expansion(spark):
