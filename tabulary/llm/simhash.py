@@ -274,11 +274,6 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     whole = df.select(
         F.struct(*(F.col(f"`{name}`") for name in names)).alias("whole"), key.alias("key")
     )
-    # Field by field, so that the join can hash the key.
-    same = (
-        (F.col("key.none") == F.col("kept.none"))
-        & F.col("key.id").eqNullSafe(F.col("kept.id"))
-        & (F.col("key.hash") == F.col("kept.hash"))
-    )
-    one = whole.join(kept, same, "left_semi").dropDuplicates(["key"])
+    # Structs are equal also where a field of both is null.
+    one = whole.join(kept, F.col("key") == F.col("kept"), "left_semi").dropDuplicates(["key"])
     return one.select(*(F.col(f"whole.`{name}`").alias(name) for name in names))
