@@ -9,7 +9,7 @@ everything below it. Blocks that many fingerprints share are dealt out as pairs
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -256,11 +256,17 @@ def near_duplicates(
     )
 
 
-def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def representatives(
+    df: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    find: Callable[[DataFrame, str], DataFrame] = near_duplicates,
+) -> DataFrame:
     """``df`` with one row of each group of near-duplicates: the one with the smallest id.
 
-    Rows without an id come after all others and then go by a hash of their text; of rows that
-    are alike in both one stays. All columns are kept.
+    ``find`` takes a table and the name of its ids and names each row's group in
+    ``component_id``. Rows without an id come after all others and then go by a hash of their
+    text; of rows that are alike in both one stays. All columns are kept.
     """
     own = F.col(f"`{id_col}`")
     key = F.struct(
@@ -268,7 +274,7 @@ def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         own.alias("id"),
         F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("hash"),
     )
-    groups = near_duplicates(df.select(key.alias("key"), F.col(f"`{text_col}`").alias("text")), "key")
+    groups = find(df.select(key.alias("key"), F.col(f"`{text_col}`").alias("text")), "key")
     kept = groups.select(F.col("component_id").alias("kept")).distinct()
     names = df.columns
     whole = df.select(
