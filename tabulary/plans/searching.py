@@ -13,6 +13,8 @@ from tabulary.session import scratch_path, written
 from tabulary.sources.readers import where_metadata
 
 CHUNK_KINDS = ("rows", "column", "summary")
+#: Tables that ask of themselves do so with every row whose id is divisible by this.
+ASKED_EVERY = 20
 
 
 def with_vectors(spark: SparkSession, folder: str) -> DataFrame:
@@ -469,7 +471,7 @@ def chunk_search(spark: SparkSession, folder: str) -> DataFrame:
     store = written(made.drop("meta"), "chunk-store").select(
         F.col("chunk_id").alias("id"), F.col("embed_text").alias("document"), "chunk_type", "source"
     )
-    asked = part.filter(F.col("p_partkey") % 100 == 0).select(
+    asked = part.filter(F.col("p_partkey") % ASKED_EVERY == 0).select(
         F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query_text")
     )
     return embed.text_search(store, asked, 5).drop("document", "embedding", "query_vector")

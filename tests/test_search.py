@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tabulary.functions.text import keyword_score, preprocess_text, row_to_text
 from tabulary.operators import collections, search
 from tabulary.operators.embed import TextEmbedder, near_pairs, row_search, text_search, vector_topk_approx
+from tabulary.plans import searching
 
 
 def unit(rows):
@@ -102,6 +103,13 @@ def test_approximate_search_finds_most(spark):
     assert near_pairs(stored, asked, 8, 12).count() <= 0.2 * 4000
 
 
+def test_chunk_search_asks_with_every_twentieth_row(spark):
+    folder = "/root/testdata/sf0.001"
+    part = spark.read.parquet(f"{folder}/part.parquet").filter("p_partkey % 20 = 0")
+    found = searching.chunk_search(spark, folder).select("query_id").distinct()
+    assert sorted(r[0] for r in found.collect()) == sorted(r.p_partkey for r in part.collect())
+
+
 def test_text_search_finds_the_text_itself(spark):
     rows = [(n, f"item {n} is made of {w} in the town of {t}", w) for n, (w, t) in enumerate(
         zip(("wood", "steel", "glass", "stone") * 5, ("bern", "oslo", "rome", "kyiv", "bonn") * 4)
