@@ -119,12 +119,22 @@ def _signatures(
     return sign
 
 
+def common_width(vectors: DataFrame, queries: DataFrame) -> int:
+    """The width of all vectors, 1 without any; null and empty ones have none."""
+    sizes = vectors.select(F.size("embedding").alias("n")).unionByName(
+        queries.select(F.size("query_vector").alias("n"))
+    )
+    least, most = sizes.filter("n > 0").agg(F.min("n"), F.max("n")).first()
+    if least != most:
+        raise ValueError(f"vectors have different widths, from {least} to {most}")
+    return most or 1
+
+
 def near_pairs(
     vectors: DataFrame, queries: DataFrame, bits: int, tables: int, seed: int = 7
 ) -> DataFrame:
     """Pairs that share the signature of at least one table, with their similarity."""
-    first = vectors.select(F.size("embedding").alias("n")).filter("n > 0").first()
-    width = first["n"] if first else 1
+    width = common_width(vectors, queries)
     planes = np.random.default_rng(seed).normal(size=(tables * bits, width))
 
     def signed(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -165,13 +175,24 @@ def vector_topk_approx(
     """Approximate nearest neighbours by random planes, scored like the exact search.
 
     Only vectors on the same sides of all ``bits`` planes of one of the ``tables`` as a query
-    are compared with it: of vectors at a right angle about ``tables / 2 ** bits``. More bits
-    compare less, more tables find more.
+    can be its hits: of vectors at a right angle about ``tables / 2 ** bits`` while that is
+    small. More bits let through less, more tables find more. ``compared`` is the number of
+    those vectors. A query that has fewer than ``k`` of them is searched exactly.
     """
-    order = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("id").asc())
-    return (
-        near_pairs(vectors, queries, bits, tables, seed)
-        .withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "id", "similarity")
+    width = common_width(vectors, queries)
+    planes = np.random.default_rng(seed).normal(size=(tables * bits, width))
+    powers = 1 << np.arange(bits)
+
+    def sign(rows: np.ndarray) -> np.ndarray:
+        numbers = (rows @ planes.T > 0).reshape(len(rows), tables, bits) @ powers
+        return numbers.astype("int8" if bits < 8 else "int64")
+
+    stored = vectors.filter(F.size("embedding") > 0)
+    asked = queries.filter(F.size("query_vector") > 0)
+    near = written(vector_topk(stored, asked, k, sign=sign), "near")
+    whole = near.filter(F.col("rank") == k).select("query_id")
+    exact = vector_topk(stored, asked.join(whole, "query_id", "left_anti"), k)
+    every = stored.agg(F.count(F.lit(1))).scalar()
+    return near.join(whole, "query_id", "left_semi").unionByName(
+        exact.withColumn("compared", every)
     )

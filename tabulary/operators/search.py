@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -52,6 +52,7 @@ def vector_topk(
     k: int,
     vector_group: str | None = None,
     query_group: str | None = None,
+    sign: Callable[[np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
     """Exact ``k`` nearest vectors of every query: ``(query_id, rank, id, similarity)``.
 
@@ -60,6 +61,9 @@ def vector_topk(
 
     Each task multiplies its vectors with all query vectors and keeps ``k`` per query, so
     only those are shuffled. Query vectors beyond ``QUERY_BYTES`` take one pass per block.
+
+    With ``sign``, which gives each row of a matrix some numbers, a query sees only vectors that
+    have one of its numbers at the same place; ``compared`` says how many they are.
     """
     asked = queries.select(
         "query_id",
@@ -74,11 +78,12 @@ def vector_topk(
     first = asked.select(F.size("query_vector")).first()
     id_type = vectors.schema["id"].dataType
     if first is None:
-        return _no_hits(vectors, queries)
+        none = _no_hits(vectors, queries)
+        return none if sign is None else none.withColumn("compared", F.lit(0).cast("long"))
     block = max(1, QUERY_BYTES // (8 * max(1, first[0])))
     fetched = asked.limit(block + 1).collect()
     if len(fetched) <= block:
-        return _topk_pass(stored, fetched, queries.schema["query_id"].dataType, id_type, k)
+        return _topk_pass(stored, fetched, queries.schema["query_id"].dataType, id_type, k, sign)
     numbered = written(
         with_row_index(asked, ["query_id"]).withColumn("_block", F.floor(F.col("row_index") / block)),
         "queries",
@@ -92,6 +97,7 @@ def vector_topk(
                 queries.schema["query_id"].dataType,
                 id_type,
                 k,
+                sign,
             ),
             "hits",
         )
@@ -130,7 +136,12 @@ def _best_columns(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def _topk_pass(
-    stored: DataFrame, rows: list, query_type: T.DataType, id_type: T.DataType, k: int
+    stored: DataFrame,
+    rows: list,
+    query_type: T.DataType,
+    id_type: T.DataType,
+    k: int,
+    sign: Callable[[np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
     spark = stored.sparkSession
     matrix = _unit_rows(np.array([row["query_vector"] for row in rows], dtype="float64"))
@@ -145,6 +156,8 @@ def _topk_pass(
         queries, wanted = shared.value
         count = len(queries)
         best = np.full((count, k), -np.inf)
+        compared = np.zeros(count, dtype="int64")
+        signed = None if sign is None else sign(queries).T
         ids = np.full((count, k), "" if textual else 0, dtype="U1" if textual else "int64")
         for batch in batches:
             if batch.num_rows == 0:
@@ -161,6 +174,7 @@ def _topk_pass(
             if textual:
                 size = max(found.dtype.itemsize, ids.dtype.itemsize) // 4
                 ids = ids.astype(f"U{size}")
+            numbers = None if sign is None else sign(data).T
             step = max(1, TILE_CELLS // len(found))
             for start in range(0, count, step):
                 part = slice(start, start + step)
@@ -169,6 +183,12 @@ def _topk_pass(
                 if grouped:
                     asked = wanted[part][:, None]
                     scores[(asked != "") & (asked != kinds[None, :])] = -np.inf
+                if sign is not None:
+                    met = np.zeros(scores.shape, dtype=bool)
+                    for own, other in zip(signed[:, part], numbers, strict=True):
+                        met |= own[:, None] == other[None, :]
+                    compared[part] += met.sum(axis=1)
+                    scores[~met] = -np.inf
                 picked = _best_columns(scores, k)
                 merged = np.hstack([best[part], np.take_along_axis(scores, picked, axis=1)])
                 names = np.hstack([ids[part], found[picked]])
@@ -181,22 +201,30 @@ def _topk_pass(
                 pa.array(query_no.astype("int32")),
                 pa.array(ids[query_no, place].tolist(), arrow_id),
                 pa.array(best[query_no, place]),
+                # With the first hit of a query, so that their sum is the number of all tasks.
+                pa.array(np.where(place == 0, compared[query_no], 0)),
             ],
-            names=["query_no", "id", "similarity"],
+            names=["query_no", "id", "similarity", "compared"],
         )
 
     kept = "string" if textual else "long"
     hits = stored.withColumn("id", F.col("id").cast(kept)).mapInArrow(
-        search, f"query_no int, id {kept}, similarity double"
+        search, f"query_no int, id {kept}, similarity double, compared long"
     )
     order = W.partitionBy("query_no").orderBy(F.col("similarity").desc(), F.col("id").asc())
+    if sign is not None:
+        hits = hits.withColumn("compared", F.sum("compared").over(W.partitionBy("query_no")))
     ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     schema = T.StructType(
         [T.StructField("query_no", T.IntegerType()), T.StructField("query_id", query_type)]
     )
     known = spark.createDataFrame([(i, row["query_id"]) for i, row in enumerate(rows)], schema)
     return ranked.join(F.broadcast(known), "query_no").select(
-        "query_id", "rank", F.col("id").cast(id_type).alias("id"), "similarity"
+        "query_id",
+        "rank",
+        F.col("id").cast(id_type).alias("id"),
+        "similarity",
+        *([] if sign is None else ["compared"]),
     )
 
 

@@ -103,6 +103,32 @@ def test_approximate_search_finds_most(spark):
     assert near_pairs(stored, asked, 8, 12).count() <= 0.2 * 4000
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_approximate_search_of_the_tables(spark, size):
+    folder = f"/root/testdata/{size}"
+    asked = searching.asking_vectors(spark, folder)
+    exact = search.vector_topk(searching.all_vectors(spark, folder), asked, 5)
+    near = searching.vector_topk_approx(spark, folder).cache()
+    ids = spark.read.parquet(f"{folder}/embeddings.parquet").filter("vec_id % 20 = 0")
+    assert near.select("query_id").distinct().count() == ids.count() == near.count() / 5
+    assert exact.join(near, ["query_id", "id", "similarity"]).count() >= 0.9 * exact.count()
+
+
+def test_approximate_search_without_mates_and_of_two_widths(spark):
+    rng = np.random.default_rng(9)
+    vectors, queries = rng.normal(size=(40, 16)), rng.normal(size=(6, 16))
+    ids, stored, asked = frames(spark, vectors.astype("float32"), queries.astype("float32"))
+    near = vector_topk_approx(stored, asked, 5, bits=20, tables=1)
+    exact = search.vector_topk(stored, asked, 5)
+    assert collected(near) == collected(exact)
+    other = spark.createDataFrame([(99, [1.0] * 3)], "id long, embedding array<float>")
+    mixed = stored.select("id", "embedding").unionByName(other)
+    with pytest.raises(ValueError, match="from 3 to 16"):
+        vector_topk_approx(mixed, asked, 5)
+    with pytest.raises(ValueError, match="from 3 to 16"):
+        near_pairs(mixed, asked, 8, 12)
+
+
 def test_chunk_search_asks_with_every_twentieth_row(spark):
     folder = "/root/testdata/sf0.001"
     part = spark.read.parquet(f"{folder}/part.parquet").filter("p_partkey % 20 = 0")
