@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tabulary.llm import (
     byte_bpe,
     decontaminate,
+    fill_middle,
+    filter_audit,
     fingerprints,
     language,
     pii,
@@ -187,3 +189,91 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = suffixes.remove_repeats(table(spark, folder, "documents"), keep=False)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+# The pattern of a word between blanks.
+BLANK_WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+@query(
+    "op12_filter_audit",
+    f"""
+    WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                      {BLANK_WORDS_SQL} AS w FROM documents),
+    l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good,
+                 bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+    d AS (SELECT doc_id, part, len(w) < 50 AS a, 100 * len(list_distinct(w)) < 65 * len(w) AS b,
+                 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t) AS c,
+                 regexp_matches(t, '[#$%&*|]') AS d,
+                 coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM w),
+    cells AS (SELECT part, [a, b, c, d, e] AS fails, coalesce(good, false) AS good,
+                     coalesce(toxic, false) AS toxic, count(*) AS n
+              FROM d LEFT JOIN l USING (doc_id) GROUP BY ALL),
+    f AS (SELECT unnest(range(1, 6)) AS f),
+    orders AS (SELECT [v.f, w.f, x.f, y.f, z.f] AS o FROM f v, f w, f x, f y, f z
+               WHERE len(list_distinct([v.f, w.f, x.f, y.f, z.f])) = 5),
+    steps AS (SELECT array_to_string([substr('ABCDE', CAST(i AS BIGINT), 1) FOR i IN o], '') AS filter_order,
+                     f AS step, o[f] AS own, list_slice(o, 1, f - 1) AS before FROM orders, f),
+    found AS (SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS fail,
+                     len([i FOR i IN before IF fails[i]]) > 0 AS gone,
+                     len([i FOR i IN fails IF i]) AS failing FROM cells, steps),
+    sums AS (SELECT part, filter_order, step, own,
+                    sum(CASE WHEN NOT gone AND NOT fail THEN n ELSE 0 END) AS kept,
+                    sum(CASE WHEN NOT gone AND fail THEN n ELSE 0 END) AS removed,
+                    sum(CASE WHEN gone AND fail THEN n ELSE 0 END) AS redundant,
+                    sum(CASE WHEN fail AND failing = 1 THEN n ELSE 0 END) AS unique_fails,
+                    sum(CASE WHEN NOT gone AND fail AND good THEN n ELSE 0 END) AS good_lost,
+                    sum(CASE WHEN NOT gone AND fail AND toxic THEN n ELSE 0 END) AS toxic_lost
+             FROM found GROUP BY ALL)
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+           CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+           CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+           CAST(toxic_lost AS BIGINT) AS toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+    FROM sums
+    """,
+)
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query(
+    "op13_fill_in_middle",
+    """
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t,
+                      regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                      sha256('1:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+    x AS (SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n,
+                 CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1,
+                 CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+                 CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3,
+                 CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+    c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a,
+                 greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                 CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>')
+                           OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+                      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM x),
+    p AS (SELECT *, coalesce(array_to_string(list_slice(u, 1, a), ''), '') AS p,
+                 coalesce(array_to_string(list_slice(u, a + 1, b), ''), '') AS m,
+                 coalesce(array_to_string(list_slice(u, b + 1, n), ''), '') AS s FROM c)
+    SELECT doc_id, n, form,
+           CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t
+                            WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                            ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+           sha256(t) AS restored_sha256
+    FROM p
+    """,
+)
+def op13_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, folder, "documents"))
+    return fill_middle.restored(made).select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2("restored", 256).alias("restored_sha256"),
+    )
