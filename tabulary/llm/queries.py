@@ -17,6 +17,7 @@ from tabulary.llm import (
     pii,
     secrets,
     simhash,
+    substrings,
     suffixes,
     token_counts,
     warc,
@@ -195,6 +196,29 @@ def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 BLANK_WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+@query(
+    "op11_substring_dedup",
+    f"""
+    WITH w AS (SELECT doc_id, {BLANK_WORDS_SQL} AS w FROM documents),
+    windows AS (SELECT doc_id, start, sha256(array_to_string(list_slice(w, start, start + 19), ' ')) AS words
+                FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS start FROM w)),
+    again AS (SELECT doc_id, start FROM windows
+              QUALIFY row_number() OVER (PARTITION BY words ORDER BY doc_id, start) > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + 20)) AS place FROM again),
+    words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM w),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS kept
+             FROM words ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id),
+    counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
+           sha256(coalesce(kept, '')) AS kept_sha256, coalesce(kept, '') AS kept
+    FROM w LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept")
+
+
 @query(
     "op12_filter_audit",
     f"""
