@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulary.llm import byte_bpe, decontaminate, language, near_copies, secrets, simhash
+from tabulary.llm import byte_bpe, decontaminate, language, secrets, simhash
 from tabulary.session import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -58,13 +58,20 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id.
 
-    Near are documents whose sets of five-word shingles have a Jaccard likeness of 0.8 or more.
+    Near are documents whose SimHash fingerprints of three-word shingles differ in two bits of 64
+    at most, directly or through others. Null and empty texts are alike and leave one row; rows
+    without an id come after all others; of rows alike in id and text one stays. No document
+    gives no row.
     """
-    return simhash.representatives(documents(docs), find=near_copies.near_copies)
+    return simhash.representatives(documents(docs), words=simhash.WORDS, budget=simhash.BUDGET)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the benchmark's passages; those left without a word go."""
+    """Documents without the benchmark's passages; those left without a word go.
+
+    Null texts and texts without a passage stay as they are, repeated rows and null ids too. An
+    empty benchmark changes nothing, no document gives no row.
+    """
     docs = documents(docs)
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     # The length before tells which texts were cut; it travels with the source.
@@ -78,12 +85,19 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with each secret replaced by its kind in brackets."""
+    """Documents with each secret replaced by its kind in brackets.
+
+    Null and empty texts, repeated rows and null ids stay as they are; no document gives no row.
+    """
     return documents(measured(secrets.mask(documents(docs))))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document with digests of the ids and of what they decode to."""
+    """Token ids of every document with digests of the ids and of what they decode to.
+
+    A null text is empty and has no ids; repeated rows and null ids stay; no document gives no
+    row.
+    """
     return byte_bpe.round_trip(documents(docs), with_ids=True)
 
 
