@@ -9,7 +9,7 @@ everything below it. Blocks that many fingerprints share are dealt out as pairs
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -228,6 +228,7 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     words: int = WORDS,
+    budget: int = BUDGET,
 ) -> DataFrame:
     """``doc_id, fingerprint, component_id`` for every row of ``df``.
 
@@ -241,7 +242,7 @@ def near_duplicates(
     rows = written(fingerprints(df, id_col, text_col, words), "fingerprints")
     distinct = rows.groupBy("bits").agg(F.min("doc_id").alias("least_id"))
     distinct = written(distinct, "distinct")
-    linked = components(links(distinct))
+    linked = components(links(distinct, budget))
     linked = linked.select(F.col("node").alias("bits"), "component")
     named = distinct.join(linked, "bits", "left").withColumn(
         "component", F.coalesce("component", "bits")
@@ -260,13 +261,13 @@ def representatives(
     df: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    find: Callable[[DataFrame, str], DataFrame] = near_duplicates,
+    words: int = WORDS,
+    budget: int = BUDGET,
 ) -> DataFrame:
     """``df`` with one row of each group of near-duplicates: the one with the smallest id.
 
-    ``find`` takes a table and the name of its ids and names each row's group in
-    ``component_id``. Rows without an id come after all others and then go by a hash of their
-    text; of rows that are alike in both one stays. All columns are kept.
+    Rows without an id come after all others and then go by a hash of their text; of rows that
+    are alike in both one stays. All columns are kept.
     """
     own = F.col(f"`{id_col}`")
     key = F.struct(
@@ -274,12 +275,14 @@ def representatives(
         own.alias("id"),
         F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("hash"),
     )
-    groups = find(df.select(key.alias("key"), F.col(f"`{text_col}`").alias("text")), "key")
+    named = df.select(key.alias("key"), F.col(f"`{text_col}`").alias("text"))
+    groups = near_duplicates(named, "key", "text", words, budget)
     kept = groups.select(F.col("component_id").alias("kept")).distinct()
     names = df.columns
     whole = df.select(
         F.struct(*(F.col(f"`{name}`") for name in names)).alias("whole"), key.alias("key")
     )
-    # Structs are equal also where a field of both is null.
+    # Structs are equal also where a field of both is null; the join deals rows out by their key,
+    # so repeated rows meet without another shuffle.
     one = whole.join(kept, F.col("key") == F.col("kept"), "left_semi").dropDuplicates(["key"])
     return one.select(*(F.col(f"whole.`{name}`").alias(name) for name in names))

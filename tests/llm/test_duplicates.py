@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from helpers import ODD_TEXTS, collected, no_documents, odd_documents
-from tabulary.llm import fingerprints, near_copies, simhash, suffixes
+from tabulary.llm import fingerprints, simhash, suffixes
 from tabulary.llm.components import components
 
 
@@ -111,72 +111,37 @@ def test_near_duplicates_of_odd_rows(spark):
     assert simhash.near_duplicates(no_documents(spark)).count() == 0
 
 
-# Near copies of the pipeline
+# Near duplicates of the pipeline
 
 
-def likeness(a, b):
-    a, b = (
-        {tuple(w[n : n + 5]) for n in range(max(1, len(w) - 4))} if w else set()
-        for w in ((t or "").lower().split() for t in (a, b))
-    )
-    return len(a & b) / len(a | b) if a or b else 1.0
-
+def test_pipeline_keeps_the_smallest_id_of_each_simhash_group(spark):
+    import corpus_pipeline
 
-def near_texts():
     source = random.Random(11)
     words = [f"w{n}" for n in range(3000)]
     texts = []
-    for size in (40, 150, 600):
-        for _ in range(12):
+    for size in (5, 40, 600, 2000):
+        for _ in range(10):
             base = [source.choice(words) for _ in range(size)]
             texts.append(" ".join(base))
-            for cut in (0.05, 0.1, 0.15, 0.2, 0.25, 0.3):
-                texts.append(" ".join(base[: round(size * (1 - cut))]))
-            for _ in range(4):
+            texts.append("\n".join(base).upper())
+            for _ in range(6):
                 base[source.randrange(size)] = "changed"
                 texts.append(" ".join(base))
-    base = [source.choice(words) for _ in range(9)]
-    return [*texts, " ".join(base), " ".join(base[:-1]), " ".join(base[:-2])]
-
-
-def test_pipeline_drops_near_copies_of_four_fifths(spark):
-    import corpus_pipeline
-
-    rows = list(enumerate(near_texts()))
-    pairs = [(a, b, likeness(s, t)) for a, s in rows for b, t in rows if a < b]
-    assert sum(0.8 <= s < 0.95 for _, _, s in pairs) > 100
-    assert any(s == 0.8 for *_, s in pairs) and any(0.7 < s < 0.8 for *_, s in pairs)
-    groups = slow_groups([n for n, _ in rows], [(a, b) for a, b, s in pairs if s >= 0.8])
+    texts += ["", None, texts[0], " \t "]
+    rows = list(enumerate(texts))
+    bits = {n: slow_fingerprint(t) for n, t in rows}
+    pairs = [(a, b) for a in bits for b in bits if a < b and (bits[a] ^ bits[b]).bit_count() <= 2]
+    assert any(bits[a] != bits[b] for a, b in pairs)
+    groups = slow_groups(bits, pairs)
     df = spark.createDataFrame(
-        [(n, t, "en", "src", len(t)) for n, t in rows],
+        [(n, t, "en", "src", len(t or "")) for n, t in rows],
         "doc_id long, text string, lang string, source string, n_chars long",
     )
     kept = corpus_pipeline.deduplicated(spark, df, "").select("doc_id").collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(groups.values()))
-
-
-def test_large_groups_of_near_copies_are_dealt_without_loss(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "HOT_GROUP", 20)
-    monkeypatch.setattr(near_copies, "HOT_SHINGLES", 2000)
-    source = random.Random(12)
-    base = [f"w{n}" for n in range(100)]
-    rows = []
-    for n in range(150):
-        text = list(base)
-        for _ in range(n % 4):
-            text[source.randrange(100)] = f"own{n}"
-        rows.append((n, " ".join(text)))
-    groups = slow_groups(
-        range(150),
-        [(a, b) for a, s in rows for b, t in rows if a < b and likeness(s, t) >= 0.8],
-    )
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert dict(collected(near_copies.near_copies(df))) == groups
-    rest = near_copies.near_copies(odd_documents(spark))
-    assert rest.count() == odd_documents(spark).count()
-    found = dict(collected(rest))
-    assert [found[n] for n in range(10)] == [0, 0, 0, 0, 4, 5, 6, 7, 8, 8]
-    assert near_copies.near_copies(no_documents(spark)).count() == 0
+    assert corpus_pipeline.deduplicated(spark, odd_documents(spark), "").count() == 7
+    assert corpus_pipeline.deduplicated(spark, no_documents(spark), "").count() == 0
 
 
 # Chunk fingerprints
