@@ -188,8 +188,10 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_suffix_dedup")
 def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    found = suffixes.remove_repeats(table(spark, folder, "documents"), keep=False)
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    found = suffixes.remove_repeats(table(spark, folder, "documents"))
+    # Cuts fall between bytes; where one parts a character its rest shows as U+FFFD.
+    kept = F.make_valid_utf8(F.col("kept").cast("string")).alias("kept")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", kept)
 
 
 # The pattern of a word between blanks.
