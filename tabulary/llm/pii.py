@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,7 +24,8 @@ Span = tuple[str, int, int]
 
 # The patterns of the plain kinds, what each match must satisfy beside.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+# A match can only begin where a run of digits does, so longer runs aren't tried again inside.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -38,42 +40,55 @@ LOOKALIKES = dict(
 )
 # Characters that take no room.
 INVISIBLE = "­​‌‍⁠﻿"
-# Digits spelled out.
-DIGITS = {
-    "zero": "0",
-    "oh": "0",
-    "one": "1",
-    "two": "2",
-    "three": "3",
-    "four": "4",
-    "five": "5",
-    "six": "6",
-    "seven": "7",
-    "eight": "8",
-    "nine": "9",
-}
-SPELLED = "|".join(DIGITS)
-
-#: A word at or a dot in brackets, or dots spelled out after a spelled at.
-SIGN = re.compile(r"[\[({<]\s*(?P<sign>at|@|dot|\.)\s*[\])}>]", re.IGNORECASE)
-BRACKETED = re.compile(rf"\s*{SIGN.pattern}\s*", re.IGNORECASE)
-BARE = re.compile(
-    r"[A-Za-z0-9._%+-]+(?P<at>\s+at\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*"
-    r"(?:\s+dot\s+)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)*",
-    re.IGNORECASE,
+# Digits spelled out in English, Spanish, French and German.
+NUMERALS = (
+    "zero one two three four five six seven eight nine",
+    "cero uno dos tres cuatro cinco seis siete ocho nueve",
+    "zéro un deux trois quatre cinq six sept huit neuf",
+    "null eins zwei drei vier fünf sechs sieben acht neun",
 )
-WORD_SIGN = re.compile(r"\s+(?P<sign>at|dot)\s+|\s*(?P<plain>@)\s*", re.IGNORECASE)
+DIGITS = {"oh": "0"} | {
+    word: str(digit) for words in NUMERALS for digit, word in enumerate(words.split())
+}
+SPELLED = "|".join(sorted(DIGITS, key=len, reverse=True))
+# Words for the sign @, and the words for a dot that go with them.
+AT_WORDS = {
+    "at": ("dot", "punkt"),
+    "arroba": ("punto",),
+    "arobase": ("point",),
+    "klammeraffe": ("punkt",),
+}
+DOT_WORDS = tuple(dict.fromkeys(word for words in AT_WORDS.values() for word in words))
+AT, DOT = "|".join(AT_WORDS), "|".join(DOT_WORDS)
+#: Blanks before a sign: taken as a whole from where they begin.
+BLANKS = r"(?<!\s)\s++"
+
+#: A sign in brackets, and signs that stand as words of their own.
+SIGN = re.compile(rf"[\[({{<]\s*+(?P<sign>{AT}|@|{DOT}|\.)\s*+[\])}}>]", re.IGNORECASE)
+BRACKETED = re.compile(rf"(?:{BLANKS})?{SIGN.pattern}\s*+", re.IGNORECASE)
+BARE_AT = re.compile(rf"{BLANKS}(?P<sign>{AT})\s++|(?:{BLANKS})?(?P<plain>@)\s*+", re.IGNORECASE)
+
+
+def _domain(dots: str) -> re.Pattern:
+    return re.compile(
+        rf"[A-Za-z0-9-]++(?:(?:\s++(?:{dots})\s++|\.)[A-Za-z0-9-]++)*", re.IGNORECASE
+    )
+
+
+#: What may follow an @ in any of its spellings, dots spelled out.
+SPELLED_DOMAINS = {at: _domain("|".join(dots)) for at, dots in AT_WORDS.items()} | {"@": _domain(DOT)}
+WORD_DOT = re.compile(rf"{BLANKS}(?:{DOT})\s++", re.IGNORECASE)
 #: What may stand between digits that belong together.
-GAP = r"(?:\s+dot\s+|[\s,.-]{1,3})"
+GAP = rf"(?:\s+(?:{DOT})\s+|[\s,.-]{{1,3}})"
 #: At least four numbers, a digit or a dot among them spelled out.
 COUNTED = re.compile(
-    rf"(?:\bplus[\s-]+|\+\s*)?\b(?:(?:{SPELLED})\b|[0-9]+)(?:{GAP}(?:(?:{SPELLED})\b|[0-9]+)){{3,}}",
+    rf"(?:\b(?:plus|más)[\s-]+|\+\s*)?\b(?:(?:{SPELLED})\b|[0-9]+)(?:{GAP}(?:(?:{SPELLED})\b|[0-9]+)){{3,}}",
     re.IGNORECASE,
 )
-DIGIT_PART = re.compile(rf"(?P<plus>plus|\+)|(?P<word>{SPELLED})|(?P<digits>[0-9]+)", re.IGNORECASE)
+DIGIT_PART = re.compile(rf"(?P<plus>\bplus\b|\bmás\b|\+)|\b(?P<word>{SPELLED})\b|(?P<digits>[0-9]+)", re.IGNORECASE)
 #: Two spelled digits in a row: without them no sequence of digits is spelled out.
 SPELLED_PAIR = re.compile(
-    rf"\b(?:{SPELLED}){GAP}(?:{SPELLED}|[0-9])|[0-9]{GAP}(?:{SPELLED})\b|[0-9]\s+dot\s+[0-9]"
+    rf"\b(?:{SPELLED}){GAP}(?:{SPELLED}|[0-9])|[0-9]{GAP}(?:{SPELLED})\b|[0-9]\s+(?:{DOT})\s+[0-9]"
 )
 
 
@@ -108,7 +123,7 @@ def plain(text: str) -> list[Span]:
     """The plain kinds, leftmost and apart within each kind; failing matches are passed over."""
     spans = emails(text) if "@" in text else []
     for match in IP.finditer(text):
-        if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in match[0].split(".")):
+        if all(len(short := part.lstrip("0")) <= 3 and int(short or 0) <= 255 for part in match[0].split(".")):
             spans.append(("ip", *match.span()))
     for match in CARD.finditer(text):
         digits = _digits(match[0]) if match.end() - match.start() >= 14 else ""
@@ -180,16 +195,23 @@ def _homoglyphs(tape: Tape) -> None:
 
 def _signs(tape: Tape) -> None:
     edits = [
-        (*match.span(), "@" if match["sign"].lower() in ("at", "@") else ".")
+        (*match.span(), "." if match["sign"].lower() in (*DOT_WORDS, ".") else "@")
         for match in BRACKETED.finditer(tape.text)
     ]
     if edits:
         tape.rewrite(edits)
-    edits = []
-    for found in BARE.finditer(tape.text):
-        for sign in WORD_SIGN.finditer(tape.text, *found.span()):
-            dot = (sign["sign"] or "").lower() == "dot"
-            edits.append((*sign.span(), "." if dot else "@"))
+    text, edits, done = tape.text, [], 0
+    # From each sign to both sides, so that no run of letters is read more than twice.
+    for at in BARE_AT.finditer(text):
+        start = at.start()
+        if start <= done or text[start - 1] not in LOCAL_LETTERS:
+            continue
+        domain = SPELLED_DOMAINS[(at["sign"] or "@").lower()].match(text, at.end())
+        dots = list(WORD_DOT.finditer(text, *domain.span())) if domain else []
+        if dots:
+            edits.append((*at.span(), "@"))
+            edits += [(*dot.span(), ".") for dot in dots]
+            done = domain.end()
     if edits:
         tape.rewrite(edits)
 
@@ -198,13 +220,13 @@ def _numbers(tape: Tape) -> None:
     edits = []
     for run in COUNTED.finditer(tape.text):
         parts = list(DIGIT_PART.finditer(tape.text, *run.span()))
-        if not any(part["word"] for part in parts) and "dot" not in run[0].lower():
+        if not any(part["word"] for part in parts) and not WORD_DOT.search(run[0]):
             continue
         # A part's stretch reaches to the next one, so that what stands between goes with it.
         for number, part in enumerate(parts):
             end = parts[number + 1].start() if number + 1 < len(parts) else part.end()
             between = tape.text[part.end() : end].lower()
-            keep = "." if "." in between or "dot" in between else ""
+            keep = "." if "." in between or between.strip() in DOT_WORDS else ""
             new = "+" if part["plus"] else part["digits"] or DIGITS[part["word"].lower()]
             edits.append((part.start(), part.end(), new))
             if end > part.end():
@@ -218,7 +240,7 @@ def disguised(text: str) -> bool:
     low = text.lower()
     return (
         (not text.isascii() and any(look(c) is not None for c in set(text) if c >= "\x80"))
-        or ("dot" in low and WORD_SIGN.search(low) is not None)
+        or (WORD_DOT.search(low) is not None and BARE_AT.search(low) is not None)
         or SIGN.search(low) is not None
         or SPELLED_PAIR.search(low) is not None
     )
@@ -231,14 +253,16 @@ def hidden(text: str, known: list[Span]) -> list[Span]:
     tape = Tape(text)
     for transduce in (_homoglyphs, _signs, _numbers):
         transduce(tape)
-    taken = {kind: [span for span in known if span[0] == kind] for kind in KINDS}
+    taken = {kind: sorted(span[1:] for span in known if span[0] == kind) for kind in KINDS}
     added: list[Span] = []
     for kind, start, end in plain(tape.text):
         if any(tape.changed[start:end]):
-            span = (kind, tape.starts[start], tape.ends[end - 1])
-            if all(span[2] <= other[1] or other[2] <= span[1] for other in taken[kind]):
-                added.append(span)
-                taken[kind].append(span)
+            first, last = tape.starts[start], tape.ends[end - 1]
+            place = bisect_left(taken[kind], (first, last))
+            before, after = taken[kind][max(place - 1, 0) : place], taken[kind][place : place + 1]
+            if all(other[1] <= first for other in before) and all(last <= other[0] for other in after):
+                added.append((kind, first, last))
+                taken[kind].insert(place, (first, last))
     return added
 
 
@@ -253,7 +277,8 @@ def find(
 
     ``found`` is an array of ``kind, start, end, disguised`` in code points, the end left out.
     A disguised span never overlaps a plain one of its kind, and plain ones are always kept. A
-    null or empty text has none; a text of any length is read whole. Repeated rows and null ids
+    null or empty text has none; a text of any length is read whole, in time in proportion to its
+    length also where it is one run of letters, digits or blanks. Repeated rows and null ids
     stay, an empty table gives no row, extra columns are not looked at.
     """
     kind_type = df.schema[id_col].dataType.simpleString()

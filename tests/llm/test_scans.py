@@ -6,6 +6,7 @@ import math
 import random
 import re
 import string
+import time
 from collections import Counter
 
 import pytest
@@ -80,6 +81,16 @@ def test_plain_kinds_follow_the_patterns(text):
             "phone",
             "plus four nine one five one two three four five six seven eight",
         ),
+        ("escribe a juan arroba correo punto es hoy", "email", "juan arroba correo punto es"),
+        ("écrire à jean arobase exemple point fr merci", "email", "jean arobase exemple point fr"),
+        ("an jan [klammeraffe] firma [punkt] de", "email", "jan [klammeraffe] firma [punkt] de"),
+        ("an jan klammeraffe firma.co punkt de", "email", "jan klammeraffe firma.co punkt de"),
+        ("bei jan@firma punkt de melden", "email", "jan@firma punkt de"),
+        ("servidor uno nueve dos punto uno seis ocho punto cero punto uno", "ip",
+         "uno nueve dos punto uno seis ocho punto cero punto uno"),
+        ("zehn: eins null punkt null punkt null punkt sieben.", "ip", "eins null punkt null punkt null punkt sieben"),
+        ("más tres cuatro nueve uno cero zéro un deux trois quatre", "phone",
+         "más tres cuatro nueve uno cero zéro un deux trois quatre"),
         ("pay four one one one 1111 1111 1111 now", "card", None),
         ("pay four one one one 1111 1111 1111 1111".replace(" 1111", "", 1), "card", "four one one one 1111 1111 1111"),
     ],
@@ -96,12 +107,29 @@ def test_disguises_are_mapped_back(text, kind, span):
 
 @pytest.mark.parametrize(
     "text",
-    ["He was at home on one dot.", "one two three", "un café à 5 €, où ?", "see (at) the end", "two or three at a time"],
+    ["He was at home on one dot.", "one two three", "un café à 5 €, où ?", "see (at) the end", "two or three at a time",
+     "He came at nine to the point of it.", "look at the point of no return", "un deux trois quatre"],
 )
 def test_clean_texts_have_none(text):
     assert pii.plain(text) == [] and pii.hidden(text, []) == []
 
 
+@pytest.mark.parametrize("unit", ["0", "7", "a", "1.", "1 ", " ", "\n", "+1", "(", "a@", "at ", "x dot ", "one ", "．"])
+def test_long_runs_take_time_in_proportion(unit):
+    """A megabyte of one unit beside a disguise; a quadratic scan would take hours."""
+    run = unit * (1_000_000 // len(unit))
+    text = f"john (at) example (dot) com {run} jane at corp dot org"
+    begun = time.process_time()
+    found = pii.hidden(text, pii.plain(text))
+    assert time.process_time() - begun < 20
+    assert ("email", 0, 27) in found
+
+
+def test_numbers_with_thousands_of_zeros():
+    text = "0" * 5000 + ".1.1.1 and " + "0" * 5000 + "256.1.1.1"
+    assert pii.plain(text) == [("ip", 0, 5006)]
+
+
 def test_pii_of_odd_rows(spark):
     df = odd_documents(spark)
     rows = pii.find(df).collect()
