@@ -28,6 +28,8 @@ from tabulary.llm.merges import Merges
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.PATTERN
 CHUNKS_KEPT, PIECES_KEPT = 80_000, 250_000
+#: Characters of the longest text that is remembered.
+LONGEST_KEPT = 48
 
 #: Marks that end most words; with the stated pattern such a word is two pieces.
 STOPS = tuple(".,;:!?")
@@ -56,8 +58,8 @@ class Encoder:
         self.shorter = Memo(self._shorter, 200_000)
         self.pattern = regex.compile(pattern)
         self.own = pattern == PIECES
-        self.pieces = Memo(self._whole, PIECES_KEPT)
-        self.chunks = Memo(self._chunk, CHUNKS_KEPT)
+        self.pieces = Memo(self._whole, PIECES_KEPT, LONGEST_KEPT)
+        self.chunks = Memo(self._chunk, CHUNKS_KEPT, LONGEST_KEPT)
 
     def _rank(self, left: int, right: int) -> int | None:
         return self.ranks.get(self.strings[left] + self.strings[right])

@@ -56,13 +56,19 @@ def raw(column: pa.Array) -> list[bytes]:
 
 
 class Memo(dict):
-    """Results of ``make`` by key; emptied at ``most`` entries, so its memory is bounded."""
+    """Results of ``make`` by key; emptied at ``most`` entries.
 
-    def __init__(self, make: Callable, most: int) -> None:
+    With ``longest`` longer keys are worked out anew each time, so that the memory is bounded
+    also where a whole document is one key.
+    """
+
+    def __init__(self, make: Callable, most: int, longest: int | None = None) -> None:
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.longest = make, most, longest
 
     def __missing__(self, key):
+        if self.longest is not None and len(key) > self.longest:
+            return self.make(key)
         if len(self) >= self.most:
             self.clear()
         value = self[key] = self.make(key)

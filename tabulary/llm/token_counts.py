@@ -27,6 +27,8 @@ from tabulary.llm.merges import Merges
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 LIMIT = 2048
 CHUNKS_KEPT, WORDS_KEPT = 150_000, 700_000
+#: Characters of the longest text that is remembered.
+LONGEST_KEPT = 48
 
 #: White space as the library knows it, and the pattern of its words.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -34,6 +36,7 @@ WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+"
 WORD_END = "</w>"
 #: Marks that end most words; a word before one needs no pattern.
 STOPS = ".,;:!?"
+CHUNK = re.compile(rf"[^{SPACE}]+")
 #: Characters that Python takes for white space and the library doesn't.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -47,6 +50,32 @@ def byte_letters() -> dict[str, str]:
     }
 
 
+@lru_cache(maxsize=1)
+def composing() -> frozenset[str]:
+    """Characters other than combining marks that a character before them may take in."""
+    pairs = (unicodedata.decomposition(chr(code)).split() for code in range(0x110000))
+    seconds = {chr(int(pair[1], 16)) for pair in pairs if len(pair) == 2 and pair[0][0] != "<"}
+    jamo = map(chr, [*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)])
+    return frozenset(seconds.union(jamo))
+
+
+def runs_apart(chunk: str) -> list[str]:
+    """``chunk`` cut where letters, numbers and others meet, unless a form might cross the cut."""
+    forms = [unicodedata.normalize("NFC", letter).lower() for letter in chunk]
+    kinds = ["".join(unicodedata.category(part)[0] for part in form) for form in forms]
+    groups = [kind[0] if kind[0] in "LN" else "" for kind in kinds]
+    joining = composing()
+    cuts = [
+        place
+        for place in range(1, len(chunk))
+        if groups[place] != groups[place - 1]
+        and "M" not in kinds[place - 1] + kinds[place]
+        and chunk[place] not in joining
+        and chunk[place - 1] != "'"
+    ]
+    return [chunk[start:end] for start, end in zip([0, *cuts], [*cuts, len(chunk)], strict=True)]
+
+
 class PrefixCounter:
     """Counts tokens of texts and of all their prefixes."""
 
@@ -81,8 +110,8 @@ class PrefixCounter:
         )
         self.marks = tuple(special)
         self.words = regex.compile(WORDS)
-        self.counts = Memo(self.word, WORDS_KEPT)
-        self.chunks = Memo(self._chunk, CHUNKS_KEPT)
+        self.counts = Memo(self.word, WORDS_KEPT, LONGEST_KEPT)
+        self.chunks = Memo(self._chunk, CHUNKS_KEPT, LONGEST_KEPT)
 
     # One word ------------------------------------------------------------------------
 
@@ -147,7 +176,7 @@ class PrefixCounter:
             if part in self.marks:
                 total += 1
             elif ODD_SPACE.search(part):
-                total += self._chunk(part)
+                total += sum(map(chunks.__getitem__, CHUNK.findall(part)))
             else:
                 total += sum(map(chunks.__getitem__, part.split()))
         return total
@@ -159,7 +188,12 @@ class PrefixCounter:
             and len(self._lowered(chunk)) == len(chunk)
         )
         if not plain:
-            return [self._chunk(chunk[:end]) if end else 0 for end in range(len(chunk) + 1)]
+            # Normal forms of prefixes differ near their end; each run is taken for itself.
+            counts = [0]
+            for run in runs_apart(chunk):
+                before = counts[-1]
+                counts += [before + self._chunk(run[:end]) for end in range(1, len(run) + 1)]
+            return counts
         lowered, counts, before = self._lowered(chunk), [0], 0
         for found in self.words.finditer(lowered):
             word = found.group()
@@ -174,29 +208,44 @@ class PrefixCounter:
             before = counts[-1]
         return counts
 
+    def _marks_in(self, text: str) -> list[tuple[int, int]]:
+        if self.special is None or not any(mark in text for mark in self.marks):
+            return []
+        return [found.span() for found in self.special.finditer(text)]
+
     def prefixes(self, text: str) -> np.ndarray:
-        """Tokens of ``text[:p]`` for every p from 0 to its length."""
+        """Tokens of ``text[:p]`` for every p from 0 to its length.
+
+        A special mark counts once it is whole. A cut one is plain text that goes on with the
+        chunk before it; only that chunk is counted again, not what precedes it.
+        """
         counts = np.zeros(len(text) + 1, dtype=np.int32)
-        if any(mark in text for mark in self.marks) or ODD_SPACE.search(text):
-            # A special token counts at its end; a cut one is plain text.
-            counts[1:] = [self.count(text[:end]) for end in range(1, len(text) + 1)]
-            return counts
         before, done = 0, 0
-        for found in re.finditer(r"\S+", text):
-            start, end = found.span()
-            counts[done : start + 1] = before
-            inner = self.chunk_prefixes(found.group())
-            counts[start : end + 1] = before + np.array(inner, dtype=np.int32)
-            before, done = int(counts[end]), end
-        counts[done:] = before
+        for mark, after in [*self._marks_in(text), (len(text), None)]:
+            last = done
+            for found in CHUNK.finditer(text, done, mark):
+                start, end = found.span()
+                counts[done : start + 1] = before
+                inner = self.chunk_prefixes(found.group())
+                counts[start : end + 1] = before + np.array(inner, dtype=np.int32)
+                before, done, last = int(counts[end]), end, start
+            counts[done : mark + 1] = before
+            if after is not None:
+                if done < mark:
+                    last = mark
+                known = int(counts[last])
+                for cut in range(mark + 1, after):
+                    counts[cut] = known + self.count(text[last:cut])
+                before, done = before + 1, after
+                counts[after] = before
         return counts
 
     def fitting(self, text: str, limit: int) -> int:
         """Characters of the longest prefix that has at most ``limit`` tokens."""
-        if any(mark in text for mark in self.marks) or ODD_SPACE.search(text):
+        if self._marks_in(text):
             return int(np.flatnonzero(self.prefixes(text) <= limit)[-1])
         before, best = 0, 0
-        for found in re.finditer(r"\S+", text):
+        for found in CHUNK.finditer(text):
             best = found.start()
             after = before + self.chunks[found.group()]
             if after > limit or before == limit:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import time
 
 import public_tokenizers
 import pytest
@@ -28,6 +29,10 @@ TEXT = st.one_of(
     st.text(max_size=60),
     st.text(alphabet="abtheinr 's'llDN\n\t.,", max_size=80),
     st.text(alphabet="aA ßΣİé́ \x1c\x85 12²٣<|>", max_size=40),
+    st.lists(
+        st.sampled_from([*COUNTER.marks, *"aé ́.'sİ1\x1c\u0345가ᅡᆨ゙か", "<|endof", " don't", "ing"]),
+        max_size=12,
+    ).map("".join),
 )
 STATED = [
     "don't 'r 're DON'T they'll",
@@ -89,6 +94,29 @@ def test_memo_is_bounded():
     memo = Memo(lambda key: key * 2, 3)
     assert [memo[n] for n in range(10)] == [n * 2 for n in range(10)]
     assert len(memo) <= 3
+    short = Memo(str.upper, 100, longest=4)
+    assert [short["x" * n] for n in range(50)] == ["X" * n for n in range(50)]
+    assert max(map(len, short)) == 4
+
+
+def test_text_without_spaces_is_not_remembered():
+    text = "".join(chr(0x4E00 + n * 7 % 20_000) for n in range(20_000))
+    assert COUNTER.count(text) == library_count(text)
+    assert list(memoryview(ENCODER.encode(text)).cast("I")) == TIKTOKEN.encode_ordinary(text)
+    for memo in (COUNTER.chunks, COUNTER.counts, ENCODER.chunks, ENCODER.pieces):
+        assert max(map(len, memo), default=0) <= byte_bpe.LONGEST_KEPT
+
+
+@pytest.mark.parametrize("odd", ["<|endoftext|>", "\x1c", "é", "e\u0301 "])
+def test_prefixes_of_a_long_text_take_time_in_proportion(odd):
+    """A megabyte that holds a mark, an odd blank or letters to compose."""
+    text = odd + "some words and " * 70_000 + odd + " end"
+    begun = time.process_time()
+    counts = COUNTER.prefixes(text)
+    assert time.process_time() - begun < 30
+    assert counts[-1] == library_count(text) and len(counts) == len(text) + 1
+    fitting = COUNTER.fitting(text, 2048)
+    assert library_count(text[:fitting]) == 2048 and library_count(text[: fitting + 5]) > 2048
 
 
 def test_token_counts_of_odd_rows(spark):
