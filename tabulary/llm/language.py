@@ -24,6 +24,8 @@ WIDTH = 1024
 SYMBOLS = 128
 SEED = 20
 CELLS = 1_500_000
+#: Distinct runs whose vectors are held at once, whatever the number in a text.
+RUNS_AT_ONCE = 8192
 UNKNOWN = "und"
 
 
@@ -84,22 +86,27 @@ def profiles(rows: list[str], width: int) -> Iterator[tuple[int, np.ndarray]]:
         distinct = np.flatnonzero(present)
         numbers = np.zeros(SYMBOLS**3, dtype=np.int32)
         numbers[distinct] = np.arange(len(distinct), dtype=np.int32)
-        vectors = run_vectors(distinct, width)
-        step = max(1, CELLS // max(1, len(distinct)))
-        for low in range(0, after - first, step):
-            high = min(low + step, after - first)
-            begin, end = np.searchsorted(owner, [low, high])
-            cells = (owner[begin:end].astype(np.int64) - low) * len(distinct)
-            counts = np.bincount(
-                cells + numbers[runs[begin:end]], minlength=(high - low) * len(distinct)
-            )
-            counts = counts.astype(np.float32).reshape(high - low, len(distinct))
-            yield first + low, counts @ vectors
+        bundled = np.zeros((after - first, width), dtype=np.float32)
+        for block in range(0, len(distinct), RUNS_AT_ONCE):
+            part = distinct[block : block + RUNS_AT_ONCE]
+            vectors = run_vectors(part, width)
+            place = numbers[runs] - block
+            held = (place >= 0) & (place < len(part))
+            places, owners = place[held], owner[held]
+            step = max(1, CELLS // len(part))
+            for low in range(0, after - first, step):
+                high = min(low + step, after - first)
+                begin, end = np.searchsorted(owners, [low, high])
+                cells = (owners[begin:end].astype(np.int64) - low) * len(part)
+                counts = np.bincount(cells + places[begin:end], minlength=(high - low) * len(part))
+                counts = counts.astype(np.float32).reshape(high - low, len(part))
+                bundled[low:high] += counts @ vectors
+        yield first, bundled
         first = after
 
 
 def lowered(column: pa.Array) -> list[str]:
-    """Texts in lower case, letter by letter so that no letter changes the length."""
+    """Texts in lower case; a dotted capital I becomes two characters."""
     return [text.lower() for text in texts(column)]
 
 

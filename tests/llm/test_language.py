@@ -1,6 +1,7 @@
 """Language identification by accuracy on held-out rows, and by the definition on small ones."""
 
 import os
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -28,6 +29,23 @@ def test_profiles_follow_the_definition():
     assert np.allclose(found, [slow_profile(row, 64) for row in rows])
 
 
+def test_profiles_of_more_runs_than_are_held_at_once(monkeypatch):
+    rows = ["".join(chr(0x4E00 + (n * n + k) % 20_000) for n in range(400)) for k in range(3)]
+    whole = np.concatenate([v for _, v in language.profiles(rows, 64)])
+    monkeypatch.setattr(language, "RUNS_AT_ONCE", 50)
+    assert (np.concatenate([v for _, v in language.profiles(rows, 64)]) == whole).all()
+    assert np.allclose(whole, [slow_profile(row, 64) for row in rows])
+
+
+def test_memory_of_text_without_spaces_is_bounded():
+    text = "".join(chr(0x4E00 + n * n * 31 % 20_000) for n in range(300_000))
+    tracemalloc.start()
+    ((_, found),) = language.profiles([text], language.WIDTH)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.any() and peak < 400_000_000
+
+
 def test_prediction_is_the_largest_cosine(spark):
     df = spark.createDataFrame(
         [(1, "the cat sat on the mat", "en"), (2, "der hund und die katze", "de"), (3, None, "fr"), (4, "x", None)],
