@@ -1,64 +1,121 @@
-"""Vectors for text, and the approximate nearest-neighbour search on them."""
+"""Vectors for text, and searches by text on them."""
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tabulary.functions.text import row_to_text
-from tabulary.operators.search import SCORE_DIGITS, hybrid_search, vector_topk
-from tabulary.session import written
+from tabulary.operators.search import hybrid_search, vector_topk
+from tabulary.session import in_arrow, reach_package, written
 
 FEATURES = 512
+WORD = re.compile(r"\w+")
+#: Words whose feature a worker remembers, and the longest of them.
+WORDS_KEPT, LONGEST_KEPT = 300_000, 64
+
+
+class _Features(dict):
+    """The feature of each word: the first two bytes of its MD5, modulo the number of features."""
+
+    def __init__(self, features: int) -> None:
+        super().__init__()
+        self.features = features
+
+    def __missing__(self, word: str) -> int:
+        digest = hashlib.md5(word.encode(), usedforsecurity=False).digest()
+        feature = int.from_bytes(digest[:2], "big") % self.features
+        if len(word) <= LONGEST_KEPT:
+            if len(self) >= WORDS_KEPT:
+                self.clear()
+            self[word] = feature
+        return feature
+
+    def counts(self, text: str | None) -> np.ndarray:
+        found = WORD.findall(text or "")
+        places = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        return np.bincount(places, minlength=self.features)
 
 
 class TextEmbedder:
-    """Text to unit vectors: hashed word counts weighted by rarity, all inside the JVM.
+    """Text to unit vectors: counts of hashed lower-cased words, weighted by rarity.
 
-    Fitting is one pass that returns one weight per feature. To use a model instead, give
-    ``model``: a function from a text column to an ``array<float>`` column, such as a
-    ``pandas_udf``.
+    A feature of ``df`` of ``n`` texts weighs ``ln((n + 1) / (df + 1))``. Fitting is one pass that
+    returns one number per feature; texts are turned into vectors in Arrow batches. Null and empty
+    texts, and those that hold only words of every text, have a vector of zeros. To use a model
+    instead, give ``model``: a function from a text column to an ``array<float>`` column.
     """
 
     def __init__(self, features: int = FEATURES, model: Callable[[Column], Column] | None = None):
         self.features = features
         self.model = model
-        self._fitted = None
+        self.weights: np.ndarray | None = None
 
     def fit(self, texts: DataFrame, text: str = "document") -> TextEmbedder:
-        if self.model is None:
-            steps = [
-                RegexTokenizer(
-                    inputCol="_text", outputCol="_words", pattern=r"(?U)\w+", gaps=False
-                ),
-                HashingTF(inputCol="_words", outputCol="_tf", numFeatures=self.features),
-                IDF(inputCol="_tf", outputCol="_idf"),
-                Normalizer(inputCol="_idf", outputCol="_unit"),
-            ]
-            self._fitted = Pipeline(stages=steps).fit(self._named(texts, text))
+        if self.model is not None:
+            return self
+        features = self.features
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, total, rows = _Features(features), np.zeros(features, dtype=np.int64), 0
+            for batch in batches:
+                rows += batch.num_rows
+                for one in batch.column(0).to_pylist():
+                    total += known.counts(one) > 0
+            held = pa.array([[rows, *total.tolist()]], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([held], names=["held"])
+
+        lowered = texts.select(F.lower(F.col(text).cast("string")).alias("text"))
+        cells = in_arrow(lowered, add, "held array<long>").select(F.posexplode("held"))
+        sums = dict(cells.groupBy("pos").agg(F.sum("col")).collect())
+        count = sums.get(0, 0)
+        held = np.array([sums.get(place + 1, 0) for place in range(features)], dtype=np.float64)
+        self.weights = np.log((count + 1) / (held + 1))
         return self
 
-    @staticmethod
-    def _named(texts: DataFrame, text: str) -> DataFrame:
-        return texts.withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
-
     def embed(self, texts: DataFrame, text: str = "document", output: str = "embedding") -> DataFrame:
         if self.model is not None:
             return texts.withColumn(output, self.model(F.col(text)))
-        if self._fitted is None:
+        if self.weights is None:
             raise ValueError("fit the embedder first")
-        found = self._fitted.transform(self._named(texts, text))
-        return found.withColumn(output, vector_to_array("_unit", "float32")).drop(
-            "_text", "_words", "_tf", "_idf", "_unit"
-        )
+        features, weights = self.features, self.weights
+        reach_package(texts.sparkSession)
+
+        @F.arrow_udf("array<float>")
+        def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            known = _Features(features)
+            for batch in batches:
+                rows = np.zeros((len(batch), features), dtype=np.float32)
+                for number, one in enumerate(batch.to_pylist()):
+                    weighted = known.counts(one) * weights
+                    length = np.sqrt((weighted * weighted).sum())
+                    if length:
+                        rows[number] = weighted / length
+                ends = np.arange(len(batch) + 1, dtype=np.int32) * features
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))
+
+        return texts.withColumn(output, vectors(F.lower(F.col(text).cast("string"))))
+
+
+def embedded_rows(
+    rows: DataFrame,
+    key: str,
+    columns: Sequence[str] | None = None,
+    embedder: TextEmbedder | None = None,
+) -> tuple[DataFrame, TextEmbedder]:
+    """``id, document, embedding`` of every row, written once, and the fitted embedder.
+
+    Handed to ``row_search`` they save embedding the rows for every search.
+    """
+    sentences = rows.select(F.col(key).alias("id"), row_to_text(rows, columns).alias("document"))
+    embedder = (embedder or TextEmbedder()).fit(sentences)
+    return written(embedder.embed(sentences), "rows"), embedder
 
 
 def row_search(
@@ -68,15 +125,19 @@ def row_search(
     columns: Sequence[str] | None = None,
     max_results: int = 10,
     embedder: TextEmbedder | None = None,
+    stored: DataFrame | None = None,
 ) -> DataFrame:
     """Rows whose sentence is nearest to each query, joined back to the whole row.
 
-    ``queries`` has ``query_id, query_text``; ``key`` identifies a row.
+    ``queries`` has ``query_id, query_text``; ``key`` identifies a row. ``stored`` and the fitted
+    ``embedder`` are those of ``embedded_rows``, if the rows have been embedded before.
     """
-    sentences = rows.select(F.col(key).alias("id"), row_to_text(rows, columns).alias("document"))
-    embedder = (embedder or TextEmbedder()).fit(sentences)
+    if stored is None:
+        stored, embedder = embedded_rows(rows, key, columns, embedder)
+    elif embedder is None:
+        raise ValueError("stored rows need the embedder they were made with")
     asked = embedder.embed(queries, "query_text", "query_vector")
-    hits = vector_topk(embedder.embed(sentences), asked, max_results)
+    hits = vector_topk(stored, asked, max_results)
     return hits.join(rows, hits["id"] == rows[key]).drop("id")
 
 
@@ -95,104 +156,3 @@ def text_search(
     stored = written(embedder.embed(chunks), "vectors")
     asked = written(embedder.embed(queries, "query_text", "query_vector"), "asked")
     return hybrid_search(stored, asked, n)
-
-
-def _signatures(
-    planes: np.ndarray, tables: int
-) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For every vector a number per table: the sides of the table's planes it lies on."""
-    bits = len(planes) // tables
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float)
-                sides = flat.reshape(batch.num_rows, -1) @ planes.T > 0
-                powers = 1 << np.arange(bits)
-                numbers = sides.reshape(batch.num_rows, tables, bits) @ powers
-                ends = np.arange(batch.num_rows + 1, dtype=np.int32) * tables
-                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(numbers.ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), listed], names=["key", "vector", "numbers"]
-                )
-
-    return sign
-
-
-def common_width(vectors: DataFrame, queries: DataFrame) -> int:
-    """The width of all vectors, 1 without any; null and empty ones have none."""
-    sizes = vectors.select(F.size("embedding").alias("n")).unionByName(
-        queries.select(F.size("query_vector").alias("n"))
-    )
-    least, most = sizes.filter("n > 0").agg(F.min("n"), F.max("n")).first()
-    if least != most:
-        raise ValueError(f"vectors have different widths, from {least} to {most}")
-    return most or 1
-
-
-def near_pairs(
-    vectors: DataFrame, queries: DataFrame, bits: int, tables: int, seed: int = 7
-) -> DataFrame:
-    """Pairs that share the signature of at least one table, with their similarity."""
-    width = common_width(vectors, queries)
-    planes = np.random.default_rng(seed).normal(size=(tables * bits, width))
-
-    def signed(df: DataFrame, key: str, vector: str) -> DataFrame:
-        kind = df.schema[key].dataType.simpleString()
-        known = df.filter(F.size(vector) == width).select(
-            F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("vector")
-        )
-        return known.mapInArrow(
-            _signatures(planes, tables),
-            f"key {kind}, vector array<double>, numbers array<bigint>",
-        ).select(F.col("key").alias(key), F.col("vector").alias(vector), F.posexplode("numbers").alias("table", "number"))
-
-    stored = signed(vectors, "id", "embedding")
-    asked = signed(queries, "query_id", "query_vector")
-    pairs = asked.join(stored, ["table", "number"])
-    # A pair that meets in several tables counts in the first of them; all are equal.
-    met = pairs.groupBy("query_id", "id").agg(
-        F.first("query_vector").alias("a"), F.first("embedding").alias("b")
-    )
-
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
-
-    a, b = F.col("a"), F.col("b")
-    size = F.sqrt(dot(a, a) * dot(b, b))
-    cosine = F.when(size > 0, dot(a, b) / size).otherwise(0.0)
-    return met.select("query_id", "id", F.round((1 + cosine) / 2, SCORE_DIGITS).alias("similarity"))
-
-
-def vector_topk_approx(
-    vectors: DataFrame,
-    queries: DataFrame,
-    k: int,
-    bits: int = 8,
-    tables: int = 12,
-    seed: int = 7,
-) -> DataFrame:
-    """Approximate nearest neighbours by random planes, scored like the exact search.
-
-    Only vectors on the same sides of all ``bits`` planes of one of the ``tables`` as a query
-    can be its hits: of vectors at a right angle about ``tables / 2 ** bits`` while that is
-    small. More bits let through less, more tables find more. ``compared`` is the number of
-    those vectors. A query that has fewer than ``k`` of them is searched exactly.
-    """
-    width = common_width(vectors, queries)
-    planes = np.random.default_rng(seed).normal(size=(tables * bits, width))
-    powers = 1 << np.arange(bits)
-
-    def sign(rows: np.ndarray) -> np.ndarray:
-        numbers = (rows @ planes.T > 0).reshape(len(rows), tables, bits) @ powers
-        return numbers.astype("int8" if bits < 8 else "int64")
-
-    stored = vectors.filter(F.size("embedding") > 0)
-    asked = queries.filter(F.size("query_vector") > 0)
-    near = written(vector_topk(stored, asked, k, sign=sign), "near")
-    whole = near.filter(F.col("rank") == k).select("query_id")
-    exact = vector_topk(stored, asked.join(whole, "query_id", "left_anti"), k)
-    every = stored.agg(F.count(F.lit(1))).scalar()
-    return near.join(whole, "query_id", "left_semi").unionByName(
-        exact.withColumn("compared", every)
-    )

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +14,9 @@ from pyspark.sql import types as T
 from tabulary.functions.columns import quoted, small_side
 from tabulary.functions.text import keyword_score
 from tabulary.operators.questions import expand_query, search_type
-from tabulary.operators.rowindex import with_row_index
-from tabulary.session import written
+from tabulary.session import in_arrow
 
-QUERY_BYTES = 64 * 1024 * 1024  # query vectors one pass hands to every task
+QUERY_BYTES = 64 * 1024 * 1024  # query vectors a task holds at once
 TILE_CELLS = 2_000_000  # similarities a task holds at once
 SCORE_DIGITS = 9  # scores closer than this count as equal; the id decides
 
@@ -52,70 +50,45 @@ def vector_topk(
     k: int,
     vector_group: str | None = None,
     query_group: str | None = None,
-    sign: Callable[[np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
     """Exact ``k`` nearest vectors of every query: ``(query_id, rank, id, similarity)``.
 
-    ``vectors`` has ``id, embedding``; ``queries`` has ``query_id, query_vector``. With
-    groups, a query whose group is not null sees only vectors of that group.
+    ``vectors`` has ``id, embedding``; ``queries`` has ``query_id, query_vector``, with ids of
+    their own. With groups, a query whose group is not null sees only vectors of that group.
 
-    Each task multiplies its vectors with all query vectors and keeps ``k`` per query, so
-    only those are shuffled. Query vectors beyond ``QUERY_BYTES`` take one pass per block.
-
-    With ``sign``, which gives each row of a matrix some numbers, a query sees only vectors that
-    have one of its numbers at the same place; ``compared`` says how many they are.
+    Query vectors of up to ``QUERY_BYTES`` go to every task, which multiplies its vectors with
+    them and keeps ``k`` per query, so only those are shuffled. More are dealt out in blocks, and
+    so are the vectors: each pair of a query block and a vector block meets in a task that holds
+    the queries and reads the vectors past them. Copies tie, the smaller id wins.
     """
     asked = queries.select(
         "query_id",
-        F.col("query_vector").cast("array<double>").alias("query_vector"),
-        (F.col(query_group) if query_group else F.lit(None)).cast("string").alias("query_group"),
-    ).filter(F.col("query_vector").isNotNull())
+        F.col("query_vector").cast("array<double>").alias("vector"),
+        (F.col(query_group) if query_group else F.lit(None)).cast("string").alias("group"),
+    ).filter(F.size("vector") > 0)
     stored = vectors.select(
         "id",
-        F.col("embedding"),
+        F.col("embedding").cast("array<double>").alias("vector"),
         (F.col(vector_group) if vector_group else F.lit(None)).cast("string").alias("group"),
-    ).filter(F.col("embedding").isNotNull())
-    first = asked.select(F.size("query_vector")).first()
-    id_type = vectors.schema["id"].dataType
-    if first is None:
-        none = _no_hits(vectors, queries)
-        return none if sign is None else none.withColumn("compared", F.lit(0).cast("long"))
-    block = max(1, QUERY_BYTES // (8 * max(1, first[0])))
-    fetched = asked.limit(block + 1).collect()
-    if len(fetched) <= block:
-        return _topk_pass(stored, fetched, queries.schema["query_id"].dataType, id_type, k, sign)
-    numbered = written(
-        with_row_index(asked, ["query_id"]).withColumn("_block", F.floor(F.col("row_index") / block)),
-        "queries",
-    )
-    count = numbered.agg(F.max("_block")).first()[0] + 1
-    parts = [
-        written(
-            _topk_pass(
-                stored,
-                numbered.filter(F.col("_block") == number).collect(),
-                queries.schema["query_id"].dataType,
-                id_type,
-                k,
-                sign,
-            ),
-            "hits",
-        )
-        for number in range(count)
-    ]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _no_hits(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    schema = T.StructType(
-        [
-            T.StructField("query_id", queries.schema["query_id"].dataType),
-            T.StructField("rank", T.IntegerType()),
-            T.StructField("id", vectors.schema["id"].dataType),
-            T.StructField("similarity", T.DoubleType()),
-        ]
-    )
-    return vectors.sparkSession.createDataFrame([], schema)
+    ).filter(F.size("vector") > 0)
+    size = asked.agg(F.coalesce(F.sum(F.size("vector").cast("long") * 8), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // QUERY_BYTES))
+    if blocks == 1:
+        return ranked(_shared_pass(stored, asked, k), k)
+    partitions = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = max(1, -(-partitions // blocks))
+    own, others = F.pmod(F.xxhash64("query_id"), F.lit(blocks)), F.sequence(F.lit(0), F.lit(tiles - 1))
+    asked = asked.withColumn("block", own.cast("int")).withColumn("tile", F.explode(others))
+    own, others = F.pmod(F.xxhash64("id"), F.lit(tiles)), F.sequence(F.lit(0), F.lit(blocks - 1))
+    stored = stored.withColumn("tile", own.cast("int")).withColumn("block", F.explode(others))
+    return ranked(met(stored, asked, ["block", "tile"], k), k)
+
+
+def ranked(hits: DataFrame, k: int) -> DataFrame:
+    """The best ``k`` of the hits that tasks handed on; at most ``k`` per query and task."""
+    order = W.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("id").asc())
+    kept = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return kept.select("query_id", "rank", "id", "similarity")
 
 
 def _unit_rows(rows: np.ndarray) -> np.ndarray:
@@ -135,97 +108,139 @@ def _best_columns(scores: np.ndarray, k: int) -> np.ndarray:
     return np.nonzero(kept)[1].reshape(len(scores), k)
 
 
-def _topk_pass(
-    stored: DataFrame,
-    rows: list,
-    query_type: T.DataType,
-    id_type: T.DataType,
-    k: int,
-    sign: Callable[[np.ndarray], np.ndarray] | None = None,
-) -> DataFrame:
-    spark = stored.sparkSession
-    matrix = _unit_rows(np.array([row["query_vector"] for row in rows], dtype="float64"))
-    width = matrix.shape[1]
-    groups = np.array([row["query_group"] or "" for row in rows], dtype=str)
-    grouped = bool((groups != "").any())
-    shared = spark.sparkContext.broadcast((matrix, groups))
-    textual = isinstance(id_type, T.StringType)
-    arrow_id = pa.string() if textual else pa.int64()
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries, wanted = shared.value
-        count = len(queries)
-        best = np.full((count, k), -np.inf)
-        compared = np.zeros(count, dtype="int64")
-        signed = None if sign is None else sign(queries).T
-        ids = np.full((count, k), "" if textual else 0, dtype="U1" if textual else "int64")
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            found = batch.column(0).to_numpy(zero_copy_only=False)
-            found = found.astype(str) if textual else found.astype("int64")
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            data = _unit_rows(flat.astype("float64").reshape(batch.num_rows, width))
-            order = np.argsort(found, kind="stable")
-            found, data = found[order], data[order]
-            if grouped:
-                kinds = batch.column(2).to_numpy(zero_copy_only=False)
-                kinds = np.array([kind or "" for kind in kinds], dtype=str)[order]
-            if textual:
-                size = max(found.dtype.itemsize, ids.dtype.itemsize) // 4
-                ids = ids.astype(f"U{size}")
-            numbers = None if sign is None else sign(data).T
-            step = max(1, TILE_CELLS // len(found))
-            for start in range(0, count, step):
-                part = slice(start, start + step)
-                cosine = np.clip(queries[part] @ data.T, -1.0, 1.0)
-                scores = np.round((1.0 + cosine) / 2.0, SCORE_DIGITS)
-                if grouped:
-                    asked = wanted[part][:, None]
-                    scores[(asked != "") & (asked != kinds[None, :])] = -np.inf
-                if sign is not None:
-                    met = np.zeros(scores.shape, dtype=bool)
-                    for own, other in zip(signed[:, part], numbers, strict=True):
-                        met |= own[:, None] == other[None, :]
-                    compared[part] += met.sum(axis=1)
-                    scores[~met] = -np.inf
-                picked = _best_columns(scores, k)
-                merged = np.hstack([best[part], np.take_along_axis(scores, picked, axis=1)])
-                names = np.hstack([ids[part], found[picked]])
-                top = np.lexsort((names, -merged), axis=1)[:, :k]
-                best[part] = np.take_along_axis(merged, top, axis=1)
-                ids[part] = np.take_along_axis(names, top, axis=1)
-        query_no, place = np.nonzero(best > -np.inf)
-        yield pa.RecordBatch.from_arrays(
+class _Best:
+    """The best ``k`` vectors of some queries, while vectors pass by."""
+
+    def __init__(self, queries: pa.RecordBatch | pa.Table, textual: bool, k: int) -> None:
+        if isinstance(queries, pa.Table):
+            queries = queries.combine_chunks()
+        self.names = queries.column("query_id")
+        count = queries.num_rows
+        self.matrix = _unit_rows(_matrix(queries.column("vector"), count))
+        self.wanted = np.array([group or "" for group in queries.column("group").to_pylist()], dtype=str)
+        self.grouped = bool((self.wanted != "").any())
+        self.textual, self.k = textual, k
+        self.best = np.full((count, k), -np.inf)
+        self.ids = np.full((count, k), "" if textual else 0, dtype="U1" if textual else "int64")
+
+    def add(self, vectors: pa.RecordBatch) -> None:
+        found = vectors.column("id").to_numpy(zero_copy_only=False)
+        found = found.astype(str) if self.textual else found.astype("int64")
+        data = _unit_rows(_matrix(vectors.column("vector"), vectors.num_rows))
+        order = np.argsort(found, kind="stable")
+        found, data = found[order], data[order]
+        if self.grouped:
+            kinds = [group or "" for group in vectors.column("group").to_pylist()]
+            kinds = np.array(kinds, dtype=str)[order]
+        if self.textual:
+            size = max(found.dtype.itemsize, self.ids.dtype.itemsize) // 4
+            self.ids = self.ids.astype(f"U{size}")
+        step = max(1, TILE_CELLS // len(found))
+        for start in range(0, len(self.matrix), step):
+            part = slice(start, start + step)
+            cosine = np.clip(self.matrix[part] @ data.T, -1.0, 1.0)
+            scores = np.round((1.0 + cosine) / 2.0, SCORE_DIGITS)
+            if self.grouped:
+                asked = self.wanted[part][:, None]
+                scores[(asked != "") & (asked != kinds[None, :])] = -np.inf
+            picked = _best_columns(scores, self.k)
+            merged = np.hstack([self.best[part], np.take_along_axis(scores, picked, axis=1)])
+            names = np.hstack([self.ids[part], found[picked]])
+            top = np.lexsort((names, -merged), axis=1)[:, : self.k]
+            self.best[part] = np.take_along_axis(merged, top, axis=1)
+            self.ids[part] = np.take_along_axis(names, top, axis=1)
+
+    def hits(self) -> pa.RecordBatch:
+        number, place = np.nonzero(self.best > -np.inf)
+        names = self.names.take(pa.array(number))
+        return pa.RecordBatch.from_arrays(
             [
-                pa.array(query_no.astype("int32")),
-                pa.array(ids[query_no, place].tolist(), arrow_id),
-                pa.array(best[query_no, place]),
-                # With the first hit of a query, so that their sum is the number of all tasks.
-                pa.array(np.where(place == 0, compared[query_no], 0)),
+                names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names,
+                pa.array(self.ids[number, place].tolist(), pa.string() if self.textual else pa.int64()),
+                pa.array(self.best[number, place]),
             ],
-            names=["query_no", "id", "similarity", "compared"],
+            names=["query_id", "id", "similarity"],
         )
 
+
+def _matrix(vectors: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(rows, -1)
+
+
+def _hit_types(stored: DataFrame, asked: DataFrame) -> tuple[bool, str, str]:
+    """Whether ids are text, the type they travel in, and the schema of hits."""
+    textual = isinstance(stored.schema["id"].dataType, T.StringType)
     kept = "string" if textual else "long"
-    hits = stored.withColumn("id", F.col("id").cast(kept)).mapInArrow(
-        search, f"query_no int, id {kept}, similarity double, compared long"
-    )
-    order = W.partitionBy("query_no").orderBy(F.col("similarity").desc(), F.col("id").asc())
-    if sign is not None:
-        hits = hits.withColumn("compared", F.sum("compared").over(W.partitionBy("query_no")))
-    ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    schema = T.StructType(
-        [T.StructField("query_no", T.IntegerType()), T.StructField("query_id", query_type)]
-    )
-    known = spark.createDataFrame([(i, row["query_id"]) for i, row in enumerate(rows)], schema)
-    return ranked.join(F.broadcast(known), "query_no").select(
-        "query_id",
-        "rank",
-        F.col("id").cast(id_type).alias("id"),
-        "similarity",
-        *([] if sign is None else ["compared"]),
-    )
+    query_type = asked.schema["query_id"].dataType.simpleString()
+    return textual, kept, f"query_id {query_type}, id {kept}, similarity double"
+
+
+def _shared_pass(stored: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Hits of each task of ``stored`` for queries of at most ``QUERY_BYTES`` together."""
+    textual, kept, schema = _hit_types(stored, asked)
+    shared = stored.sparkSession.sparkContext.broadcast(asked.toArrow())
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not shared.value.num_rows:
+            return
+        best = _Best(shared.value, textual, k)
+        for batch in batches:
+            if batch.num_rows:
+                best.add(batch)
+        yield best.hits()
+
+    hits = in_arrow(stored.withColumn("id", F.col("id").cast(kept)), search, schema)
+    return hits.withColumn("id", F.col("id").cast(stored.schema["id"].dataType))
+
+
+def met(stored: DataFrame, asked: DataFrame, cell: list[str], k: int) -> DataFrame:
+    """Hits of every cell: its queries against its vectors, ``k`` per query.
+
+    ``stored`` has ``id, vector, group``, ``asked`` has ``query_id, vector, group``, both with the
+    columns of ``cell``. A task holds the queries of one cell at a time; vectors stream past.
+    """
+    textual, kept, schema = _hit_types(stored, asked)
+    query_type = asked.schema["query_id"].dataType
+
+    def side(df: DataFrame, number: int) -> DataFrame:
+        query = F.col("query_id") if number == 0 else F.lit(None).cast(query_type)
+        own = F.col("id").cast(kept) if number == 1 else F.lit(None).cast(kept)
+        return df.select(
+            *cell, F.lit(number).alias("side"), query.alias("query_id"), own.alias("id"), "vector", "group"
+        )
+
+    partitions = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = side(asked, 0).unionByName(side(stored, 1))
+    dealt = both.repartition(partitions, *cell).sortWithinPartitions(*cell, "side")
+    columns = len(cell)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, queries, best = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            numbers = np.stack([batch.column(n).to_numpy() for n in range(columns + 1)])
+            edges = np.flatnonzero((numbers[:, 1:] != numbers[:, :-1]).any(axis=0)) + 1
+            for start, end in zip([0, *edges], [*edges, batch.num_rows], strict=True):
+                own, is_query = numbers[:columns, start].tolist(), numbers[columns, start] == 0
+                if own != current:
+                    if best is not None:
+                        yield best.hits()
+                    current, queries, best = own, [], None
+                part = batch.slice(start, end - start)
+                if is_query:
+                    queries.append(part)
+                elif queries:
+                    if best is None:
+                        best = _Best(pa.Table.from_batches(queries), textual, k)
+                    best.add(part)
+        if best is not None:
+            yield best.hits()
+
+    hits = in_arrow(dealt, search, schema)
+    return hits.withColumn("id", F.col("id").cast(stored.schema["id"].dataType))
 
 
 def semantic_search(chunks: DataFrame, queries: DataFrame, n: int = 5, **groups) -> DataFrame:

@@ -23,6 +23,7 @@ from tabulary.functions.columns import (
     stacked,
 )
 from tabulary.operators.quantiles import exact_quantiles, quantile_struct
+from tabulary.session import in_arrow
 
 # Accepted names of a statistic and the name each one stands for.
 STAT_ALIASES = {
@@ -203,7 +204,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     finite = [F.when(F.abs(n) < float("inf"), F.col(n)) for n in cells.columns]
     centre = [F.when(F.min(v) == F.max(v), F.min(v)).otherwise(F.avg(v)) for v in finite]
     centres = [value or 0.0 for value in cells.agg(*centre).first()]
-    moments = cells.mapInArrow(_pair_moments(centres), _MOMENTS)
+    moments = in_arrow(cells, _pair_moments(centres), _MOMENTS)
     sums = moments.groupBy("a", "b").agg(
         *[F.sum(name).alias(name) for name in ("n", "x", "y", "xx", "yy", "xy")]
     )

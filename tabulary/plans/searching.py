@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulary.functions.text import keyword_score, row_to_text
-from tabulary.operators import chunks, collections, embed, search
+from tabulary.operators import chunks, collections, embed, search, vector_index
 from tabulary.plans.catalogue import q, query, rounded, table
 from tabulary.plans.questions import expand_sql, search_type_sql
 from tabulary.session import scratch_path, written
@@ -17,6 +17,31 @@ CHUNK_KINDS = ("rows", "column", "summary")
 ASKED_EVERY = 20
 
 
+def text_vectors_sql(texts: str, fitted: str | None = None) -> str:
+    """``id, embedding`` of the texts of a subquery with ``id, text``, weighted by ``fitted``."""
+
+    def counted(source: str) -> str:
+        words = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+        return (
+            f"(SELECT id, CAST('0x' || substr(md5(word), 1, 4) AS INTEGER) % {embed.FEATURES} AS b, "
+            f"count(*) AS n FROM (SELECT id, unnest({words}) AS word FROM {source}) "
+            "GROUP BY ALL)"
+        )
+
+    fitted = fitted or texts
+    return f"""(
+    WITH asked AS MATERIALIZED (SELECT id, text FROM {texts}),
+    fitted AS MATERIALIZED (SELECT id, text FROM {fitted}),
+    size AS (SELECT CAST(count(*) + 1 AS DOUBLE) AS n FROM fitted),
+    weights AS (SELECT g.b, ln((SELECT n FROM size) / (count(t.b) + 1)) AS w
+                FROM range({embed.FEATURES}) g(b) LEFT JOIN {counted('fitted')} t ON t.b = g.b GROUP BY g.b),
+    weighted AS MATERIALIZED (SELECT id, b, n * w AS x FROM {counted('asked')} JOIN weights USING (b)),
+    lengths AS (SELECT id, nullif(sqrt(sum(x * x)), 0) AS length FROM weighted GROUP BY id)
+    SELECT a.id, list(CAST(coalesce(x / length, 0) AS FLOAT) ORDER BY g.b) AS embedding
+    FROM asked a CROSS JOIN range({embed.FEATURES}) g(b)
+    LEFT JOIN weighted t ON t.id = a.id AND t.b = g.b LEFT JOIN lengths l ON l.id = a.id GROUP BY a.id)"""
+
+
 def with_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with one of the stored vectors; documents take turns at them."""
     vectors = table(spark, folder, "embeddings")
@@ -25,26 +50,33 @@ def with_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return documents.join(vectors, "vec_id")
 
 
-def chunk_store(spark: SparkSession, folder: str) -> DataFrame:
+def chunk_table(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents as chunks, without vectors."""
     kinds = F.array(*[F.lit(kind) for kind in CHUNK_KINDS])
-    return (
-        with_vectors(spark, folder)
-        .select(
-            F.col("doc_id").alias("id"),
-            F.col("text").alias("document"),
-            "embedding",
-            "source",
-            F.element_at(kinds, F.col("label") % 3 + 1).alias("chunk_type"),
-            F.col("lang").alias("collection"),
-        )
+    kind = F.element_at(kinds, (F.col("doc_id") % len(CHUNK_KINDS) + 1).cast("int"))
+    return table(spark, folder, "documents").select(
+        F.col("doc_id").alias("id"),
+        F.col("text").alias("document"),
+        "source",
+        kind.alias("chunk_type"),
+        F.col("lang").alias("collection"),
     )
 
 
-STORE_SQL = (
-    "(SELECT doc_id AS id, text AS document, embedding::DOUBLE[] AS embedding, source, "
-    "['rows', 'column', 'summary'][label % 3 + 1] AS chunk_type, lang AS collection "
-    "FROM documents JOIN embeddings ON doc_id % (SELECT count(*) FROM embeddings) = vec_id)"
+def store_and_questions(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The chunks and the benchmark's questions, each with the vector of its text."""
+    chunks_ = chunk_table(spark, folder)
+    embedder = embed.TextEmbedder().fit(chunks_)
+    asked = embedder.embed(search_texts(spark, folder), "query_text", "query_vector")
+    return written(embedder.embed(chunks_), "store"), written(asked, "questions")
+
+
+CHUNKS_SQL = (
+    "(SELECT doc_id AS id, text AS document, source, "
+    "['rows', 'column', 'summary'][doc_id % 3 + 1] AS chunk_type, lang AS collection FROM documents)"
 )
+TEXTS_SQL = "(SELECT doc_id AS id, text FROM documents)"
+STORE_SQL = f"(SELECT * FROM {CHUNKS_SQL} JOIN {text_vectors_sql(TEXTS_SQL)} USING (id))"
 
 OPENINGS = (
     "",
@@ -57,29 +89,24 @@ OPENINGS = (
 )
 
 
-def search_queries(spark: SparkSession, folder: str) -> DataFrame:
-    """Benchmark passages as search texts, each with the vector of the same number."""
+def search_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark passages as search texts, each behind one of a few openings."""
     openings = F.array(*[F.lit(o) for o in OPENINGS])
     opening = F.element_at(openings, (F.col("item_id") % len(OPENINGS) + 1).cast("int"))
-    vectors = table(spark, folder, "embeddings").select(
-        F.col("vec_id").alias("item_id"), F.col("embedding").alias("query_vector")
-    )
-    return (
-        table(spark, folder, "benchmark")
-        .join(vectors, "item_id")
-        .select(
-            F.col("item_id").alias("query_id"),
-            F.concat(opening, F.col("text")).alias("query_text"),
-            "query_vector",
-        )
+    return table(spark, folder, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.concat(opening, F.col("text")).alias("query_text")
     )
 
 
-ASKED_SQL = (
+QUESTIONS_SQL = (
     "(SELECT item_id AS query_id, list_extract(["
     + ", ".join(q(o) for o in OPENINGS)
-    + f"], item_id % {len(OPENINGS)} + 1) || text AS query_text, "
-    "embedding::DOUBLE[] AS query_vector FROM benchmark JOIN embeddings ON item_id = vec_id)"
+    + f"], item_id % {len(OPENINGS)} + 1) || text AS query_text FROM benchmark)"
+)
+ASKED_SQL = (
+    f"(SELECT query_id, query_text, embedding AS query_vector FROM {QUESTIONS_SQL} JOIN "
+    + text_vectors_sql(f"(SELECT query_id AS id, query_text AS text FROM {QUESTIONS_SQL})", TEXTS_SQL)
+    + " ON query_id = id)"
 )
 
 
@@ -103,7 +130,8 @@ CENTRES_SQL = (
     "GROUP BY label, place) GROUP BY label)"
 )
 
-SIMILARITY_SQL = "round((1 + list_cosine_similarity(query_vector, embedding)) / 2, 9)"
+COSINE_SQL = "list_cosine_similarity(query_vector::DOUBLE[], embedding::DOUBLE[])"
+SIMILARITY_SQL = f"round((1 + coalesce(nullif({COSINE_SQL}, 'NaN'::DOUBLE), 0)) / 2, 9)"
 
 
 def topk_sql(store: str, asked: str, k: int, condition: str = "true") -> str:
@@ -131,11 +159,6 @@ def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(hits, "similarity", places=6)
 
 
-#: Of the stored vectors, which are nearly at right angles to each other, nine tenths and more
-#: of the true neighbours are found.
-PLANES = {"bits": 6, "tables": 64}
-
-
 def asking_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Every stored vector whose id is divisible by twenty, as a query."""
     chosen = table(spark, folder, "embeddings").filter(F.col("vec_id") % ASKED_EVERY == 0)
@@ -148,16 +171,22 @@ def asking_vectors(spark: SparkSession, folder: str) -> DataFrame:
 def vector_topk_approx(spark: SparkSession, folder: str) -> DataFrame:
     """Hits for every twentieth vector, with the share of all pairs that was compared."""
     vectors, asked = all_vectors(spark, folder), asking_vectors(spark, folder)
-    hits = written(embed.vector_topk_approx(vectors, asked, 5, **PLANES), "approximate")
+    hits = written(vector_index.vector_topk_approx(vectors, asked, 5), "approximate")
     compared = hits.filter("rank = 1").agg(F.sum("compared")).scalar()
     possible = vectors.agg(F.count(F.lit(1))).scalar() * asked.agg(F.count(F.lit(1))).scalar()
     return hits.drop("compared").withColumn("compared_share", F.round(compared / possible, 4))
 
 
-@query("embed_text")
+@query(
+    "embed_text",
+    "SELECT id AS doc_id, list_transform(embedding, lambda x: round(x::DOUBLE, 5)) AS embedding "
+    f"FROM {text_vectors_sql(TEXTS_SQL)}",
+)
 def embed_text(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", F.col("text").alias("document"))
-    return embed.TextEmbedder().fit(documents).embed(documents).select("doc_id", "embedding")
+    found = embed.TextEmbedder().fit(documents).embed(documents)
+    rounded_ = F.transform("embedding", lambda x: F.round(x.cast("double"), 5))
+    return found.select("doc_id", rounded_.alias("embedding"))
 
 
 _FILTERS = {"source": {"$in": ["src1", "src2", "src3"]}, "chunk_type": "rows", "collection": ""}
@@ -167,13 +196,13 @@ _FILTERS = {"source": {"$in": ["src1", "src2", "src3"]}, "chunk_type": "rows", "
     "metadata_filter",
     "SELECT query_id, id, rank, round(similarity, 6) AS similarity FROM ("
     + topk_sql(
-        STORE_SQL, CENTRES_SQL, 5, "source IN ('src1', 'src2', 'src3') AND chunk_type = 'rows'"
+        STORE_SQL, ASKED_SQL, 5, "source IN ('src1', 'src2', 'src3') AND chunk_type = 'rows'"
     )
     + ")",
 )
 def metadata_filter(spark: SparkSession, folder: str) -> DataFrame:
-    chosen = chunk_store(spark, folder).filter(where_metadata(_FILTERS))
-    hits = search.vector_topk(chosen, label_centres(spark, folder), 5)
+    store, asked = store_and_questions(spark, folder)
+    hits = search.vector_topk(store.filter(where_metadata(_FILTERS)), asked, 5)
     return rounded(hits, "similarity", places=6)
 
 
@@ -197,7 +226,28 @@ def row_text(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("c_custkey", row_to_text(rows).alias("row_text"))
 
 
-@query("row_search")
+PART_TEXTS_SQL = (
+    "(SELECT p_partkey AS id, concat_ws('. ', "
+    + ", ".join(
+        f"'{c} is ' || {c}"
+        for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
+    )
+    + ") AS text FROM part)"
+)
+TYPES_SQL = (
+    "(SELECT p_type AS id, 'parts of type ' || p_type || ' and brand ' || max(p_brand) AS text "
+    "FROM part GROUP BY p_type)"
+)
+TYPES_ASKED_SQL = (
+    f"(SELECT id AS query_id, embedding AS query_vector FROM {text_vectors_sql(TYPES_SQL, PART_TEXTS_SQL)})"
+)
+
+
+@query(
+    "row_search",
+    f"SELECT query_id, rank, round(similarity + 2e-9, 6) AS similarity, part.* "
+    f"FROM ({topk_sql(text_vectors_sql(PART_TEXTS_SQL), TYPES_ASKED_SQL, 10)}) JOIN part ON p_partkey = id",
+)
 def row_search(spark: SparkSession, folder: str) -> DataFrame:
     part = table(spark, folder, "part")
     asked = (
@@ -210,7 +260,7 @@ def row_search(spark: SparkSession, folder: str) -> DataFrame:
             ),
         )
     )
-    return embed.row_search(part, "p_partkey", asked)
+    return nudged(embed.row_search(part, "p_partkey", asked), "similarity")
 
 
 _HIT_FIELDS = ["id", "collection", "source", "chunk_type"]
@@ -219,8 +269,8 @@ _HIT_FIELDS = ["id", "collection", "source", "chunk_type"]
 @query(
     "row_result_format",
     f"""
-    WITH h AS (SELECT * FROM ({topk_sql(STORE_SQL, CENTRES_SQL, 10)}) JOIN
-               (SELECT id, collection, source, chunk_type FROM {STORE_SQL}) USING (id))
+    WITH h AS (SELECT * FROM ({topk_sql(f"(SELECT * FROM {STORE_SQL} WHERE length(document) > 0)", ASKED_SQL, 10)}) JOIN
+               (SELECT id, collection, source, chunk_type FROM {CHUNKS_SQL}) USING (id))
     SELECT query_id, rank, 'id: ' || id || ', collection: ' || collection || ', source: ' || source
            || ', chunk_type: ' || chunk_type AS content, round(similarity, 6) AS relevance,
            count(*) OVER p AS n_rows,
@@ -233,7 +283,7 @@ _HIT_FIELDS = ["id", "collection", "source", "chunk_type"]
     """,
 )
 def row_result_format(spark: SparkSession, folder: str) -> DataFrame:
-    hits = search.semantic_search(chunk_store(spark, folder), label_centres(spark, folder), 10)
+    hits = search.semantic_search(*store_and_questions(spark, folder), 10)
     return rounded(search.row_result_format(hits, _HIT_FIELDS), "relevance", places=6)
 
 
@@ -266,7 +316,7 @@ def keyword_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def hybrid_sql(asked: str, n: int, condition: str, weight: str) -> str:
+def hybrid_sql(asked: str, n: int, condition: str, weight: str, store: str = STORE_SQL) -> str:
     return f"""
     SELECT query_id, id, source, chunk_type, document, semantic_score, keyword_score, combined_score,
            CAST(row_number() OVER (PARTITION BY query_id ORDER BY combined_score DESC, srank)
@@ -275,9 +325,9 @@ def hybrid_sql(asked: str, n: int, condition: str, weight: str) -> str:
                  rank AS srank, {jaccard_sql('query_text', 'document')} AS keyword_score,
                  round(({weight}) * similarity
                        + (1.0 - ({weight})) * {jaccard_sql('query_text', 'document')}, 9) AS combined_score
-          FROM ({topk_sql(STORE_SQL, asked, min(2 * n, 50), condition)})
+          FROM ({topk_sql(store, asked, 2 * n, f"length(document) > 0 AND ({condition})")})
           JOIN (SELECT * EXCLUDE (query_vector) FROM {asked}) USING (query_id)
-          JOIN (SELECT * EXCLUDE (embedding) FROM {STORE_SQL}) USING (id))
+          JOIN (SELECT * EXCLUDE (embedding) FROM {store}) USING (id))
     QUALIFY rank <= {n}
     """
 
@@ -298,7 +348,7 @@ def nudged(df: DataFrame, *columns: str) -> DataFrame:
     f"SELECT query_id, id, rank, {_SCORES_SQL} FROM ({hybrid_sql(ASKED_SQL, 10, 'true', '0.7::DOUBLE')})",
 )
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
-    found = search.hybrid_search(chunk_store(spark, folder), search_queries(spark, folder), 10)
+    found = search.hybrid_search(*store_and_questions(spark, folder), 10)
     return nudged(found.select("query_id", "id", "rank", *_SCORES), *_SCORES)
 
 
@@ -339,9 +389,9 @@ OPTIMIZED_SQL = boosted_sql(
     f"({boosted_sql(hybrid_sql(ASKED_SQL, 10, 'true', '0.7::DOUBLE'))})",
 )
 def rerank_boost(spark: SparkSession, folder: str) -> DataFrame:
-    asked = search_queries(spark, folder)
+    store, asked = store_and_questions(spark, folder)
     kinds = search.plan_queries(asked).select("query_id", "search_type")
-    found = search.hybrid_search(chunk_store(spark, folder), asked, 10).join(kinds, "query_id")
+    found = search.hybrid_search(store, asked, 10).join(kinds, "query_id")
     return nudged(search.rerank_boost(found), "combined_score").select(
         "query_id", "id", "rank", "search_type", "combined_score"
     )
@@ -351,15 +401,14 @@ def rerank_boost(spark: SparkSession, folder: str) -> DataFrame:
     "type_filter_preference",
     f"""
     SELECT query_id, search_type, wanted AS wanted_chunks,
-           CASE WHEN wanted IS NULL THEN (SELECT count(*) FROM {STORE_SQL})
-                ELSE (SELECT count(*) FROM {STORE_SQL} WHERE chunk_type = wanted) END AS n_candidates
+           CASE WHEN wanted IS NULL THEN (SELECT count(*) FROM {CHUNKS_SQL})
+                ELSE (SELECT count(*) FROM {CHUNKS_SQL} WHERE chunk_type = wanted) END AS n_candidates
     FROM {PLANNED_SQL}
     """,
 )
 def type_filter_preference(spark: SparkSession, folder: str) -> DataFrame:
-    chunks = chunk_store(spark, folder)
-    planned = search.plan_queries(search_queries(spark, folder))
-    sizes = chunks.groupBy("chunk_type").agg(F.count(F.lit(1)).alias("_n"))
+    planned = search.plan_queries(search_texts(spark, folder))
+    sizes = chunk_table(spark, folder).groupBy("chunk_type").agg(F.count(F.lit(1)).alias("_n"))
     every = sizes.agg(F.sum("_n")).scalar()
     return planned.join(sizes, F.col("wanted_chunks") == F.col("chunk_type"), "left").select(
         "query_id",
@@ -373,7 +422,7 @@ def type_filter_preference(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("optimized_search", f"SELECT query_id, id, rank, search_type, {_SCORES_SQL} FROM ({OPTIMIZED_SQL})")
 def optimized_search(spark: SparkSession, folder: str) -> DataFrame:
-    found = search.optimized_search(chunk_store(spark, folder), search_queries(spark, folder), 5)
+    found = search.optimized_search(*store_and_questions(spark, folder), 5)
     return nudged(found.select("query_id", "id", "rank", "search_type", *_SCORES), *_SCORES)
 
 
@@ -395,7 +444,7 @@ def optimized_search(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def search_insights(spark: SparkSession, folder: str) -> DataFrame:
-    found = search.optimized_search(chunk_store(spark, folder), search_queries(spark, folder), 5)
+    found = search.optimized_search(*store_and_questions(spark, folder), 5)
     return rounded(search.search_insights(found), "avg_score", places=6)
 
 
@@ -433,24 +482,24 @@ def _label_changes(spark: SparkSession, folder: str) -> DataFrame:
     f"""
     SELECT id, CASE WHEN quality = 0 THEN 'low quality' ELSE document END AS document,
            CASE WHEN toxic = 1 THEN 'quarantine' ELSE source END AS source
-    FROM {STORE_SQL} LEFT JOIN labels ON doc_id = id
+    FROM {CHUNKS_SQL} LEFT JOIN labels ON doc_id = id
     """,
 )
 def update_documents(spark: SparkSession, folder: str) -> DataFrame:
     changed = collections.update_documents(
-        chunk_store(spark, folder), _label_changes(spark, folder)
+        chunk_table(spark, folder), _label_changes(spark, folder)
     )
     return changed.select("id", "document", "source")
 
 
 @query(
     "delete_documents",
-    f"SELECT id, source FROM {STORE_SQL} WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
+    f"SELECT id, source FROM {CHUNKS_SQL} WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
 )
 def delete_documents(spark: SparkSession, folder: str) -> DataFrame:
     toxic = table(spark, folder, "labels").filter(F.col("toxic") == 1)
     return collections.delete_documents(
-        chunk_store(spark, folder), toxic.select(F.col("doc_id").alias("id"))
+        chunk_table(spark, folder), toxic.select(F.col("doc_id").alias("id"))
     ).select("id", "source")
 
 
@@ -464,16 +513,28 @@ def collection_info(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("text_search")
+PLAIN_ASKED_SQL = (
+    "(SELECT item_id AS query_id, text AS query_text, embedding AS query_vector FROM benchmark JOIN "
+    + text_vectors_sql("(SELECT item_id AS id, text FROM benchmark)", TEXTS_SQL)
+    + " ON item_id = id)"
+)
+
+
+@query(
+    "text_search",
+    f"SELECT query_id, id, rank, source, {_SCORES_SQL} "
+    f"FROM ({hybrid_sql(PLAIN_ASKED_SQL, 5, 'true', '0.7::DOUBLE')})",
+)
 def text_search(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark passages as questions, all documents as the store."""
     stored = table(spark, folder, "documents").select(
-        F.col("doc_id").alias("id"), F.col("text").alias("document"), "source", "lang"
+        F.col("doc_id").alias("id"), F.col("text").alias("document"), "source"
     )
     asked = table(spark, folder, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query_text")
     )
-    return embed.text_search(stored, asked, 5).drop("document", "embedding", "query_vector")
+    found = embed.text_search(stored, asked, 5)
+    return nudged(found.select("query_id", "id", "rank", "source", *_SCORES), *_SCORES)
 
 
 @query("chunk_search")

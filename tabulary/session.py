@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,18 @@ def build_session(app: str = "tabulary", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def reach_package(spark: SparkSession) -> None:
+    """Lets Python workers find the package where the driver has it, unless it was shipped."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
+def in_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with a function of this package."""
+    reach_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the cluster names it.
 

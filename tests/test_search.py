@@ -1,11 +1,15 @@
+import hashlib
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tabulary.functions.text import keyword_score, preprocess_text, row_to_text
-from tabulary.operators import collections, search
-from tabulary.operators.embed import TextEmbedder, near_pairs, row_search, text_search, vector_topk_approx
+from tabulary.operators import collections, search, vector_index
+from tabulary.operators.embed import TextEmbedder, embedded_rows, row_search, text_search
+from tabulary.operators.vector_index import VectorIndex, vector_topk_approx
 from tabulary.plans import searching
 
 
@@ -65,13 +69,28 @@ def test_topk_with_copies(spark, monkeypatch, data, text_ids, tile):
     assert collected(search.vector_topk(stored, asked, 7)) == brute_force(ids, vectors, queries, 7)
 
 
-def test_topk_in_blocks(spark, monkeypatch, data):
-    monkeypatch.setattr(search, "QUERY_BYTES", 8 * 16 * 2)
+@pytest.mark.parametrize("text_ids", [False, True])
+@pytest.mark.parametrize("vectors_at_once", [1, 2, 100])
+def test_topk_in_blocks(spark, monkeypatch, data, text_ids, vectors_at_once):
+    """Queries beyond one block meet the vectors in tasks; none passes the driver."""
+    monkeypatch.setattr(search, "QUERY_BYTES", 8 * 16 * vectors_at_once)
     vectors, queries = data
-    ids, stored, asked = frames(spark, vectors, queries)
+    ids, stored, asked = frames(spark, vectors, queries, text_ids)
+    if vectors_at_once < 5:
+        monkeypatch.setattr(search, "_shared_pass", None)
     assert collected(search.vector_topk(stored, asked, 3)) == brute_force(ids, vectors, queries, 3)
 
 
+def test_topk_of_a_group_in_blocks(spark, monkeypatch, data):
+    monkeypatch.setattr(search, "QUERY_BYTES", 1)
+    vectors, queries = data
+    ids, stored, asked = frames(spark, vectors, queries)
+    kinds = [r["chunk_type"] for r in stored.orderBy("id").collect()]
+    found = collected(search.vector_topk(stored, asked, 5, "chunk_type", "wanted"))
+    allowed = lambda q, i: q % 2 == 0 or kinds[i] == "column"
+    assert found == brute_force(ids, vectors, queries, 5, allowed)
+
+
 def test_topk_of_a_group(spark, data):
     vectors, queries = data
     ids, stored, asked = frames(spark, vectors, queries)
@@ -91,16 +110,47 @@ def test_few_vectors_zero_vectors_and_no_queries(spark):
     assert search.vector_topk(stored, asked.limit(0), 5).count() == 0
 
 
-def test_approximate_search_finds_most(spark):
+@pytest.fixture(scope="module")
+def clustered():
     rng = np.random.default_rng(8)
-    centres = rng.normal(size=(10, 16))
-    vectors = np.repeat(centres, 40, axis=0) + rng.normal(scale=0.05, size=(400, 16))
-    ids, stored, asked = frames(spark, vectors.astype("float32"), centres.astype("float32"))
+    centres = rng.normal(size=(60, 16))
+    vectors = np.repeat(centres, 50, axis=0) + rng.normal(scale=0.05, size=(3000, 16))
+    queries = vectors[::20] + rng.normal(scale=0.01, size=(150, 16))
+    return vectors.astype("float32"), queries.astype("float32")
+
+
+def test_approximate_search_of_clusters_reads_few_vectors(spark, clustered):
+    vectors, queries = clustered
+    ids, stored, asked = frames(spark, vectors, queries)
     exact = search.vector_topk(stored, asked, 5)
-    near = vector_topk_approx(stored, asked, 5)
-    shared = exact.join(near, ["query_id", "id"]).count()
-    assert shared >= 0.9 * exact.count()
-    assert near_pairs(stored, asked, 8, 12).count() <= 0.2 * 4000
+    near = vector_topk_approx(stored, asked, 5).cache()
+    assert exact.join(near, ["query_id", "id", "similarity"]).count() >= 0.9 * exact.count()
+    shares = near.select("query_id", "compared").distinct().agg(F.avg("compared")).first()[0] / 3000
+    assert shares <= 0.1
+    index = VectorIndex.build(stored, 50)
+    assert index.table.count() == index.sizes.sum() == 3000
+    few = collected(index.search(asked, 5, 1))
+    lists = {r["id"]: r["list"] for r in index.table.collect()}
+    assert all(len({lists[i] for i in found}) == 1 for found in few.values())
+
+
+def test_all_lists_give_the_exact_hits(spark, monkeypatch, data):
+    """Hot lists are read in parts, and queries of one list in blocks."""
+    monkeypatch.setattr(vector_index, "PART_ROWS", 100)
+    monkeypatch.setattr(search, "QUERY_BYTES", 8 * 16 * 2)
+    vectors, queries = data
+    ids, stored, asked = frames(spark, vectors, queries)
+    index = VectorIndex.build(stored, 7)
+    assert collected(index.search(asked, 6, 7)) == brute_force(ids, vectors, queries, 6)
+
+
+def test_index_is_kept_and_opened(spark, clustered, tmp_path):
+    vectors, queries = clustered
+    ids, stored, asked = frames(spark, vectors, queries, text_ids=True)
+    made = VectorIndex.build(stored, 30, path=str(tmp_path / "index"))
+    opened = VectorIndex.open(spark, str(tmp_path / "index"))
+    assert (opened.centroids == made.centroids).all() and (opened.sizes == made.sizes).all()
+    assert collected(opened.search(asked, 4, 2)) == collected(made.search(asked, 4, 2))
 
 
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
@@ -114,19 +164,30 @@ def test_approximate_search_of_the_tables(spark, size):
     assert exact.join(near, ["query_id", "id", "similarity"]).count() >= 0.9 * exact.count()
 
 
-def test_approximate_search_without_mates_and_of_two_widths(spark):
+def test_approximate_search_of_few_vectors_and_two_widths(spark):
     rng = np.random.default_rng(9)
     vectors, queries = rng.normal(size=(40, 16)), rng.normal(size=(6, 16))
     ids, stored, asked = frames(spark, vectors.astype("float32"), queries.astype("float32"))
-    near = vector_topk_approx(stored, asked, 5, bits=20, tables=1)
-    exact = search.vector_topk(stored, asked, 5)
-    assert collected(near) == collected(exact)
+    near = vector_topk_approx(stored, asked, 30, probes=1)
+    assert {len(found) for found in collected(near).values()} == {30}
+    assert vector_topk_approx(stored, asked, 50, probes=1).count() == 6 * 40
+    assert vector_topk_approx(stored, asked.limit(0), 5).count() == 0
+    assert vector_topk_approx(stored.limit(0), asked, 5).count() == 0
     other = spark.createDataFrame([(99, [1.0] * 3)], "id long, embedding array<float>")
     mixed = stored.select("id", "embedding").unionByName(other)
     with pytest.raises(ValueError, match="from 3 to 16"):
         vector_topk_approx(mixed, asked, 5)
-    with pytest.raises(ValueError, match="from 3 to 16"):
-        near_pairs(mixed, asked, 8, 12)
+
+
+def test_row_search_with_stored_rows(spark):
+    rows = spark.createDataFrame([(n, f"thing {n}", n * 1.5) for n in range(30)], "k int, name string, x double")
+    asked = spark.createDataFrame([(1, "thing 7"), (2, "thing 20")], "query_id int, query_text string")
+    stored, embedder = embedded_rows(rows, "k")
+    kept = row_search(rows, "k", asked, max_results=3, embedder=embedder, stored=stored)
+    fresh = row_search(rows, "k", asked, max_results=3)
+    assert sorted(kept.collect()) == sorted(fresh.collect())
+    with pytest.raises(ValueError, match="embedder"):
+        row_search(rows, "k", asked, stored=stored)
 
 
 def test_chunk_search_asks_with_every_twentieth_row(spark):
@@ -155,6 +216,19 @@ def test_embedding_is_unit_length_and_equal_for_equal_texts(spark):
     assert np.allclose([np.linalg.norm(v) for v in vectors], [1, 1, 1, 0, 0], atol=1e-6)
 
 
+def test_embedding_follows_the_definition(spark):
+    texts = ["Red fox runs\x0bred", "red fox", "A blue\tfox \n", "", None, "x" * 500]
+    df = spark.createDataFrame([(t,) for t in texts], "document string")
+    found = [r["embedding"] for r in TextEmbedder(64).fit(df).embed(df).collect()]
+    counts = np.zeros((len(texts), 64))
+    for row, text in enumerate(texts):
+        for word in re.findall(r"\w+", (text or "").lower()):
+            counts[row, int(hashlib.md5(word.encode()).hexdigest()[:4], 16) % 64] += 1
+    weighted = counts * np.log((len(texts) + 1) / ((counts > 0).sum(axis=0) + 1))
+    lengths = np.linalg.norm(weighted, axis=1, keepdims=True)
+    assert np.allclose(found, weighted / np.where(lengths > 0, lengths, 1), atol=1e-6)
+
+
 def test_many_hits_are_not_capped():
     assert [search.candidates_for(n) for n in (1, 30, 200)] == [2, 60, 400]
     assert search.candidates_for(200, 50) == 200
