@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tabulary.operators.rowindex import with_number_in_key
+
 # Defaults of a remembered message, and how much a list of queries shows.
 UNKNOWN_SESSION = "unknown"
 DEFAULT_ROLE = "user"
@@ -42,11 +43,14 @@ def with_context(memory: DataFrame) -> DataFrame:
 def session_history(memory: DataFrame, limit: int | None = None) -> DataFrame:
     """The messages of every session in time order, those without a time first.
 
-    With ``limit`` only so many of the first messages of each session.
+    With ``limit`` only so many of the first messages of each session. A session may hold any
+    share of all messages: its numbers are put together from several tasks.
     """
-    order = W.partitionBy("session_id").orderBy(F.col("ts").asc_nulls_first(), F.col("text"))
-    ranked = memory.withColumn("message_no", F.row_number().over(order))
-    return with_context(ranked if limit is None else ranked.filter(F.col("message_no") <= limit))
+    order = [F.col("ts").asc_nulls_first(), F.col("text"), F.col("role"), F.col("analysis_context")]
+    numbered = with_number_in_key(memory, ["session_id"], order, "message_no")
+    return with_context(
+        numbered if limit is None else numbered.filter(F.col("message_no") <= limit)
+    )
 
 
 def conversation_topics(memory: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ table made of the customers.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulary.operators import questions
@@ -82,13 +82,17 @@ WORDINGS = (
 )
 
 
-def question_log(spark: SparkSession, folder: str) -> DataFrame:
+def event_question() -> Column:
+    """The question an event asks: one of the wordings with the event's number."""
     wordings = F.array(*[F.lit(w) for w in WORDINGS])
     wording = F.element_at(wordings, (F.col("event_id") % len(WORDINGS) + 1).cast("int"))
-    number = F.floor("value").cast("string")
+    return F.replace(wording, F.lit("{n}"), F.floor("value").cast("string"))
+
+
+def question_log(spark: SparkSession, folder: str) -> DataFrame:
     asked = table(spark, folder, "events").select(
         F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("qid"),
-        F.replace(wording, F.lit("{n}"), number).alias("question"),
+        event_question().alias("question"),
     )
     talked = (
         table(spark, folder, "conversations")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tabulary.operators import conversations
 from tabulary.operators.questions import search_type
 from tabulary.plans.catalogue import TABLES, query, rounded, table, union_all
-from tabulary.plans.questions import QUESTIONS_SQL, question_log, search_type_sql
+from tabulary.plans.questions import QUESTIONS_SQL, event_question, search_type_sql
 from tabulary.session import scratch_path
 from tabulary.streaming import streams
 
@@ -88,8 +88,7 @@ MEMORY_SQL = (
     "session_history",
     f"""
     SELECT session_id, ts, role, text, context_type, dataset_name, query_type,
-           CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts NULLS FIRST, text) AS INTEGER)
-           AS message_no
+           row_number() OVER (PARTITION BY session_id ORDER BY ts NULLS FIRST, text) AS message_no
     FROM {MEMORY_SQL}
     """,
 )
@@ -134,16 +133,15 @@ def conversation_topics(spark: SparkSession, folder: str) -> DataFrame:
 
 def query_log(spark: SparkSession, folder: str) -> DataFrame:
     """The questions events ask, with how each one went."""
-    log = table(spark, folder, "events").select(
-        F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("qid"),
+    return table(spark, folder, "events").select(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"),
         (F.col("event_type") != "error").alias("success"),
         (F.col("event_type") == "view").alias("cache_hit"),
         (F.col("value") / 100).alias("response_time"),
         F.concat(F.lit("answer "), F.col("props")).alias("answer"),
         F.lit("no answer").alias("message"),
+        event_question().alias("query"),
     )
-    return log.join(question_log(spark, folder).withColumnRenamed("question", "query"), "qid")
 
 
 LOG_SQL = (
