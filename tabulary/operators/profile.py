@@ -6,9 +6,11 @@ comes from one value-frequency table. Profiles always see the typed frame.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,6 +27,7 @@ from tabulary.functions.columns import (
     string_columns,
 )
 from tabulary.functions.text import STOPWORDS, words
+from tabulary.session import in_arrow
 
 # What a date and a number look like, and the thresholds of the classes.
 DATE_PATTERN = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4}"
@@ -250,18 +253,15 @@ def null_profile(df: DataFrame) -> DataFrame:
     )
     share = F.when(F.col("row_count") > 0, F.col("null_count") * 100.0 / F.col("row_count"))
     per_column = cells.withColumn("null_pct", F.coalesce(share, F.lit(0.0)))
-    totals = per_column.agg(
-        F.struct(
-            (F.sum("null_count") * 100.0 / F.greatest(F.sum("row_count"), F.lit(1))).alias("total"),
-            F.avg("null_pct").alias("average"),
-        )
-    ).scalar()
+    # One row for each column of the table.
+    every = W.partitionBy()
+    nulls, rows = F.sum("null_count").over(every), F.sum("row_count").over(every)
     return per_column.select(
         "column",
         "null_count",
         "null_pct",
-        totals["total"].alias("total_null_pct"),
-        totals["average"].alias("avg_null_pct"),
+        (nulls * 100.0 / F.greatest(rows, F.lit(1))).alias("total_null_pct"),
+        F.avg("null_pct").over(every).alias("avg_null_pct"),
     )
 
 
@@ -336,20 +336,67 @@ def avg_text_length(df: DataFrame) -> DataFrame:
 
 
 def sample_values(df: DataFrame, columns: Sequence[str] | None = None, n: int = 10) -> DataFrame:
-    """The ``n`` smallest distinct values per column, numbers in number order."""
-    order = W.partitionBy("column").orderBy("value_long", "value_double", "value_text")
+    """The ``n`` smallest distinct values per column and how often they occur.
+
+    Numbers are in number order, all else in the order of its text. A task keeps ``n`` values per
+    column and their counts: a value among the smallest of all is among the smallest of what its
+    task has seen at any time, so its count is whole. Only those few values are shuffled.
+    """
+    fields = _fields(df, columns)
+    slots = [_slot_of(field.dataType) for field in fields]
+    cells = df.select(
+        *[clean_value(field).cast(slot).alias(f"v{i}") for i, (field, slot) in enumerate(zip(fields, slots, strict=True))]
+    )
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[dict] = [{} for _ in slots]
+        for batch in batches:
+            for held, values in zip(kept, batch.columns, strict=True):
+                counted = pc.value_counts(values.drop_null())
+                found, counts = counted.field("values"), counted.field("counts")
+                order = pc.sort_indices(found)[:n]
+                for value, count in zip(
+                    found.take(order).to_pylist(), counts.take(order).to_pylist(), strict=True
+                ):
+                    held[value] = held.get(value, 0) + count
+                for value in sorted(held)[n:]:
+                    del held[value]
+        rows = [
+            (number, *(value if kind == slot else None for kind in ("long", "double", "string")), count)
+            for number, (slot, held) in enumerate(zip(slots, kept, strict=True))
+            for value, count in held.items()
+        ]
+        kinds = [pa.int32(), pa.int64(), pa.float64(), pa.string(), pa.int64()]
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)],
+            names=["column_no", "value_long", "value_double", "value_text", "n"],
+        )
+
+    schema = "column_no int, value_long long, value_double double, value_text string, n long"
+    merged = in_arrow(cells, smallest, schema).groupBy(
+        "column_no", "value_long", "value_double", "value_text"
+    ).agg(F.sum("n").alias("n"))
+    order = W.partitionBy("column_no").orderBy("value_long", "value_double", "value_text")
     return (
-        value_frequency(df, columns)
-        .withColumn("rank", F.row_number().over(order))
+        merged.withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= n)
-        .select("column", "rank", value_as_text().alias("value"), "n")
+        .select(
+            name_at([field.name for field in fields], F.col("column_no")).alias("column"),
+            "rank",
+            value_as_text().alias("value"),
+            "n",
+        )
     )
 
 
-def dataset_overview(df: DataFrame) -> DataFrame:
-    """One row with sizes, missing shares and the number of columns of each class."""
+def dataset_overview(df: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """One row with sizes, missing shares and the number of columns of each class.
+
+    ``classes`` is the result of ``column_classes`` if it is known already.
+    """
     cells = F.sum("row_count")
-    return column_classes(df).agg(
+    return (column_classes(df) if classes is None else classes).agg(
         F.coalesce(F.max("row_count"), F.lit(0)).alias("row_count"),
         F.count(F.lit(1)).alias("column_count"),
         (F.sum("bytes") / F.lit(1024.0 * 1024.0)).alias("memory_mb"),

@@ -39,11 +39,19 @@ def write_json(results: DataFrame, path: str) -> None:
 
 def result_summary(results: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """Number, type, shortened content and chart flag of every result."""
-    content = F.coalesce("content", F.lit(""))
+    # What is shown of a row goes through the sort, beside what orders it.
+    order = {f"_order{i}": F.col(name) for i, name in enumerate(order_by)}
+    shown = results.select(
+        *[column.alias(name) for name, column in order.items()],
+        F.coalesce("type", F.lit("unknown")).alias("type"),
+        F.substring(F.coalesce("content", F.lit("")), 1, SUMMARY_LENGTH + 1).alias("content"),
+        F.when(F.col("chart_data").isNotNull(), "Yes").otherwise("No").alias("has_chart"),
+    )
+    content = F.col("content")
     shortened = F.concat(F.substring(content, 1, SUMMARY_LENGTH), F.lit(ELLIPSIS))
-    return with_row_index(results, order_by, start=1).select(
+    return with_row_index(shown, list(order), start=1).select(
         F.col("row_index").alias("result_no"),
-        F.coalesce("type", F.lit("unknown")).alias("type"),
+        "type",
         F.when(F.length(content) > SUMMARY_LENGTH, shortened).otherwise(content).alias("content"),
-        F.when(F.col("chart_data").isNotNull(), "Yes").otherwise("No").alias("has_chart"),
+        "has_chart",
     )
