@@ -83,7 +83,12 @@ def exact_quantiles(
         .distinct()
     )
     ranks = _kept(ranks, by)
+    passes = 0
     while not ranks.filter(_known().isNull()).isEmpty():
+        passes += 1
+        if passes == 2:
+            # From here on only what lies in an open bin is read, and the input no more.
+            values = written(_inside(values, ranks, by).select(*group, "value"), "open")
         ranks = _kept(_narrowed(values, ranks, by), by)
     known = F.struct("_rank", _known().alias("_value"))
     found = ranks.groupBy(*group, "_p").agg(
@@ -116,11 +121,10 @@ def _known() -> Column:
     ).when(F.col("_at") == F.col("_n") - 1, F.col("_most"))
 
 
-def _narrowed(values: DataFrame, ranks: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Ranks with the bin of the next histogram, drawn inside the bins that don't tell yet."""
+def _inside(values: DataFrame, ranks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Values that lie in a bin that doesn't tell yet, with the bin's bounds."""
     keys = [f"_k{j}" for j in range(len(by))]
-    open_ = ranks.filter(_known().isNull())
-    bins = open_.select(
+    bins = ranks.filter(_known().isNull()).select(
         *[quoted(name).alias(key) for name, key in zip(by, keys, strict=True)],
         F.col("column_no").alias("_c"),
         F.col("_least").alias("_low"),
@@ -134,10 +138,17 @@ def _narrowed(values: DataFrame, ranks: DataFrame, by: Sequence[str]) -> DataFra
     )
     for name, key in zip(by, keys, strict=True):
         inside = inside & quoted(name).eqNullSafe(F.col(key))
+    return values.join(bins, inside)
+
+
+def _narrowed(values: DataFrame, ranks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Ranks with the bin of the next histogram, drawn inside the bins that don't tell yet."""
+    keys = [f"_k{j}" for j in range(len(by))]
+    open_ = ranks.filter(_known().isNull())
     step = (F.col("value") - F.col("_low")) / (F.col("_high") - F.col("_low")) * BINS
     place = F.least(F.floor(step), F.lit(BINS - 1))
     group = [*[quoted(name) for name in by], F.col("column_no"), F.col("_low")]
-    counted = _histogram(values.join(bins, inside), group, place)
+    counted = _histogram(_inside(values, ranks, by), group, place)
     ordered = W.partitionBy(*group).orderBy("_bin").rowsBetween(
         W.unboundedPreceding, W.currentRow
     )

@@ -77,19 +77,58 @@ def exact_type(data_type: T.DataType) -> str:
     return f"decimal(38,{scale})"
 
 
+def _scale(field: T.StructField) -> int | None:
+    """Decimal places of a column whose sums are exact; None for fractions and the rest."""
+    if isinstance(field.dataType, T.DecimalType):
+        return field.dataType.scale
+    return 0 if isinstance(field.dataType, T.IntegralType) else None
+
+
 def additive_wide(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """All additive statistics from one pass, one row per column."""
-    value = F.col("value")
+    """All additive statistics from one pass, one row per column.
+
+    Whole numbers and decimals are added up and compared as decimals of 38 digits, one slot for
+    each number of places, beside the doubles that deviations are made of. ``exact_sum``,
+    ``exact_min`` and ``exact_max`` have their digits as text and are null for other columns; a
+    sum beyond 38 digits is a double only.
+    """
+    fields = [df.schema[name] for name in columns]
+    scales = sorted({scale for field in fields if (scale := _scale(field)) is not None})
+
+    def slot(field: T.StructField, scale: int) -> Column:
+        kind = f"decimal(38,{scale})"
+        return quoted(field.name).cast(kind) if _scale(field) == scale else F.lit(None).cast(kind)
+
+    cells = F.array(
+        *[
+            F.struct(
+                as_double(field).alias("value"),
+                *[slot(field, scale).alias(f"exact{scale}") for scale in scales],
+            )
+            for field in fields
+        ]
+    )
+    value = F.col("_cell.value")
+    exact = [F.col(f"_cell.exact{scale}") for scale in scales]
+
+    def digits(name: str, of) -> Column:
+        found = [of(column).cast("string") for column in exact]
+        return F.coalesce(*found, F.lit(None).cast("string")).alias(name)
+
     measured = (
-        stacked(df, columns)
+        df.select(F.posexplode(cells).alias("column_no", "_cell"))
         .groupBy("column_no")
         .agg(
             F.count(value).cast("double").alias("_count"),
-            F.sum(value).alias("_sum"),
+            F.sum(value).alias("_float_sum"),
             F.min(value).alias("min"),
             F.max(value).alias("max"),
             F.var_samp(value).alias("var"),
+            digits("exact_sum", F.try_sum),
+            digits("exact_min", F.min),
+            digits("exact_max", F.max),
         )
+        .withColumn("_sum", F.coalesce(F.col("exact_sum").cast("double"), F.col("_float_sum")))
     )
     return (
         column_list(df, columns)
@@ -103,20 +142,39 @@ def additive_wide(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             F.coalesce("_count", F.lit(0.0)).alias("count"),
             F.sqrt("var").alias("std"),
             "var",
+            "exact_sum",
+            "exact_min",
+            "exact_max",
         )
     )
 
 
 def additive_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The same in long form: ``(column, stat, value)``."""
-    return additive_wide(df, columns).unpivot(["column"], list(ADDITIVE), "stat", "value")
+    """The same in long form: ``(column, stat, value, exact)``."""
+    cells = [
+        F.struct(
+            F.lit(stat).alias("stat"),
+            F.col(stat).alias("value"),
+            (
+                F.col(f"exact_{stat}") if stat in ("sum", "min", "max") else F.lit(None).cast("string")
+            ).alias("exact"),
+        )
+        for stat in ADDITIVE
+    ]
+    wide = additive_wide(df, columns)
+    return wide.select("column", F.explode(F.array(*cells)).alias("_s")).select("column", "_s.*")
 
 
 def stats_table(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Every supported statistic of every numeric column: ``(column, stat, value)``."""
+    """Every supported statistic of every numeric column: ``(column, stat, value, exact)``.
+
+    ``value`` is a double; ``exact`` has all digits of sums and extremes of whole numbers and
+    decimals, and is null for the rest and for columns without a value.
+    """
     columns = list(columns or numeric_columns(df))
+    nothing = F.lit(None).cast("string").alias("exact")
     medians = exact_quantiles(df, columns, [0.5]).select(
-        "column", F.lit("median").alias("stat"), "value"
+        "column", F.lit("median").alias("stat"), "value", nothing
     )
     return additive_stats(df, columns).unionByName(medians)
 

@@ -38,6 +38,13 @@ def stat_sql(source: str, column: str, stat: str) -> str:
     )
 
 
+def exact_stat_sql(source: str, column: str, stat: str) -> str:
+    """With the digits of sums and extremes of whole numbers."""
+    whole = TABLES[source][column] == "i" and stat in ("sum", "min", "max")
+    exact = f"CAST({stat}({column}) AS VARCHAR)" if whole else "CAST(NULL AS VARCHAR)"
+    return stat_sql(source, column, stat).replace(" AS value FROM", f" AS value, {exact} AS exact FROM")
+
+
 def _add_stat(name: str, stat: str, source: str, column: str) -> None:
     @query(name, stat_sql(source, column, stats.STAT_ALIASES[stat]))
     def build(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,7 +67,7 @@ def stat_count(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     "stats_table",
-    union_all([stat_sql("lineitem", c, s) for c in NUMERIC for s in STAT_SQL]),
+    union_all([exact_stat_sql("lineitem", c, s) for c in NUMERIC for s in STAT_SQL]),
 )
 def stats_table(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(stats.stats_table(table(spark, folder, "lineitem")), "value")
