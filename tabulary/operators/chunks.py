@@ -6,9 +6,10 @@ read back from either.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,7 @@ from tabulary.functions.columns import quoted
 from tabulary.functions.text import labelled_cells, preprocess_text
 from tabulary.operators import profile, stats
 from tabulary.operators.rowindex import with_row_index
+from tabulary.session import in_arrow
 
 # Rows per block, the largest and smallest adaptive block, and what makes a
 # table dense, wordy or sparse.
@@ -26,13 +28,20 @@ DENSE = 0.8
 SPARSE = 0.3
 WORDY = 100
 
+#: Characters of a block beyond which it is cut, so that wide rows make no block of any size.
+CHUNK_LENGTH = 4_000_000
+
 CHUNK_COLUMNS = ("chunk_id", "chunk_type", "source", "text", "meta")
 
 
 def row_chunks(
     df: DataFrame, order_by: Sequence[str], source: str, size: int = CHUNK_ROWS
 ) -> DataFrame:
-    """Blocks of ``size`` consecutive rows with a line per row."""
+    """Blocks of ``size`` consecutive rows with a line per row.
+
+    A block of more than ``CHUNK_LENGTH`` characters is cut into parts, and so is a longer line;
+    ``chunk_part`` numbers them.
+    """
     indexed = with_row_index(df, order_by)
     line = F.concat(
         F.lit("Row "),
@@ -45,24 +54,52 @@ def row_chunks(
 
 
 def _blocks(lines: DataFrame, source: str, size: int, header: Column) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("row_index", "line")))
-    body = F.array_join(F.transform(ordered, lambda cell: cell["line"]), "\n")
-    return (
-        lines.groupBy(F.floor(F.col("row_index") / size).alias("chunk_no"))
-        .agg(
-            F.min("row_index").alias("chunk_start_row"),
-            F.max("row_index").alias("chunk_end_row"),
-            body.alias("_body"),
-        )
-        .withColumn("chunk_size", F.col("chunk_end_row") - F.col("chunk_start_row") + 1)
-        .select(
-            F.lit(source).alias("source"),
-            "chunk_no",
-            "chunk_start_row",
-            "chunk_end_row",
-            "chunk_size",
-            F.concat(header, F.col("_body")).alias("text"),
-        )
+    """Lines of each block joined as they stream by in order; a task holds one part at a time."""
+    most = CHUNK_LENGTH
+    names = ["chunk_no", "chunk_part", "chunk_start_row", "chunk_end_row", "_body"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        number = part = first = last = length = 0
+
+        def block(*parts: tuple) -> pa.RecordBatch:
+            columns = zip(*parts, strict=True)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)],
+                names=names,
+            )
+
+        for batch in batches:
+            rows = zip(*(column.to_pylist() for column in batch.columns), strict=True)
+            for own, row, line in rows:
+                if held and (own != number or length + len(line) >= most):
+                    yield block((number, part, first, last, "\n".join(held)))
+                    part, held, length = (part + 1 if own == number else 0), [], 0
+                elif own != number:
+                    part = 0
+                number = own
+                while len(line) > most:
+                    yield block((number, part, row, row, line[:most]))
+                    part, line = part + 1, line[most:]
+                first = first if held else row
+                last = row
+                held.append(line)
+                length += len(line) + 1
+        if held:
+            yield block((number, part, first, last, "\n".join(held)))
+
+    numbered = lines.select(F.floor(F.col("row_index") / size).alias("chunk_no"), "row_index", "line")
+    dealt = numbered.repartition("chunk_no").sortWithinPartitions("chunk_no", "row_index")
+    schema = "chunk_no long, chunk_part int, chunk_start_row long, chunk_end_row long, _body string"
+    return in_arrow(dealt, join, schema).select(
+        F.lit(source).alias("source"),
+        "chunk_no",
+        "chunk_part",
+        "chunk_start_row",
+        "chunk_end_row",
+        (F.col("chunk_end_row") - F.col("chunk_start_row") + 1).alias("chunk_size"),
+        F.concat(header, F.col("_body")).alias("text"),
     )
 
 
@@ -182,7 +219,9 @@ def column_chunks(df: DataFrame, source: str) -> DataFrame:
 
 def summary_chunk(df: DataFrame, source: str) -> DataFrame:
     """One chunk with the shape, size, density, column classes and missing share."""
-    classes = profile.column_classes(df)
+    # One row for each column; the overview is made of the same rows.
+    profiled = profile.column_classes(df)
+    classes = df.sparkSession.createDataFrame(profiled.collect(), profiled.schema)
     counted = classes.groupBy("column_class").agg(
         F.min("position").alias("_first"), F.count(F.lit(1)).alias("_n")
     )
@@ -195,7 +234,7 @@ def summary_chunk(df: DataFrame, source: str) -> DataFrame:
             ", ",
         )
     ).scalar()
-    return profile.dataset_overview(df).select(
+    return profile.dataset_overview(df, classes).select(
         F.lit(source).alias("source"),
         F.concat_ws(
             "\n",
@@ -307,7 +346,10 @@ def build_chunks(
         _chunk(
             rows,
             "rows",
-            F.col("chunk_no").cast("string"),
+            F.concat(
+                F.col("chunk_no").cast("string"),
+                F.when(F.col("chunk_part") > 0, F.concat(F.lit("."), F.col("chunk_part"))).otherwise(""),
+            ),
             {n: F.col(n) for n in ("chunk_start_row", "chunk_end_row", "chunk_size")},
             start=F.col("chunk_start_row"),
             end=F.col("chunk_end_row"),

@@ -37,7 +37,7 @@ _ORDERS = list(TABLES["orders"])
     WITH i AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index, * FROM orders),
     l AS (SELECT row_index, row_index // 1000 AS chunk_no,
                  'Row ' || row_index || ':' || {lines_sql(_ORDERS, ": ")} AS line FROM i)
-    SELECT 'orders' AS source, chunk_no, min(row_index) AS chunk_start_row,
+    SELECT 'orders' AS source, chunk_no, CAST(0 AS INTEGER) AS chunk_part, min(row_index) AS chunk_start_row,
            max(row_index) AS chunk_end_row, count(*) AS chunk_size,
            'Data Table:' || chr(10) || 'Columns: {", ".join(_ORDERS)}' || chr(10) || chr(10)
            || string_agg(line, chr(10) ORDER BY row_index) AS text
@@ -59,7 +59,7 @@ _CUSTOMER = list(TABLES["customer"])
     p AS (SELECT *, row_index // size AS chunk_no, row_index % size AS place,
                  least(size, total - (row_index // size) * size) AS rows FROM i),
     l AS (SELECT *, 'Record ' || row_index || ':' || {lines_sql(_CUSTOMER, "=")} AS line FROM p)
-    SELECT 'customer' AS source, chunk_no, min(row_index) AS chunk_start_row,
+    SELECT 'customer' AS source, chunk_no, CAST(0 AS INTEGER) AS chunk_part, min(row_index) AS chunk_start_row,
            max(row_index) AS chunk_end_row, any_value(rows) AS chunk_size,
            CAST(any_value(size) AS INTEGER) AS adaptive_chunk_size,
            'Data segment with ' || any_value(rows) || ' rows and {len(_CUSTOMER)} columns' || chr(10)
