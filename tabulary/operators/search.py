@@ -260,11 +260,13 @@ def hybrid_search(
     semantic_weight: Column | float = 0.7,
     keyword_weight: Column | float = 0.3,
     most_candidates: int | None = None,
+    keyword_hits: DataFrame | None = None,
     **groups,
 ) -> DataFrame:
     """Nearest chunks ranked again by a weighted sum of similarity and word overlap.
 
-    Twice ``n`` chunks are ranked again, or ``most_candidates`` if that is less.
+    Twice ``n`` chunks are ranked again, or ``most_candidates`` if that is less. ``keyword_hits``,
+    the result of a ``KeywordIndex`` search, are candidates too, however far their vectors are.
 
     ``queries`` carries ``query_text`` besides its vector; weights may be query columns.
     """
@@ -275,12 +277,16 @@ def hybrid_search(
         _number(semantic_weight).alias("_ws"),
         _number(keyword_weight).alias("_wk"),
     )
+    if keyword_hits is not None:
+        hits = hits.unionByName(_by_keywords(chunks, queries, keyword_hits, hits, **groups))
     scored = hits.join(small_side(weights), "query_id").withColumn(
         "keyword_score", keyword_score(F.col("query_text"), F.col("document"))
     )
     combined = F.col("_ws") * F.col("similarity") + F.col("_wk") * F.col("keyword_score")
     scored = scored.withColumn("combined_score", F.round(combined, SCORE_DIGITS))
-    order = W.partitionBy("query_id").orderBy(F.col("combined_score").desc(), F.col("rank").asc())
+    order = W.partitionBy("query_id").orderBy(
+        F.col("combined_score").desc(), F.col("rank").asc_nulls_last(), F.col("id").asc()
+    )
     return (
         scored.withColumn("_place", F.row_number().over(order))
         .filter(F.col("_place") <= n)
@@ -290,6 +296,37 @@ def hybrid_search(
     )
 
 
+def _by_keywords(
+    chunks: DataFrame,
+    queries: DataFrame,
+    keyword_hits: DataFrame,
+    hits: DataFrame,
+    vector_group: str | None = None,
+    query_group: str | None = None,
+) -> DataFrame:
+    """Chunks found by their words and not by their vectors, with similarity and without a rank."""
+    asked = queries.select(
+        "query_id",
+        F.col("query_vector").cast("array<double>").alias("_q"),
+        (F.col(query_group) if query_group else F.lit(None)).cast("string").alias("_wanted"),
+    )
+    new = keyword_hits.select("query_id", "id").join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    pairs = new.join(asked, "query_id").join(chunks, "id")
+    if vector_group:
+        pairs = pairs.filter(F.col("_wanted").isNull() | (F.col("_wanted") == F.col(vector_group)))
+    vector = F.col("embedding").cast("array<double>")
+
+    def dot(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+
+    size = F.sqrt(dot(F.col("_q"), F.col("_q")) * dot(vector, vector))
+    cosine = F.when(size > 0, dot(F.col("_q"), vector) / size).otherwise(0.0)
+    similarity = F.round((1 + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))) / 2, SCORE_DIGITS)
+    return pairs.withColumn("similarity", similarity).withColumn("rank", F.lit(None).cast("int")).select(
+        *hits.columns
+    )
+
+
 def _number(value: Column | float) -> Column:
     return value if isinstance(value, Column) else F.lit(float(value))
 

@@ -6,7 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulary.functions.text import keyword_score, row_to_text
-from tabulary.operators import chunks, collections, embed, search, vector_index
+from tabulary.operators import (
+    chunks,
+    collections,
+    embed,
+    keyword_index,
+    search,
+    vector_index,
+)
 from tabulary.plans.catalogue import q, query, rounded, table
 from tabulary.plans.questions import expand_sql, search_type_sql
 from tabulary.session import scratch_path, written
@@ -352,6 +359,64 @@ def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
     return nudged(found.select("query_id", "id", "rank", *_SCORES), *_SCORES)
 
 
+#: Least share of words that documents and questions have in common to be found by them.
+LEAST_OVERLAP = 0.3
+WORD_SETS_SQL = (
+    "(SELECT doc_id AS id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), "
+    "lambda x: x <> '')) AS words FROM documents)"
+)
+
+
+@query(
+    "keyword_search",
+    f"""
+    WITH sets AS MATERIALIZED (SELECT * FROM {WORD_SETS_SQL} WHERE len(words) > 0),
+    pairs AS (SELECT a.id AS query_id, d.id, len(list_intersect(a.words, d.words)) AS shared,
+                     len(a.words) + len(d.words) AS total
+              FROM sets a, sets d WHERE a.id % {ASKED_EVERY} = 0
+              AND len(d.words) >= 0.49 * len(a.words) AND len(a.words) >= 0.49 * len(d.words))
+    SELECT query_id, id, round(CAST(shared AS DOUBLE) / (total - shared), 6) AS keyword_score
+    FROM pairs WHERE round(CAST(shared AS DOUBLE) / (total - shared), 9) >= 0.5
+    """,
+)
+def keyword_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that share half of their words with every twentieth one."""
+    documents = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("id"), F.col("text").alias("document")
+    )
+    asked = documents.filter(F.col("id") % ASKED_EVERY == 0).toDF("query_id", "query_text")
+    found = keyword_index.KeywordIndex.build(documents).search(asked, 0.5)
+    return rounded(found, "keyword_score", places=6)
+
+
+def with_keywords_sql(n: int, weight: str) -> str:
+    """Hybrid search among the nearest chunks and all that share enough words."""
+    return f"""
+    SELECT query_id, id, similarity AS semantic_score, keyword_score, combined_score,
+           CAST(row_number() OVER (PARTITION BY query_id ORDER BY combined_score DESC,
+                CASE WHEN srank <= {2 * n} THEN srank END NULLS LAST, id) AS INTEGER) AS rank
+    FROM (SELECT *, round(({weight}) * similarity + (1.0 - ({weight})) * keyword_score, 9) AS combined_score
+          FROM (SELECT query_id, id, {SIMILARITY_SQL} AS similarity,
+                       {jaccard_sql('query_text', 'document')} AS keyword_score,
+                       row_number() OVER (PARTITION BY query_id ORDER BY {SIMILARITY_SQL} DESC, id) AS srank
+                FROM {ASKED_SQL} a, {STORE_SQL} s WHERE length(document) > 0)
+          WHERE srank <= {2 * n} OR round(keyword_score, 9) >= {LEAST_OVERLAP})
+    QUALIFY rank <= {n}
+    """
+
+
+@query(
+    "hybrid_search_keywords",
+    f"SELECT query_id, id, rank, {_SCORES_SQL} FROM ({with_keywords_sql(10, '0.3::DOUBLE')})",
+)
+def hybrid_search_keywords(spark: SparkSession, folder: str) -> DataFrame:
+    """Hybrid search whose candidates come from vectors and from words."""
+    store, asked = store_and_questions(spark, folder)
+    words = keyword_index.KeywordIndex.build(store).search(asked, LEAST_OVERLAP)
+    found = search.hybrid_search(store, asked, 10, 0.3, 0.7, keyword_hits=words)
+    return nudged(found.select("query_id", "id", "rank", *_SCORES), *_SCORES)
+
+
 PLANNED_SQL = (
     f"(SELECT *, CASE search_type WHEN 'column_search' THEN 'column' WHEN 'statistical' THEN 'summary' "
     f"END AS wanted FROM (SELECT query_id, query_vector, {expand_sql('query_text')} AS query_text, "
@@ -503,6 +568,26 @@ def delete_documents(spark: SparkSession, folder: str) -> DataFrame:
     ).select("id", "source")
 
 
+@query(
+    "merge_documents",
+    f"""
+    SELECT CAST(id AS VARCHAR) AS id, CASE WHEN quality = 0 THEN 'low quality' ELSE document END AS document,
+           source, collection
+    FROM {CHUNKS_SQL} LEFT JOIN labels ON doc_id = id WHERE toxic IS NULL OR toxic <> 1
+    """,
+)
+def merge_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored documents after labels changed some of them and took out others, in place."""
+    path = scratch_path(spark, "collection")
+    stored = chunk_table(spark, folder).drop("chunk_type")
+    collections.add_documents(stored, path)
+    changes = _label_changes(spark, folder).select(F.col("id").cast("string").alias("id"), "document")
+    toxic = table(spark, folder, "labels").filter(F.col("toxic") == 1)
+    removed = toxic.select(F.col("doc_id").cast("string").alias("id"))
+    collections.merge_documents(spark, path, changes, removed)
+    return spark.read.parquet(path).select("id", "document", "source", "collection")
+
+
 @query(
     "collection_info",
     "SELECT lang AS collection, count(*) AS n_documents FROM documents GROUP BY lang",
