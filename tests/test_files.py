@@ -186,7 +186,7 @@ def test_streams_equal_batches_as_files_arrive(spark, tmp_path):
         )
         found = summary.select("session_id", "total_messages", "user_queries")
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, batch.collect()))
-    assert len([d for d in os.listdir(out) if d.startswith("batch_no")]) >= 2
+    assert len(os.listdir(os.path.join(out, "level=0"))) >= 2
 
     stream = streams.arriving_files(spark, folder, stream_schema)
     profile = streams.ingest_profile(stream, str(tmp_path / "p"), str(tmp_path / "pp"))
