@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import compress
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,13 +28,15 @@ from tabulary.llm.suffixes import runs, signed, window_minima
 from tabulary.session import written
 
 LENGTH = 20
-GRAM = 8
+GRAM = 6
 SLICE = 1 << 19
+#: Words read as one sequence, if one text doesn't hold more.
+BLOCK_WORDS = 200_000
 #: Words of a shard beyond which no further gram joins it.
 SHARD_WORDS = 100_000
 #: Different passages of one gram beyond which their windows are told apart by digests instead,
 #: as no shard may outgrow a task.
-HOT_GRAM = 2_000
+HOT_GRAM = 4_000
 
 FACTORS = np.random.default_rng(20).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 POSITION = np.uint64((1 << 20) - 1)
@@ -52,23 +55,50 @@ def gram_hashes(words: list[bytes], gram: int) -> np.ndarray:
     return hashed
 
 
-def places(words: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Gram hash, first window and number of windows of every place of a document."""
+def sampled(hashed: np.ndarray, width: int) -> np.ndarray:
+    """The place of the least hash among each ``width`` in a row; of equal ones the first."""
+    found = []
+    for begin in range(0, len(hashed) - width + 1, SLICE):
+        part = hashed[begin : begin + SLICE + width - 1]
+        keys = (part & ~POSITION) | np.arange(len(part), dtype=np.uint64)
+        found.append((window_minima(keys, width) & POSITION).astype(np.int64) + begin)
+    return np.concatenate(found)
+
+
+def places(rows: list[list[bytes]], length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Row, gram hash, first window and number of windows of every place of every row.
+
+    The rows' words are read as one sequence; windows that cross rows are left out.
+    """
+    sizes = np.array([len(words) for words in rows])
+    words = list(chain.from_iterable(rows))
     if len(words) < length:
-        return (np.zeros(0, dtype=np.int64),) * 3
+        return (np.zeros(0, dtype=np.int64),) * 4
     hashed = gram_hashes(words, gram)
-    grams, starts, counts = [], [], []
-    windows = len(words) - length + 1
-    for begin in range(0, windows, SLICE):
-        size = min(SLICE, windows - begin)
-        part = hashed[begin : begin + size + length - gram]
-        keys = (part & ~POSITION) | np.arange(len(part), dtype=np.uint64)
-        at = (window_minima(keys, length - gram + 1) & POSITION).astype(np.int64)
-        own = np.flatnonzero(np.concatenate([[True], np.diff(at) != 0]))
-        grams.append(part[at[own]].view(np.int64))
-        starts.append(own + begin)
-        counts.append(np.diff(np.append(own, size)))
-    return np.concatenate(grams), np.concatenate(starts), np.concatenate(counts)
+    at = sampled(hashed, length - gram + 1)
+    ends = np.cumsum(sizes)
+    window = np.arange(len(at))
+    whole = np.flatnonzero(window + length <= np.repeat(ends, sizes)[: len(at)])
+    at = at[whole]
+    own = np.flatnonzero(np.diff(at, prepend=-1) | (np.diff(whole, prepend=-1) != 1))
+    starts = whole[own]
+    owner = np.searchsorted(ends, starts, side="right")
+    counts = np.diff(np.append(own, len(whole)))
+    return owner, hashed[at[own]].view(np.int64), starts - (ends - sizes)[owner], counts
+
+
+def blocks(texts: list[bytes | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """Words of texts, as many texts at a time as make a block, with the first one's number."""
+    held: list[list[bytes]] = []
+    first = size = 0
+    for number, text in enumerate(texts):
+        held.append((text or b"").split())
+        size += len(held[-1])
+        if size >= BLOCK_WORDS:
+            yield first, held
+            first, held, size = number + 1, [], 0
+    if held:
+        yield first, held
 
 
 def named(words: list[bytes], start: int, n: int, length: int) -> tuple[bytes, int]:
@@ -169,28 +199,41 @@ def first_windows(passages: list[list[bytes]], length: int) -> list[list[int]]:
 # Spark ------------------------------------------------------------------------------------
 
 
-def occurring(docs: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
-    """``row, doc_id, gram, copies``: each gram that names a place of a document, once."""
+def occurring(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """``row, gram``: each gram that names a place of a document; twice if it names several."""
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        rows, grams, copies = [], [], []
-        for number, text in enumerate(batch.column(2).to_pylist()):
-            own, often = np.unique(places((text or b"").split(), length, gram)[0], return_counts=True)
-            rows.append(np.full(len(own), number))
-            grams.append(own)
-            copies.append(often)
-        chosen = pa.array(np.concatenate(rows))
-        return [
-            batch.column(0).take(chosen),
-            batch.column(1).take(chosen),
-            pa.array(np.concatenate(grams)),
-            pa.array(np.concatenate(copies).astype(np.int32)),
-        ]
+        rows, grams = [], []
+        for first, words in blocks(batch.column(1).to_pylist()):
+            owner, found, _, _ = places(words, length, gram)
+            order = np.lexsort((found, owner))
+            owner, found = owner[order], found[order]
+            # The first two of each run of equal grams of a row.
+            new = np.diff(owner, prepend=-1).astype(bool) | (np.diff(found, prepend=0) != 0)
+            kept = np.flatnonzero(new | np.concatenate([[False], new[:-1]])[: len(new)])
+            rows.append(owner[kept] + first)
+            grams.append(found[kept])
+        return [batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(grams))]
+
+    return map_batches(docs.select("row", "text"), make, "`row` long, gram long", ["row", "gram"])
 
-    return map_batches(docs, make, f"`row` long, doc_id {kind}, gram long, copies int", OCCURRING)
+
+def packed(docs: DataFrame, kind: str) -> DataFrame:
+    """Documents with their texts compressed, as they are shuffled and written more than once."""
+
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        press = zstandard.ZstdCompressor(level=3).compress
+        texts = [press(text or b"") for text in batch.column(2).to_pylist()]
+        return [batch.column(0), batch.column(1), pa.array(texts, pa.binary())]
+
+    return map_batches(docs, make, f"`row` long, doc_id {kind}, packed binary", ["row", "doc_id", "packed"])
+
+
+def unpacked(column: pa.Array) -> list[bytes]:
+    open_ = zstandard.ZstdDecompressor().decompress
+    return [open_(text) for text in column.to_pylist()]
 
 
-OCCURRING = ["row", "doc_id", "gram", "copies"]
 RESULT = "n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,`end`:int>>, kept string"
 RESULT_NAMES = ["n_words", "n_removed", "kept_sha256", "spans", "kept"]
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -204,59 +247,61 @@ def result(words: list[bytes], gone: np.ndarray, keep: bool) -> tuple:
     return len(words), int(gone.sum()), digest, spans, kept if keep else None
 
 
-def _results(rows: list[tuple | None]) -> list[pa.Array]:
-    columns = list(zip(*(row or (None,) * 5 for row in rows), strict=True))
-    kinds = [pa.int64(), pa.int64(), pa.string(), SPANS, pa.binary()]
-    arrays = [pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)]
-    return [*arrays[:4], arrays[4].cast(pa.string())]
+def once(
+    words: list[bytes], grams: list[int], starts: list[int], counts: list[int], length: int
+) -> tuple[list[int], ...]:
+    """The different passages of a document, and where those are that it holds again."""
+    seen: set[tuple[int, int]] = set()
+    kept, again = [], []
+    several = len(set(grams)) < len(grams)
+    for gram, start, n in zip(grams, starts, counts, strict=True):
+        # Equal passages have equal grams.
+        name = (gram, named(words, start, n, length)[1]) if several else None
+        if name in seen:
+            again += [start, n]
+        else:
+            if several:
+                seen.add(name)
+            kept.append((gram, start, n))
+    return (*(list(part) for part in zip(*kept, strict=True)), again)
 
 
-OPENED = "`row` long, doc_id {0}, text binary, grams array<long>, starts array<int>, counts array<int>, again array<int>"
-OPENED_NAMES = ["row", "doc_id", "text", "grams", "starts", "counts", "again"]
+OPENED = "`row` long, doc_id {0}, packed binary, grams array<long>, starts array<int>, counts array<int>, again array<int>"
+OPENED_NAMES = ["row", "doc_id", "packed", "grams", "starts", "counts", "again"]
 
 
-def opened(docs: DataFrame, kind: str, length: int, gram: int, keep: bool) -> DataFrame:
-    """Results of documents none of whose grams occurs again; of others the open passages.
+def opened(docs: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
+    """Documents with their open passages: those whose gram occurs again.
 
-    A passage that a document holds several times is open once; ``again`` has the first window
-    and number of windows of the others, which are repeated for certain.
+    A passage that a document holds several times is open once; ``again`` has the first windows
+    and numbers of windows of the others, which are repeated for certain.
     """
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
-        rows, results = [], []
-        both = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
-        for text, listed in both:
-            words = (text or b"").split()
-            if not listed:
-                rows.append((None, [], [], [], []))
-                results.append(result(words, np.zeros(len(words), dtype=bool), keep))
-                continue
-            grams, starts, counts = places(words, length, gram)
-            chosen = np.flatnonzero(np.isin(grams, np.array(listed, dtype=np.int64)))
-            seen: set[tuple[int, int]] = set()
-            open_, again = [], []
-            for own, start, n in zip(
-                grams[chosen].tolist(), starts[chosen].tolist(), counts[chosen].tolist(), strict=True
-            ):
-                name = own, named(words, start, n, length)[1]
-                if name in seen:
-                    again += [start, n]
-                else:
-                    seen.add(name)
-                    open_.append((own, start, n))
-            rows.append((text, *(list(part) for part in zip(*open_, strict=True)), again))
-            results.append(None)
-        kinds = [pa.binary(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3]
+        rows, lists = [], batch.column(3).to_pylist()
+        # Documents without such a gram aren't read.
+        texts = [text if listed else None for text, listed in zip(batch.column(2).to_pylist(), lists, strict=True)]
+        open_ = zstandard.ZstdDecompressor().decompress
+        for first, block in blocks([open_(text) if text else None for text in texts]):
+            found = places(block, length, gram)
+            edges = np.searchsorted(found[0], np.arange(len(block) + 1))
+            for number, words in enumerate(block):
+                listed = lists[first + number]
+                if not listed:
+                    rows.append(([], [], [], []))
+                    continue
+                grams, starts, counts = (part[edges[number] : edges[number + 1]] for part in found[1:])
+                chosen = np.flatnonzero(np.isin(grams, np.array(listed, dtype=np.int64)))
+                own = (part[chosen].tolist() for part in (grams, starts, counts))
+                rows.append(once(words, *own, length))
+        kinds = [pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 3]
         columns = zip(*rows, strict=True)
         return [
-            batch.column(0),
-            batch.column(1),
+            *batch.columns[:3],
             *(pa.array(column, k) for column, k in zip(columns, kinds, strict=True)),
-            *_results(results),
         ]
 
-    schema = f"{OPENED.format(kind)}, {RESULT}"
-    return map_batches(docs, make, schema, [*OPENED_NAMES, *RESULT_NAMES])
+    return map_batches(docs, make, OPENED.format(kind), OPENED_NAMES)
 
 
 PASSAGE = "`none` boolean, doc_id {0}, `row` long, start int, gram long, digest long, words binary"
@@ -268,8 +313,9 @@ def passages(opened_docs: DataFrame, kind: str, length: int) -> DataFrame:
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         rows, starts, grams, digests, texts = [], [], [], [], []
-        columns = (batch.column(n).to_pylist() for n in ("text", "grams", "starts", "counts"))
-        for number, (text, own, begins, counts) in enumerate(zip(*columns, strict=True)):
+        columns = (batch.column(n).to_pylist() for n in ("grams", "starts", "counts"))
+        whole = unpacked(batch.column("packed"))
+        for number, (text, own, begins, counts) in enumerate(zip(whole, *columns, strict=True)):
             words = text.split()
             for gram, start, n in zip(own, begins, counts, strict=True):
                 passage, digest = named(words, start, n, length)
@@ -319,7 +365,18 @@ def matched(rows: DataFrame, kind: str, length: int) -> DataFrame:
 
 
 def _shard(held: list[tuple], id_type: pa.DataType, length: int) -> pa.RecordBatch:
-    found = first_windows([row[4] for row in held], length)
+    # A gram with one passage has nothing to match, and no passage holds a window of its own twice.
+    grams = [row[3] for row in held]
+    alone = [
+        own != before and own != after
+        for before, own, after in zip([None, *grams], grams, [*grams[1:], None])
+    ]
+    met = [row[4] for row, only in zip(held, alone, strict=True) if not only]
+    streamed = iter(first_windows(met, length))
+    found = [
+        range(len(row[4]) - length + 1) if only else next(streamed)
+        for row, only in zip(held, alone, strict=True)
+    ]
     kept = [
         (row[0], row[1], [row[2] + place for place in firsts])
         for row, firsts in zip(held, found, strict=True)
@@ -367,10 +424,8 @@ def told_by_digest(rows: DataFrame, kind: str, length: int) -> DataFrame:
 def finished(rows: DataFrame, kind: str, length: int, keep: bool) -> DataFrame:
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         results = []
-        names = ("text", "starts", "counts", "again", "kept")
-        for text, starts, counts, again, kept in zip(
-            *(batch.column(name).to_pylist() for name in names), strict=True
-        ):
+        columns = (batch.column(n).to_pylist() for n in ("starts", "counts", "again", "kept"))
+        for text, starts, counts, again, kept in zip(unpacked(batch.column("packed")), *columns, strict=True):
             words = text.split()
             windows = np.zeros(len(words) + 1, dtype=bool)
             for start, n in zip(starts, counts, strict=True):
@@ -383,7 +438,10 @@ def finished(rows: DataFrame, kind: str, length: int, keep: bool) -> DataFrame:
             edges[at] += 1
             edges[at + length] -= 1
             results.append(result(words, np.cumsum(edges)[: len(words)] > 0, keep))
-        return [batch.column("doc_id"), *_results(results)]
+        columns = list(zip(*results, strict=True))
+        kinds = [pa.int64(), pa.int64(), pa.string(), SPANS, pa.binary()]
+        arrays = [pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)]
+        return [batch.column("doc_id"), *arrays[:4], arrays[4].cast(pa.string())]
 
     return map_batches(rows, make, f"doc_id {kind}, {RESULT}", ["doc_id", *RESULT_NAMES])
 
@@ -417,21 +475,20 @@ def remove_repeats(
         "doc_id",
         F.col("text").cast("binary").alias("text"),
     )
-    # Equal rows are one document: their grams count once, or none would be the first.
-    rows = written(occurring(docs, kind, length, gram), "grams")
-    again = rows.groupBy("gram").agg(F.sum("copies").alias("n")).filter("n > 1").select("gram")
+    # A hash that two documents share joins their grams, which opens more passages and no fewer.
+    rows = written(occurring(docs, length, gram), "grams")
+    again = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("gram")
     # Written, so that the join alone deals the rows out and may split a hot gram.
     again = written(again, "again")
     listed = (
         rows.join(again, "gram", "left_semi")
-        .groupBy(F.col("row").alias("own_row"), F.col("doc_id").alias("own_id"))
-        .agg(F.collect_list("gram").alias("listed"))
+        .groupBy(F.col("row").alias("own_row"))
+        .agg(F.collect_set("gram").alias("listed"))
     )
-    # The id beside its hash, should two hashes ever agree.
-    own = (F.col("row") == F.col("own_row")) & F.col("doc_id").eqNullSafe(F.col("own_id"))
-    both = docs.join(listed, own, "left").select("row", "doc_id", "text", "listed")
-    table = written(opened(both, kind, length, gram, keep), "opened")
-    open_ = table.filter(F.col("text").isNotNull())
+    met = F.col("row") == F.col("own_row")
+    both = packed(docs, kind).join(listed, met, "left").select("row", "doc_id", "packed", "listed")
+    table = written(opened(both, kind, length, gram), "opened")
+    open_ = table.filter(F.size("starts") > 0)
     # Equal passages meet before the shuffle, so copies of a document are no burden.
     firsts = (
         passages(open_, kind, length)
@@ -457,8 +514,10 @@ def remove_repeats(
     found = kept.groupBy(F.col("row").alias("own_row"), F.col("doc_id").alias("own_id")).agg(
         F.flatten(F.collect_list("kept")).alias("kept")
     )
-    rest = open_.drop("kept").join(found, own, "left").select(
-        "doc_id", "text", "starts", "counts", "again", "kept"
-    )
-    closed = table.filter(F.col("text").isNull()).select("doc_id", *RESULT_NAMES)
-    return closed.unionByName(finished(rest, kind, length, keep))
+    # The id beside its hash, should two hashes ever agree.
+    own = (F.col("row") == F.col("own_row")) & F.col("doc_id").eqNullSafe(F.col("own_id"))
+    columns = ["doc_id", "packed", "starts", "counts", "again", "kept"]
+    rest = open_.join(found, own, "left").select(columns)
+    none = F.lit(None).cast("array<int>").alias("kept")
+    closed = table.filter(F.size("starts") == 0).select(*columns[:-1], none)
+    return finished(closed, kind, length, keep).unionByName(finished(rest, kind, length, keep))

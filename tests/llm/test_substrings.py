@@ -68,12 +68,20 @@ def test_matching_statistics_of_a_foreign_text(reference, words):
                 assert first == ends[0]
 
 
-def test_places_cover_every_window_once():
+def test_places_cover_every_window_once(monkeypatch):
     source = random.Random(1)
-    words = [b"%d" % source.randrange(4) for _ in range(3000)]
-    grams, starts, counts = substrings.places(words, 20, 8)
-    assert starts.tolist() == np.cumsum([0, *counts[:-1]]).tolist()
-    assert counts.sum() == len(words) - 19 and counts.max() <= 13
+    rows = [[b"%d" % source.randrange(4) for _ in range(n)] for n in (3000, 0, 19, 20, 5, 700)]
+    owner, grams, starts, counts = substrings.places(rows, 20, 8)
+    assert counts.max() <= 13
+    for number, words in enumerate(rows):
+        own = owner == number
+        assert starts[own].tolist() == np.cumsum([0, *counts[own][:-1]])[: own.sum()].tolist()
+        assert counts[own].sum() == max(0, len(words) - 19)
+        alone = substrings.places([words], 20, 8)
+        assert [part.tolist() for part in alone[1:]] == [part[own].tolist() for part in (grams, starts, counts)]
+    monkeypatch.setattr(substrings, "SLICE", 64)
+    sliced = substrings.places(rows, 20, 8)
+    assert [part.tolist() for part in sliced] == [part.tolist() for part in (owner, grams, starts, counts)]
 
 
 def corpus(seed, n=120):
@@ -124,7 +132,8 @@ def test_hot_grams_and_small_shards(spark, monkeypatch):
 
 def test_a_text_beyond_one_slice(spark, monkeypatch):
     monkeypatch.setattr(substrings, "SLICE", 64)
-    texts = [" ".join(corpus(9, 40)), " ".join(corpus(9, 30))]
+    monkeypatch.setattr(substrings, "BLOCK_WORDS", 100)
+    texts = [" ".join(corpus(9, 40)), " ".join(corpus(9, 30)), "few words"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     check(substrings.remove_repeats(df).orderBy("doc_id").collect(), slow(texts, 20))
 
