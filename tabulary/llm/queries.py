@@ -190,8 +190,8 @@ def op8_warc(spark: SparkSession, folder: str) -> DataFrame:
 def op9_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = suffixes.remove_repeats(table(spark, folder, "documents"))
     # Cuts fall between bytes; where one parts a character its rest shows as U+FFFD.
-    kept = F.make_valid_utf8(F.col("kept").cast("string")).alias("kept")
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", kept)
+    text = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", text)
 
 
 # The pattern of a word between blanks.
@@ -212,13 +212,14 @@ BLANK_WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
              FROM words ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id),
     counts AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed,
-           sha256(coalesce(kept, '')) AS kept_sha256, coalesce(kept, '') AS kept
+           sha256(coalesce(kept, '')) AS kept_sha256, coalesce(kept, '') AS text
     FROM w LEFT JOIN counts USING (doc_id) LEFT JOIN kept USING (doc_id)
     """,
 )
 def op11_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = substrings.remove_repeats(table(spark, folder, "documents"))
-    return found.select("doc_id", "n_words", "n_removed", "kept_sha256", "kept")
+    text = F.col("kept").alias("text")
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256", text)
 
 
 @query(
