@@ -127,7 +127,7 @@ def adaptive_row_chunks(
     """
     if sampled is not None and sampled < 2:
         raise ValueError("a block shows two rows at least")
-    measured = (overview if overview is not None else profile.dataset_overview(df)).first()
+    measured = (overview if overview is not None else profile.table_profile(df)).first()
     length = profile.avg_text_length(df).first()["avg_text_length"]
     size = adaptive_size(measured["data_density"], length, largest, smallest)
     total = measured["row_count"]

@@ -202,28 +202,29 @@ def column_profile(df: DataFrame, unique_for: Sequence[str] | None = None) -> Da
 
     Distinct values are counted for ``unique_for``, by default for every column.
     """
-    nulls = F.col("row_count") - F.col("non_null")
-    unique = F.coalesce(F.col("unique_count"), F.lit(0))
     wanted = df.columns if unique_for is None else list(unique_for)
     measures = column_measures(df)
     if wanted:
         measures = measures.join(unique_counts(df, wanted), "column", "left")
     else:
         measures = measures.withColumn("unique_count", F.lit(None).cast("long"))
-    return (
-        measures
-        .withColumns(
-            {
-                "null_count": nulls,
-                "null_pct": F.when(F.col("row_count") > 0, nulls * 100.0 / F.col("row_count"))
-                .otherwise(F.lit(0.0)),
-                "unique_count": unique,
-                "unique_ratio": F.when(F.col("non_null") > 0, unique / F.col("non_null"))
-                .otherwise(F.lit(0.0)),
-            }
-        )
-        .withColumn("column_class", _column_class())
-    )
+    return _judged(measures)
+
+
+def _judged(measures: DataFrame) -> DataFrame:
+    """Measures of columns with what follows from them."""
+    nulls = F.col("row_count") - F.col("non_null")
+    unique = F.coalesce(F.col("unique_count"), F.lit(0))
+    return measures.withColumns(
+        {
+            "null_count": nulls,
+            "null_pct": F.when(F.col("row_count") > 0, nulls * 100.0 / F.col("row_count"))
+            .otherwise(F.lit(0.0)),
+            "unique_count": unique,
+            "unique_ratio": F.when(F.col("non_null") > 0, unique / F.col("non_null"))
+            .otherwise(F.lit(0.0)),
+        }
+    ).withColumn("column_class", _column_class())
 
 
 def _column_class() -> Column:
@@ -239,9 +240,40 @@ def _column_class() -> Column:
 
 
 def column_classes(df: DataFrame) -> DataFrame:
-    """Column profile for its classes only: numbers and times need no distinct count."""
-    undecided = [f.name for f in df.schema.fields if kind_of(f.dataType) in ("string", "other")]
-    return column_profile(df, undecided)
+    """Column profile for its classes only, see ``classes_of``."""
+    return classes_of({"": df}).drop("dataset")
+
+
+def classes_of(datasets: dict[str, DataFrame]) -> DataFrame:
+    """The classes of the columns of named tables, with ``dataset``.
+
+    All tables are measured at once, which returns one row per column. Distinct values are counted
+    only where no measure decides the class; elsewhere ``unique_count`` is zero.
+    """
+    measures = for_each_dataset(datasets, column_measures)
+    rows = measures.collect()
+    undecided: dict[str, list[str]] = {}
+    for row in rows:
+        decided = (
+            row["kind"] not in ("string", "other")
+            or not row["non_null"]
+            or (row["date_share"] or 0) > DATE_SHARE
+            or (row["number_share"] or 0) > NUMBER_SHARE
+            or (row["avg_length"] or 0) > TEXT_LENGTH
+        )
+        if not decided:
+            undecided.setdefault(row["dataset"], []).append(row["column"])
+    spark = next(iter(datasets.values())).sparkSession
+    known = spark.createDataFrame(rows, measures.schema)
+    if not undecided:
+        return _judged(known.withColumn("unique_count", F.lit(None).cast("long")))
+    counts = [
+        unique_counts(datasets[name], columns).select(F.lit(name).alias("dataset"), "*")
+        for name, columns in undecided.items()
+    ]
+    return _judged(
+        known.join(reduce(DataFrame.unionByName, counts), ["dataset", "column"], "left")
+    )
 
 
 def null_profile(df: DataFrame) -> DataFrame:

@@ -210,9 +210,7 @@ def kde_density(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def chart_suggestions(spark: SparkSession, folder: str) -> DataFrame:
-    profiles = profile.for_each_dataset(
-        {name: table(spark, folder, name) for name in BASE_TABLES}, profile.column_classes
-    )
+    profiles = profile.classes_of({name: table(spark, folder, name) for name in BASE_TABLES})
     return charts.chart_suggestions(profiles)
 
 

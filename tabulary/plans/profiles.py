@@ -174,7 +174,7 @@ DATED_ORDERS_COLUMNS = {
 )
 def column_type_class(spark: SparkSession, folder: str) -> DataFrame:
     datasets = all_tables(spark, folder) | {"dated_orders": dated_orders(spark, folder)}
-    return profile.for_each_dataset(datasets, profile.column_classes).select(
+    return profile.classes_of(datasets).select(
         "dataset", "position", "column", "column_class"
     )
 
@@ -189,9 +189,7 @@ BASE_COLUMNS = {name: TABLES[name] for name in BASE_TABLES}
     "GROUP BY dataset, column_class",
 )
 def column_type_counts(spark: SparkSession, folder: str) -> DataFrame:
-    profiles = profile.for_each_dataset(
-        {name: table(spark, folder, name) for name in BASE_TABLES}, profile.column_classes
-    )
+    profiles = profile.classes_of({name: table(spark, folder, name) for name in BASE_TABLES})
     return profile.column_type_counts(profiles, ["dataset"])
 
 

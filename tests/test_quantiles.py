@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tabulary.functions import columns
 from tabulary.operators import quantiles
 from tabulary.operators.rowindex import with_row_index
+from tabulary.operators import thresholds
 from tabulary.operators.thresholds import counts_at_thresholds
 
 PROBABILITIES = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
@@ -88,7 +89,10 @@ def test_row_index_is_dense_and_ordered(spark):
     assert [r["row_index"] for r in ordered] == list(range(5000))
 
 
-def test_thresholds(spark):
+@pytest.mark.parametrize("shared", [20_000, 0])
+def test_thresholds(spark, monkeypatch, shared):
+    """The same whether tasks know the thresholds or these are sorted in among the values."""
+    monkeypatch.setattr(thresholds, "MOST_SHARED", shared)
     rng = np.random.default_rng(3)
     data = pd.DataFrame({"a": rng.integers(0, 50, 4000), "b": rng.normal(0, 10, 4000)})
     data.loc[:500, "b"] = np.nan
