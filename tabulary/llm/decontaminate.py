@@ -21,9 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulary.llm.common import map_batches, picked, raw
+from tabulary.session import written
 
 WINDOW = 10
 BLOCK_BYTES = 8 << 20
+#: Small buckets of items of which a block is put together.
+BUCKETS_PER_BLOCK = 64
 SAMPLED_EVERY = 8
 
 #: A word is a run of digits, a-z and anything that isn't ASCII.
@@ -277,13 +280,28 @@ def contamination(
 
 
 def _blocks(items: DataFrame, window: int, block_bytes: int) -> Iterator:
-    """The benchmark in blocks, each broadcast when it is asked for; one block at least."""
-    items = items.filter("text IS NOT NULL")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    for number in range(blocks):
-        yield _shared(items, block == number, window)
+    """The benchmark in blocks, each broadcast when it is asked for; one block at least.
+
+    Repeated rows count once. Items are dealt into many small buckets, whose bytes are summed, and
+    buckets in a row make a block of at most ``block_bytes``; only a longer bucket, such as one
+    with a longer item, is a block of its own.
+    """
+    items = items.filter("text IS NOT NULL").distinct()
+    total = items.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    if total <= block_bytes:
+        yield _shared(items, F.lit(True), window)
+        return
+    items = written(items, "benchmark")
+    buckets = BUCKETS_PER_BLOCK * math.ceil(total / block_bytes)
+    bucket = F.pmod(F.xxhash64("item_id", "text"), F.lit(buckets))
+    sizes = items.groupBy(bucket.alias("bucket")).agg(F.sum(F.octet_length("text").cast("long")))
+    start, size = 0, 0
+    for number, held in sorted(map(tuple, sizes.collect())):
+        if size and size + held > block_bytes:
+            yield _shared(items, (bucket >= start) & (bucket < number), window)
+            start, size = number, 0
+        size += held
+    yield _shared(items, bucket >= start, window)
 
 
 def _shared(items: DataFrame, own, window: int):
@@ -297,15 +315,11 @@ def _hits(spans: str) -> F.Column:
     return F.aggregate(spans, F.lit(0).cast("long"), lambda n, span: n + span[1] - span[0])
 
 
-def _merged(docs: DataFrame, blocks, window: int, key_type: str) -> DataFrame:
-    """Spans and items of several passes, merged for each row of the documents."""
-    spark = docs.sparkSession
-    # Equal rows have one key and equal results.
-    key = F.struct("doc_id", F.xxhash64("text").alias("hash"), F.length("text").alias("size"))
+def _found(docs: DataFrame, blocks, window: int, key_type: str) -> DataFrame:
+    """``key, spans, items`` of several passes, merged for each key of the documents hit."""
     found = None
     for shared in blocks:
-        kind = f"struct<doc_id:{key_type},hash:bigint,size:int>"
-        part = _pass(docs.select(key.alias("doc_id"), "text"), shared, kind)
+        part = _pass(docs, shared, key_type)
         part = part.filter((F.size("spans") > 0) | (F.size("items") > 0)).distinct()
         found = part if found is None else found.unionByName(part)
     merged = found.groupBy("doc_id").agg(
@@ -329,17 +343,23 @@ def _merged(docs: DataFrame, blocks, window: int, key_type: str) -> DataFrame:
             ),
         ).otherwise(F.concat(spans, F.array(span))),
     )
-    merged = merged.select(F.col("doc_id").alias("key"), joined.alias("spans"), "items")
+    return merged.select(F.col("doc_id").alias("key"), joined.alias("spans"), "items")
+
+
+def _merged(docs: DataFrame, blocks, window: int, key_type: str) -> DataFrame:
+    """Spans and items of several passes, merged for each row of the documents."""
+    spark = docs.sparkSession
+    # Equal rows have one key and equal results.
+    key = F.struct("doc_id", F.xxhash64("text").alias("hash"), F.length("text").alias("size"))
+    kind = f"struct<doc_id:{key_type},hash:bigint,size:int>"
+    keyed = docs.select(key.alias("doc_id"), "text")
+    merged = _found(keyed, blocks, window, kind)
     empty = spark.sparkContext.broadcast(Benchmark([], window))
-    counted = _pass(
-        docs.select(key.alias("doc_id"), "text"),
-        empty,
-        f"struct<doc_id:{key_type},hash:bigint,size:int>",
-    ).select(F.col("doc_id").alias("row_key"), "n_words")
+    counted = _pass(keyed, empty, kind).select(F.col("doc_id").alias("row_key"), "n_words")
     result = counted.join(merged, counted.row_key.eqNullSafe(merged.key), "left").select(
         F.col("row_key.doc_id").alias("doc_id"),
         "n_words",
-        F.coalesce("spans", none).alias("spans"),
+        F.coalesce("spans", F.array().cast("array<array<long>>")).alias("spans"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),
     )
     return result.withColumn("n_hit", _hits("spans"))
@@ -379,14 +399,20 @@ def cleaned(
     if second is None:
         cleaned = _pass(rows.select(F.col("rest").alias("doc_id"), "text"), first, kind, clean=True)
     else:
-        # All blocks are searched in the text as it came, so it goes along as part of the row.
-        whole = F.struct("rest", "text").alias("doc_id")
-        docs = rows.select(whole, "text")
-        merged = _merged(docs, chain((first, second), shared), window, docs.schema["doc_id"].dataType.simpleString())
-        found = merged.select("doc_id.rest", "doc_id.text", "spans")
+        # Spans depend on the text alone, so a text is known by two hashes and its length.
+        text = F.col("text")
+        key = F.struct(
+            F.xxhash64(text).alias("one"),
+            F.xxhash64(F.lit(1), text).alias("two"),
+            F.length(text).alias("size"),
+        )
+        blocks, kind_of_key = chain((first, second), shared), "struct<one:bigint,two:bigint,size:int>"
+        spans = _found(rows.select(key.alias("doc_id"), "text"), blocks, window, kind_of_key)
+        known = rows.withColumn("own", key)
+        found = known.join(spans, known.own == spans.key, "left").select("rest", "text", "spans")
 
         def make(batch: pa.RecordBatch) -> list[pa.Array]:
-            spans = batch.column(2).to_pylist()
+            spans = [listed or [] for listed in batch.column(2).to_pylist()]
             return [batch.column(0), _without(batch.column(1), spans)]
 
         cleaned = map_batches(found, make, f"doc_id {kind}, text string", ("doc_id", "text"))

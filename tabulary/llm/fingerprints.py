@@ -12,12 +12,11 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,48 +112,62 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return map_batches(chosen, make, f"doc_id {kind}, fingerprint string")
 
 
+def slot_of(bounds: list[tuple]) -> Callable[[list, list], list[int]]:
+    """Gives the slots of ids and hashes; ``bounds`` are the largest key of each slot, largest first.
+
+    Keys without an id are smaller than all others.
+    """
+    named = sorted((own, tie) for own, tie in bounds if own is not None)
+    nameless = sorted(tie for own, tie in bounds if own is None)
+    last = len(named) - 1
+
+    def slots(ids: list, ties: list) -> list[int]:
+        found = []
+        for own, tie in zip(ids, ties, strict=True):
+            if own is not None:
+                found.append(last - bisect_left(named, (own, tie)))
+            else:
+                place = bisect_left(nameless, tie)
+                # Smaller than every bound with an id, larger than those without: in between.
+                found.append(last + len(nameless) - place)
+        return found
+
+    return slots
+
+
 def in_order(docs: DataFrame) -> tuple[DataFrame, int]:
     """Rows in slots, sorted within each, every slot ended by the row that follows it.
 
-    ``docs`` has ``doc_id, text``. Slots are ranges of ids, larger ids first; the cuts are
-    quantiles of the ids. The first row of each slot is also sent to the slot before, marked
-    ``borrowed``; that of the first slot goes to the last. So whole texts are shuffled once.
+    ``docs`` has ``doc_id, text``. Slots are ranges of id and hash of the text, larger ids first,
+    so rows that share an id, or have none, lie in several slots as others do. A range sort of
+    the narrow keys gives the bounds. The first row of each slot is also sent to the slot before,
+    marked ``borrowed``; that of the first slot goes to the last. So whole texts are shuffled once.
     """
     spark = docs.sparkSession
     wanted = SLOTS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = docs.select(F.col("doc_id").cast("double").alias("at"))
-    steps = [n / wanted for n in range(1, wanted)]
-    cuts = sorted(set(ids.approxQuantile("at", steps, 1 / (4 * wanted)))) or [0.0]
-    split = Bucketizer(
-        splits=[-float("inf"), *cuts, float("inf")],
-        inputCol="at",
-        outputCol="place",
-        handleInvalid="keep",
-    )
-    # Ids without a value come last; of equal ids the text decides.
-    rows = split.transform(
-        docs.select(
-            "doc_id",
-            "text",
-            F.col("doc_id").cast("double").alias("at"),
-            F.xxhash64("text").alias("tie"),
-        )
-    )
-    slot = F.when(F.col("doc_id").isNull(), len(cuts) + 2).otherwise(
-        len(cuts) - F.col("place").cast("int")
-    )
-    rows = rows.select("doc_id", "text", "tie", slot.alias("slot"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("tie").desc()]
+    key = F.struct(F.col("doc_id").isNotNull().alias("named"), "doc_id", "tie")
     firsts = (
-        rows.groupBy("slot")
-        .agg(F.max(F.struct("doc_id", "tie")).alias("row"))
-        .orderBy("slot")
-        .collect()
+        rows.select("doc_id", "tie")
+        .repartitionByRange(wanted, *order)
+        .groupBy(F.spark_partition_id().alias("part"))
+        .agg(F.max(key).alias("row"))
+        .select("row.*")
+        .orderBy(*order)
+        .collect()  # one row for each slot
     )
-    borrowers = [
-        (firsts[n - 1]["slot"], first["row"]["doc_id"], first["row"]["tie"], first["slot"])
-        for n, first in enumerate(firsts)
-    ]
+    bounds = [(row["doc_id"], row["tie"]) for row in firsts]
+    count = len(bounds)
+    find = slot_of(bounds)
+    borrowers = [((n - 1) % count, own, tie, n) for n, (own, tie) in enumerate(bounds)]
+
+    @F.arrow_udf("int")
+    def place(ids: pa.Array, ties: pa.Array) -> pa.Array:
+        return pa.array(find(ids.to_pylist(), ties.to_pylist()), pa.int32())
+
     kind = docs.schema["doc_id"].dataType.simpleString()
+    placed = rows.withColumn("slot", place("doc_id", "tie"))
     lent = spark.createDataFrame(
         borrowers, f"borrower int, first_id {kind}, first_tie long, first_slot int"
     )
@@ -164,20 +177,18 @@ def in_order(docs: DataFrame) -> tuple[DataFrame, int]:
         & F.col("doc_id").eqNullSafe(F.col("first_id"))
         & (F.col("tie") == F.col("first_tie"))
     )
-    places = F.array(F.struct(F.col("slot").alias("slot"), F.lit(False).alias("borrowed")))
-    places = F.when(
+    own = F.array(F.struct(F.col("slot").alias("slot"), F.lit(False).alias("borrowed")))
+    slots = F.when(
         F.col("borrower").isNotNull(),
         F.concat(
-            places, F.array(F.struct(F.col("borrower").alias("slot"), F.lit(True).alias("borrowed")))
+            own, F.array(F.struct(F.col("borrower").alias("slot"), F.lit(True).alias("borrowed")))
         ),
-    ).otherwise(places)
-    placed = rows.join(F.broadcast(lent), match, "left").select(
-        "doc_id", "text", "tie", F.inline(places)
-    )
-    ordered = placed.repartition("slot").sortWithinPartitions(
-        "slot", "borrowed", F.col("doc_id").desc_nulls_last(), F.col("tie").desc()
+    ).otherwise(own)
+    dealt = placed.join(F.broadcast(lent), match, "left").select(
+        "doc_id", "text", "tie", F.inline(slots)
     )
-    return ordered.select("doc_id", "text", "slot", "borrowed"), len(firsts)
+    ordered = dealt.repartition("slot").sortWithinPartitions("slot", "borrowed", *order)
+    return ordered.select("doc_id", "text", "slot", "borrowed"), count
 
 
 def edited_text(text: str, following: str) -> str:

@@ -105,6 +105,28 @@ def test_passages_are_cut_out(spark):
     assert rows == {0: "Before, it. ! After\nit.", 1: "clean é text", 2: None, 3: ""}
 
 
+def test_passages_of_many_blocks_and_repeated_items(spark, monkeypatch):
+    """Blocks hold no more than they may, however often an item is repeated."""
+    passages = [" ".join(f"p{k}w{n}" for n in range(12)) for k in range(30)]
+    texts = [f"start {passages[n % 30]} mid {passages[(n * 7 + 1) % 30]} end" for n in range(60)]
+    texts += ["clean", None, texts[0], ""]
+    docs = spark.createDataFrame([(n % 62, t, {"k": n}) for n, t in enumerate(texts)], "doc_id long, text string, extra map<string,int>")
+    items = [(n, p) for n, p in enumerate(passages)] + [(3, passages[3])] * 2000
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(str, decontaminate.cleaned(docs, benchmark).collect()))
+    held = []
+    shared = decontaminate._shared
+
+    def watched(rows, own, window):
+        held.append(sum(len(r.text) for r in rows.filter(own).collect()))
+        return shared(rows, own, window)
+
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 500)
+    monkeypatch.setattr(decontaminate, "_shared", watched)
+    assert sorted(map(str, decontaminate.cleaned(docs, benchmark).collect())) == whole
+    assert len(held) > 3 and max(held) <= 500 and sum(held) == sum(map(len, passages))
+
+
 FOLDER = "/root/testdata/sf0.001"
 
 

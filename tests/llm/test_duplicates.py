@@ -212,6 +212,30 @@ def test_edit_likeness_of_odd_rows(spark):
     assert fingerprints.fingerprints(df).count() == df.count()
 
 
+def test_rows_of_one_id_or_none_lie_in_several_slots(spark):
+    source = random.Random(17)
+    texts = ["".join(source.choice("abcdef ") for _ in range(40 + n)) for n in range(400)]
+    ids = [None if n % 3 == 0 else "hot" if n % 3 == 1 else f"id{n}" for n in range(400)]
+    rows = list(zip(ids, texts, strict=True))
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    ordered, slots = fingerprints.in_order(df)
+    own = ordered.filter("NOT borrowed")
+    for condition in ("doc_id IS NULL", "doc_id = 'hot'"):
+        assert own.filter(condition).select("slot").distinct().count() > 2
+    placed = own.orderBy("slot", df["doc_id"].desc_nulls_last()).select("doc_id").collect()
+    expected = sorted((i for i in ids if i), reverse=True) + [None] * ids.count(None)
+    assert [r.doc_id for r in placed] == expected and ordered.count() == 400 + slots
+    found = fingerprints.edit_likeness(df).collect()
+    tie = {r.text: r.tie for r in df.selectExpr("text", "xxhash64(text) AS tie").collect()}
+    line = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", tie[r[1]]), reverse=True)
+    wanted = Counter()
+    for place, (own_id, text) in enumerate(line):
+        following = line[(place + 1) % len(line)][1]
+        edited = fingerprints.edited_text(text, following)
+        wanted[own_id, hashlib.sha256(edited.encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in found) == wanted
+
+
 # Repeated strings
 
 
