@@ -29,6 +29,41 @@ CASES = [
 ]
 
 
+# One question for each pattern of a statistic, with what must come out of it.
+PATTERN_ROWS = [
+    ("average salary", "direct_stat", "mean", "salary"),
+    ("mean of all salary", "direct_stat_verbose", "mean", "salary"),
+    ("median head count", "direct_stat_compound", "median", "head_count"),
+    ("what is the salary range", "range", "range", "salary"),
+    ("bonus range", "range", "range", "bonus"),
+    ("range of employee ages", "range", "range", "age"),
+    ("what is the range of bonus", "range", "range", "bonus"),
+    ("what is range of bonus", "range", "range", "bonus"),
+    ("salary range of staff", "range", "range", "salary"),
+    ("min and max bonus", "range", "range", "bonus"),
+    ("oldest and youngest people", "range", "range", "people"),
+    ("lowest and highest salary", "range", "range", "salary"),
+    ("total number of rows", "count", "count", None),
+    ("how many people are older than 30", "conditional_count_greater", "conditional_count", "age"),
+    ("how many people are under 30", "conditional_count_less", "conditional_count", "age"),
+    ("how many people are equal to 30", "conditional_count_equal", "conditional_count", "age"),
+    ("how many rows do we have", "count", "count", None),
+    ("count all the rows", "count", "count", None),
+    ("who is top paid", "superlative_salary", "max", "salary"),
+    ("who earns the least pay", "superlative_salary", "min", "salary"),
+    ("name the bottom paid worker", "superlative_salary", "min", "salary"),
+    ("highest paid", "superlative_salary", "max", "salary"),
+    ("lowest income", "superlative_salary", "min", "salary"),
+    ("who is oldest", "superlative_age", "max", "age"),
+    ("youngest worker", "superlative_age", "min", "age"),
+    ("shortest person", "superlative_general", None, None),
+    ("who has the worst rating", "superlative_performance", "min", "performance_rating"),
+    ("best performer", "superlative_performance", "max", "performance_rating"),
+    ("tell me what is the total bonus", "what_is_stat", "sum", "bonus"),
+    ("bonus over 30", "comparison", None, None),
+]
+
+
 def frame(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "qid int, question string")
 
@@ -39,6 +74,67 @@ def test_tags(spark):
     assert got == CASES
 
 
+def test_every_statistical_pattern(spark):
+    rows = questions.tag_questions(frame(spark, [c[0] for c in PATTERN_ROWS])).orderBy("qid").collect()
+    got = [(r["question"], r["pattern_type"], r["op"], r["target"]) for r in rows]
+    assert got == PATTERN_ROWS
+    assert {r["query_type"] for r in rows} == {"statistical"}
+
+
+def test_every_other_pattern_and_word(spark):
+    kinds = {
+        "visualization": ["plot it", "create a scatter", "a pie chart"],
+        "row_search": ["list all cars that run", "find people with dogs"],
+        "semantic": ["show", "tell me more"],
+    }
+    texts = [text for group in kinds.values() for text in group]
+    rows = questions.tag_questions(frame(spark, texts)).orderBy("qid").collect()
+    assert [r["query_type"] for r in rows] == [kind for kind, group in kinds.items() for _ in group]
+    searches = {
+        "data_analysis": ["study it", "the stats", "a trend"],
+        "column_search": ["an attribute", "what are the columns", "its schema"],
+        "statistical": ["the mode", "a total", "each quartile"],
+        "filter_search": ["select it", "it contains x", "between us"],
+        "general": ["hello there"],
+    }
+    texts = [text for group in searches.values() for text in group]
+    found = frame(spark, texts).select("qid", questions.search_type(F.col("question")).alias("kind"))
+    wanted = [kind for kind, group in searches.items() for _ in group]
+    assert [r["kind"] for r in found.orderBy("qid").collect()] == wanted
+    wide = {
+        "analyze": "analyze examine study",
+        "statistics": "statistics stats statistical",
+        "data": "data dataset information",
+        "column": "column field attribute",
+        "row": "row record entry",
+        "correlation": "correlation relationship association",
+        "distribution": "distribution spread pattern",
+        "average": "average mean typical",
+        "total": "total sum aggregate",
+        "trend": "trend pattern direction",
+        "outlier": "outlier anomaly exception",
+        "missing": "missing null empty",
+        "unique": "unique distinct different",
+        "other words": "other words",
+    }
+    found = frame(spark, list(wide)).select("qid", questions.expand_query(F.col("question")).alias("w"))
+    assert [r["w"] for r in found.orderBy("qid").collect()] == list(wide.values())
+    charts = {
+        "show the histogram": "histogram",
+        "bar of x": "bar",
+        "scatter of x": "scatter",
+        "line of x": "line",
+        "pie of x": "pie",
+        "display a box": "box",
+        "plot a vs b": "scatter",
+        "graph the count": "bar",
+        "chart it": "histogram",
+        "nothing here": None,
+    }
+    found = questions.detect_viz_intent(frame(spark, list(charts))).orderBy("qid").collect()
+    assert [r["chart_type"] for r in found] == list(charts.values())
+
+
 def test_conditions(spark):
     texts = [
         "How many people are older than 30",
