@@ -48,26 +48,26 @@ def row_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.row_chunks(table(spark, folder, "orders"), ["o_orderkey"], "orders")
 
 
-_CUSTOMER = list(TABLES["customer"])
-
-
-@query(
-    "adaptive_row_chunks",
-    f"""
-    WITH n AS (SELECT count(*) AS total, 500 AS size FROM customer),
-    i AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_index, * FROM customer, n),
+def adaptive_sql(source: str, key: str, size: int) -> str:
+    """Blocks of ``size`` rows of a table in the order of its key."""
+    columns = list(TABLES[source])
+    return f"""
+    WITH n AS (SELECT count(*) AS total, {size} AS size FROM {source}),
+    i AS (SELECT row_number() OVER (ORDER BY {key}) - 1 AS row_index, * FROM {source}, n),
     p AS (SELECT *, row_index // size AS chunk_no, row_index % size AS place,
                  least(size, total - (row_index // size) * size) AS rows FROM i),
-    l AS (SELECT *, 'Record ' || row_index || ':' || {lines_sql(_CUSTOMER, "=")} AS line FROM p)
-    SELECT 'customer' AS source, chunk_no, CAST(0 AS INTEGER) AS chunk_part, min(row_index) AS chunk_start_row,
+    l AS (SELECT *, 'Record ' || row_index || ':' || {lines_sql(columns, "=")} AS line FROM p)
+    SELECT '{source}' AS source, chunk_no, CAST(0 AS INTEGER) AS chunk_part, min(row_index) AS chunk_start_row,
            max(row_index) AS chunk_end_row, any_value(rows) AS chunk_size,
            CAST(any_value(size) AS INTEGER) AS adaptive_chunk_size,
-           'Data segment with ' || any_value(rows) || ' rows and {len(_CUSTOMER)} columns' || chr(10)
-           || 'Columns: {", ".join(_CUSTOMER)}' || chr(10) || chr(10)
+           'Data segment with ' || any_value(rows) || ' rows and {len(columns)} columns' || chr(10)
+           || 'Columns: {", ".join(columns)}' || chr(10) || chr(10)
            || string_agg(line, chr(10) ORDER BY row_index) AS text
     FROM l GROUP BY chunk_no
-    """,
-)
+    """
+
+
+@query("adaptive_row_chunks", adaptive_sql("customer", "c_custkey", 500))
 def adaptive_row_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.adaptive_row_chunks(table(spark, folder, "customer"), ["c_custkey"], "customer")
 
@@ -106,17 +106,11 @@ def column_chunks(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(found, "null_percentage")
 
 
-_SUMMARY_CLASSES = ", ".join(
-    f"(SELECT {class_sql(LABELLED_SQL, c, k)} FROM {LABELLED_SQL})"
-    for c, k in LABELLED_COLUMNS.items()
-)
-
-
-@query(
-    "summary_chunk",
-    f"""
-    WITH o AS ({overview_sql("labelled_documents", LABELLED_SQL, LABELLED_COLUMNS)}),
-    c AS (SELECT unnest([{_SUMMARY_CLASSES}]) AS k, generate_subscripts([{_SUMMARY_CLASSES}], 1) AS i),
+def summary_sql(name: str, source: str, columns: dict[str, str]) -> str:
+    classes = ", ".join(f"(SELECT {class_sql(source, c, k)} FROM {source})" for c, k in columns.items())
+    return f"""
+    WITH o AS ({overview_sql(name, source, columns)}),
+    c AS (SELECT unnest([{classes}]) AS k, generate_subscripts([{classes}], 1) AS i),
     t AS (SELECT string_agg(k || ': ' || n, ', ' ORDER BY f) AS types
           FROM (SELECT k, count(*) AS n, min(i) AS f FROM c GROUP BY k))
     SELECT dataset AS source, 'Comprehensive Dataset Analysis:' || chr(10)
@@ -126,8 +120,10 @@ _SUMMARY_CLASSES = ", ".join(
            || 'Column types: ' || types || chr(10)
            || printf('Average missing data: %.1f', avg_null_pct) || '%' AS text
     FROM o, t
-    """,
-)
+    """
+
+
+@query("summary_chunk", summary_sql("labelled_documents", LABELLED_SQL, LABELLED_COLUMNS))
 def summary_chunk(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.summary_chunk(labelled_documents(spark, folder), "labelled_documents")
 
@@ -164,16 +160,14 @@ def chunk_prefix(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(
-    "preprocess_text",
-    r"""
-    SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-        regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'),
+def preprocess_sql(text: str) -> str:
+    return rf"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+        regexp_replace({text}, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g'),
         '\b(nan|null|none|n/a)\b', '[MISSING]', 'gi'),
-        '\b\d+\.\d+\b', '[NUMBER]', 'g'), '\b\d+\b', '[INTEGER]', 'g')) AS text
-    FROM documents
-    """,
-)
+        '\b\d+\.\d+\b', '[NUMBER]', 'g'), '\b\d+\b', '[INTEGER]', 'g'))"""
+
+
+@query("preprocess_text", f"SELECT doc_id, {preprocess_sql('text')} AS text FROM documents")
 def preprocess(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select(
         "doc_id", preprocess_text(F.col("text")).alias("text")
@@ -223,7 +217,38 @@ def flatten_metadata(spark: SparkSession, folder: str) -> DataFrame:
     return chunks.flatten_metadata(nested)
 
 
-@query("build_chunks")
+def json_sql(cells: dict[str, str]) -> str:
+    """A JSON object of texts."""
+    return "'{' || " + " || ',' || ".join(f"'\"{k}\":\"' || {v} || '\"'" for k, v in cells.items()) + " || '}'"
+
+
+_BLOCK_META = json_sql({c: c for c in ("chunk_start_row", "chunk_end_row", "chunk_size")})
+_COLUMN_META = json_sql(
+    {c: f"CAST({c} AS VARCHAR)" for c in ("column_name", "data_type", "unique_count", "null_percentage")}
+)
+_SUMMARY_META = json_sql({"summary_type": "'comprehensive_overview'"})
+
+
+CHUNKS_OF_PART_SQL = f"""
+WITH r AS ({adaptive_sql("part", "p_partkey", 500)}),
+c AS ({_column_chunk_sql("part", "part", TABLES["part"])}),
+s AS ({summary_sql("part", "part", TABLES["part"])}),
+every AS (
+SELECT 'part-rows-' || chunk_no AS chunk_id, 'rows' AS chunk_type, source, text,
+       'Data rows ' || chunk_start_row || '-' || chunk_end_row || ': ' || text AS prefixed,
+       {_BLOCK_META} AS meta FROM r
+UNION ALL
+SELECT 'part-column-' || column_name, 'column', source, text,
+       'Column analysis for ''' || column_name || ''' (type: ' || data_type || '): ' || text,
+       {_COLUMN_META} FROM c
+UNION ALL
+SELECT 'part-summary-overview', 'summary', source, text,
+       'Dataset summary for ''' || source || ''': ' || text, {_SUMMARY_META} FROM s)
+SELECT chunk_id, chunk_type, source, text, {preprocess_sql("prefixed")} AS embed_text, meta FROM every
+"""
+
+
+@query("build_chunks", CHUNKS_OF_PART_SQL)
 def build_chunks(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "chunks")
     built = chunks.build_chunks(table(spark, folder, "part"), "part", ["p_partkey"])

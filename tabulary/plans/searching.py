@@ -15,6 +15,7 @@ from tabulary.operators import (
     vector_index,
 )
 from tabulary.plans.catalogue import q, query, rounded, table
+from tabulary.plans.chunking import CHUNKS_OF_PART_SQL
 from tabulary.plans.questions import expand_sql, search_type_sql
 from tabulary.session import scratch_path, written
 from tabulary.sources.readers import where_metadata
@@ -622,7 +623,21 @@ def text_search(spark: SparkSession, folder: str) -> DataFrame:
     return nudged(found.select("query_id", "id", "rank", "source", *_SCORES), *_SCORES)
 
 
-@query("chunk_search")
+PART_CHUNKS_SQL = f"(SELECT chunk_id AS id, embed_text AS document, chunk_type, source FROM ({CHUNKS_OF_PART_SQL}))"
+PART_CHUNK_TEXTS_SQL = f"(SELECT id, document AS text FROM {PART_CHUNKS_SQL})"
+PART_STORE_SQL = f"(SELECT * FROM {PART_CHUNKS_SQL} JOIN {text_vectors_sql(PART_CHUNK_TEXTS_SQL)} USING (id))"
+PART_NAMES_SQL = f"(SELECT p_partkey AS id, p_name AS text FROM part WHERE p_partkey % {ASKED_EVERY} = 0)"
+PART_ASKED_SQL = (
+    f"(SELECT id AS query_id, text AS query_text, embedding AS query_vector FROM {PART_NAMES_SQL} JOIN "
+    f"{text_vectors_sql(PART_NAMES_SQL, PART_CHUNK_TEXTS_SQL)} USING (id))"
+)
+
+
+@query(
+    "chunk_search",
+    f"SELECT query_id, id, rank, chunk_type, source, {_SCORES_SQL} "
+    f"FROM ({hybrid_sql(PART_ASKED_SQL, 5, 'true', '0.7::DOUBLE', PART_STORE_SQL)})",
+)
 def chunk_search(spark: SparkSession, folder: str) -> DataFrame:
     """A table cut into chunks, embedded, stored and searched with texts of its own cells."""
     part = table(spark, folder, "part")
@@ -633,4 +648,6 @@ def chunk_search(spark: SparkSession, folder: str) -> DataFrame:
     asked = part.filter(F.col("p_partkey") % ASKED_EVERY == 0).select(
         F.col("p_partkey").alias("query_id"), F.col("p_name").alias("query_text")
     )
-    return embed.text_search(store, asked, 5).drop("document", "embedding", "query_vector")
+    found = embed.text_search(store, asked, 5)
+    shown = found.select("query_id", "id", "rank", "chunk_type", "source", *_SCORES)
+    return nudged(shown, *_SCORES)
