@@ -313,8 +313,8 @@ def archive(
     """Writes the archives of ``df``, reads them back and returns the merged index.
 
     A row per capture, globally ordered by URL key, time and id: page_id, url, url_key,
-    captured_at, payload_bytes, payload_digest, record_type, refers_to, offset, archive. Length
-    and digest are those of the full payload also for a revisit. See :func:`write` for nulls,
+    captured_at, payload_bytes, payload_digest, record_type, refers_to, offset, archive. ``offset``
+    counts bytes of the unpacked archive, whose file is one gzip stream. Length and digest are those of the full payload also for a revisit. See :func:`write` for nulls,
     repeated rows and empty tables.
     """
     spark = df.sparkSession
