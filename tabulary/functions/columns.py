@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 from tabulary.session import written
 
 BROADCAST_ROWS = 10_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 _WIDTHS = {
     T.ByteType: 1,
@@ -116,16 +118,23 @@ def column_list(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def small_side(df: DataFrame, rows: int | None = None, store: bool = False) -> DataFrame:
-    """Mark ``df`` for broadcast if it has at most ``rows`` (``BROADCAST_ROWS``) rows.
+    """Mark ``df`` for broadcast if it is small: ``rows`` rows (``BROADCAST_ROWS``) and 64 MB at most.
 
-    At most ``rows + 1`` rows are fetched. A larger frame joins by shuffle, where adaptive
-    execution splits hot keys. With ``store`` the frame is written first: use it where the
-    number of rows has no known bound, so that a large frame is not worked out twice.
+    Rows of fixed width are fetched, one more than may be; where cells may be of any length their
+    bytes are added up first, and nothing is fetched if there are too many. A larger frame joins
+    by shuffle, where adaptive execution splits hot keys. With ``store`` the frame is written
+    first: use it where it is dear to work out, as it is read again.
     """
     most = BROADCAST_ROWS if rows is None else rows
     if store:
         df = written(df, "side")
-    fetched = df.limit(most + 1).collect()
+    first = df.limit(most + 1)
+    if any(type(field.dataType) not in _WIDTHS for field in df.schema.fields):
+        size = reduce(lambda a, b: a + b, [cell_bytes(field) for field in df.schema.fields])
+        held = first.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+        if held[0] > most or held[1] > BROADCAST_BYTES:
+            return df
+    fetched = first.collect()
     if len(fetched) > most:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(fetched, df.schema))

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from tabulary.functions import columns
 from tabulary.operators import charts, chunks, conversations, stats
 
 
@@ -33,9 +34,9 @@ def test_charts_without_a_limit(spark):
     assert charts.pie_shares(df, "c", None).count() == 30
     assert charts.box_by_category(df, "c", "v", None).count() == 30
     assert charts.box_by_category(df, "c", "v").count() == 10
-    columns = [("d", n, f"n{n}", "numeric") for n in range(6)]
+    shapes = [("d", n, f"n{n}", "numeric") for n in range(6)]
     profiles = spark.createDataFrame(
-        columns, "dataset string, position int, column string, column_class string"
+        shapes, "dataset string, position int, column string, column_class string"
     )
     assert charts.chart_suggestions(profiles, None).count() == 6 * 2 + 15
     assert charts.chart_suggestions(profiles).count() == 8
@@ -62,3 +63,19 @@ def test_correlations_with_gaps_and_constants(spark):
     assert abs(found["x", "y"] - wanted) < 1e-6 and found["x", "y"] == found["y", "x"]
     assert found["x", "x"] == 1.0
     assert found["x", "c"] is None or np.isnan(found["x", "c"])
+
+
+def test_sides_are_broadcast_by_rows_and_bytes(spark, monkeypatch):
+    def broadcast(df, **options):
+        plan = df.sparkSession.range(10).join(columns.small_side(df, **options), "id")
+        return "BroadcastHashJoin" in plan._jdf.queryExecution().executedPlan().toString()
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        narrow, wide = spark.range(50), spark.range(50).withColumn("t", F.repeat(F.lit("x"), 100))
+        assert broadcast(narrow) and broadcast(wide) and broadcast(wide, store=True)
+        assert not broadcast(narrow, rows=20)
+        monkeypatch.setattr(columns, "BROADCAST_BYTES", 4000)
+        assert broadcast(narrow) and not broadcast(wide) and not broadcast(wide, store=True)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
