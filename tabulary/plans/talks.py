@@ -206,7 +206,7 @@ def search_perf_stats(spark: SparkSession, folder: str) -> DataFrame:
 )
 def stream_ingest_profile(spark: SparkSession, folder: str) -> DataFrame:
     schema = table(spark, folder, "events").schema
-    stream = streams.arriving_files(spark, folder, schema, "events.parquet")
+    stream = streams.arriving_table(spark, f"{folder}/events.parquet", schema)
     profile = streams.ingest_profile(
         stream, scratch_path(spark, "stream-profile"), scratch_path(spark, "stream-progress")
     )
@@ -224,7 +224,7 @@ def stream_ingest_profile(spark: SparkSession, folder: str) -> DataFrame:
 )
 def stream_ingest_chunks(spark: SparkSession, folder: str) -> DataFrame:
     schema = table(spark, folder, "part").schema
-    stream = streams.arriving_files(spark, folder, schema, "part.parquet")
+    stream = streams.arriving_table(spark, f"{folder}/part.parquet", schema)
     made = streams.ingest_chunks(
         stream,
         "part",
@@ -248,7 +248,7 @@ def stream_ingest_chunks(spark: SparkSession, folder: str) -> DataFrame:
 )
 def stream_session_summary(spark: SparkSession, folder: str) -> DataFrame:
     schema = table(spark, folder, "conversations").schema
-    stream = streams.arriving_files(spark, folder, schema, "conversations.parquet")
+    stream = streams.arriving_table(spark, f"{folder}/conversations.parquet", schema)
     return streams.session_summary(
         remembered(stream),
         scratch_path(spark, "stream-sessions"),

@@ -35,6 +35,12 @@ def arriving_files(
     )
 
 
+def arriving_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The files of a table that is one file or a folder of part files."""
+    # Spark streams from folders only, but a pattern may match either; this one matches the path itself.
+    return arriving_files(spark, f"{path[:-1]}[{path[-1]}]", schema)
+
+
 def run_available(
     stream: DataFrame,
     build: Callable[[DataFrame, int], DataFrame],

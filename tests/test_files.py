@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tabulary.operators import chunks, conversations
 from tabulary.sources import catalog, readers, sinks
+from tabulary.plans import talks
 from tabulary.streaming import streams
 
 
@@ -192,3 +193,20 @@ def test_streams_equal_batches_as_files_arrive(spark, tmp_path):
     profile = streams.ingest_profile(stream, str(tmp_path / "p"), str(tmp_path / "pp"))
     counts = {r["column"]: (r["row_count"], r["non_null"]) for r in profile.collect()}
     assert counts == {name: (200, 200) for name in ("session_id", "ts", "role", "text")}
+
+
+def test_streams_read_tables_of_one_file_or_many(spark, tmp_path):
+    rows = spark.range(60).selectExpr(
+        "id % 7 AS conv_id", "id AS turn", "if(id % 3 = 0, 'user', 'system') AS role", "'how many' AS text"
+    )
+    many, one = f"{tmp_path}/many", f"{tmp_path}/one"
+    rows.repartition(3).write.parquet(f"{many}/conversations.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/made")
+    os.makedirs(one)
+    [part] = [name for name in os.listdir(tmp_path / "made") if name.startswith("part-")]
+    os.rename(tmp_path / "made" / part, f"{one}/conversations.parquet")
+    for folder in (many, one):
+        found = talks.stream_session_summary(spark, folder)
+        wanted = conversations.conversation_summary(talks.memory(spark, folder)).select(found.columns)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, wanted.collect()))
+        assert sum(row["total_messages"] for row in found.collect()) == 60
