@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulary.operators import chunks, collections, conversations, profile, stats
+from tabulary.operators import keyword_index
 from tabulary.operators.keyword_index import KeywordIndex
 from tabulary.operators.quantiles import exact_quantiles
 from tabulary.operators.rowindex import with_number_in_key
@@ -209,3 +210,23 @@ def test_keyword_index_finds_all_pairs(spark, least):
     found = KeywordIndex.build(store).search(queries, least)
     assert {(r["query_id"], r["id"]): r["keyword_score"] for r in found.collect()} == expected
     assert found.count() == len(expected)
+
+
+@pytest.mark.parametrize("blocks", [1, 3])
+def test_keyword_search_moves_no_word_sets(spark, monkeypatch, blocks):
+    source = random.Random(6)
+    texts = [" ".join(f"w{source.randrange(3 * k)}" for _ in range(k)) for k in (3, 9, 30, 200, 700) * 12]
+    texts += texts[:20] * 3 + [f"{text} more" for text in texts[:20]]
+    sets = [set(text.split()) for text in texts]
+    bytes_asked = sum(8 * len(words) for words in sets[::4])
+    monkeypatch.setattr(keyword_index, "ASKED_BYTES", bytes_asked // blocks + blocks)
+    monkeypatch.setattr(keyword_index, "CELLS", 1 << 12)
+    monkeypatch.setattr(keyword_index, "PAIRS", 50)
+    store = spark.createDataFrame(list(enumerate(texts)), "id long, document string")
+    queries = store.filter("id % 4 = 0").toDF("query_id", "query_text")
+    found = KeywordIndex.build(store).search(queries, 0.5)
+    scores = {
+        (q, n): len(sets[q] & own) / len(sets[q] | own) for q in range(0, len(sets), 4) for n, own in enumerate(sets)
+    }
+    assert {tuple(row[:2]): row[2] for row in found.collect()} == {k: v for k, v in scores.items() if v >= 0.5}
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
