@@ -37,14 +37,23 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda part: part != "")
 
 
-def keyword_score(query: Column, document: Column) -> Column:
-    """Jaccard overlap of the two token sets; 0 when both are empty."""
-    left, right = F.array_distinct(tokens(query)), F.array_distinct(tokens(document))
+def word_hashes(text: Column) -> Column:
+    """64-bit hashes of the distinct tokens; none for a null text."""
+    return F.array_distinct(F.transform(tokens(F.coalesce(text, F.lit(""))), lambda word: F.xxhash64(word)))
+
+
+def overlap(left: Column, right: Column) -> Column:
+    """Jaccard overlap of two lists of distinct values; 0 when both are empty."""
     shared = F.size(F.array_intersect(left, right))
     either = F.size(left) + F.size(right) - shared
     return F.when(either > 0, shared / either).otherwise(F.lit(0.0))
 
 
+def keyword_score(query: Column, document: Column) -> Column:
+    """Jaccard overlap of the two token sets; 0 when both are empty."""
+    return overlap(F.array_distinct(tokens(query)), F.array_distinct(tokens(document)))
+
+
 def preprocess_text(text: Column) -> Column:
     """One-line text with missing markers and numbers masked."""
     masked = strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulary.functions.text import tokens
+from tabulary.functions.text import word_hashes
 from tabulary.operators.search import SCORE_DIGITS
 from tabulary.session import in_arrow, written
 
@@ -34,8 +34,7 @@ def word_sets(texts: DataFrame, key: str, text: str) -> DataFrame:
 
     Texts without words or without a key are left out.
     """
-    words = F.transform(tokens(F.coalesce(F.col(text), F.lit(""))), lambda word: F.xxhash64(word))
-    sets = texts.filter(F.col(key).isNotNull()).select(F.col(key), F.array_distinct(words).alias("words"))
+    sets = texts.filter(F.col(key).isNotNull()).select(F.col(key), word_hashes(F.col(text)).alias("words"))
     return sets.filter(F.size("words") > 0)
 
 

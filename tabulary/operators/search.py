@@ -11,10 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulary.functions.columns import quoted, small_side
-from tabulary.functions.text import keyword_score
+from tabulary.functions.columns import BROADCAST_ROWS, quoted, small_side
+from tabulary.functions.text import keyword_score, overlap, word_hashes
 from tabulary.operators.questions import expand_query, search_type
-from tabulary.session import in_arrow
+from tabulary.session import in_arrow, written
 
 QUERY_BYTES = 64 * 1024 * 1024  # query vectors a task holds at once
 TILE_CELLS = 2_000_000  # similarities a task holds at once
@@ -270,18 +270,21 @@ def hybrid_search(
 
     ``queries`` carries ``query_text`` besides its vector; weights may be query columns.
     """
-    hits = semantic_search(chunks, queries, candidates_for(n, most_candidates), **groups)
+    filled = chunks.filter(F.length("document") > 0)
+    hits = written(vector_topk(filled, queries, candidates_for(n, most_candidates), **groups), "hits")
     weights = queries.select(
         F.col("query_id"),
         F.col("query_text"),
         _number(semantic_weight).alias("_ws"),
         _number(keyword_weight).alias("_wk"),
     )
+    scored = _with_overlap(hits, weights, filled.drop("embedding"))
     if keyword_hits is not None:
-        hits = hits.unionByName(_by_keywords(chunks, queries, keyword_hits, hits, **groups))
-    scored = hits.join(small_side(weights), "query_id").withColumn(
-        "keyword_score", keyword_score(F.col("query_text"), F.col("document"))
-    )
+        more = _by_keywords(chunks, queries, keyword_hits, hits, **groups)
+        more = more.join(small_side(weights), "query_id").withColumn(
+            "keyword_score", keyword_score(F.col("query_text"), F.col("document"))
+        )
+        scored = scored.unionByName(more.select(*scored.columns))
     combined = F.col("_ws") * F.col("similarity") + F.col("_wk") * F.col("keyword_score")
     scored = scored.withColumn("combined_score", F.round(combined, SCORE_DIGITS))
     order = W.partitionBy("query_id").orderBy(
@@ -292,10 +295,28 @@ def hybrid_search(
         .filter(F.col("_place") <= n)
         .withColumnRenamed("similarity", "semantic_score")
         .withColumn("rank", F.col("_place"))
-        .drop("_place", "_ws", "_wk", "query_text")
+        .drop("_place", "_ws", "_wk")
     )
 
 
+def _with_overlap(hits: DataFrame, weights: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits with the columns of their chunk and ``keyword_score``.
+
+    The texts of few hits are compared where the chunks are. Of many hits each chunk's words are
+    found once and joined last, so no text is moved or read again for each of its hits.
+    """
+    columns = ["query_id", "id", "rank", "similarity", *(c for c in chunks.columns if c != "id")]
+    if hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        found = small_side(hits).join(chunks, "id").join(small_side(weights), "query_id")
+        score = keyword_score(F.col("query_text"), F.col("document"))
+    else:
+        asked = weights.withColumn("_asked", word_hashes(F.col("query_text"))).drop("query_text")
+        held = chunks.withColumn("_held", word_hashes(F.col("document")))
+        found = hits.join(small_side(asked), "query_id").join(held, "id")
+        score = overlap(F.col("_held"), F.col("_asked"))
+    return found.select(*columns, "_ws", "_wk", score.alias("keyword_score"))
+
+
 def _by_keywords(
     chunks: DataFrame,
     queries: DataFrame,
@@ -311,7 +332,12 @@ def _by_keywords(
         (F.col(query_group) if query_group else F.lit(None)).cast("string").alias("_wanted"),
     )
     new = keyword_hits.select("query_id", "id").join(hits.select("query_id", "id"), ["query_id", "id"], "left_anti")
-    pairs = new.join(asked, "query_id").join(chunks, "id")
+    new = written(new, "pairs")
+    if new.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        # Few pairs go to the chunks, whose texts and vectors stay where they are.
+        pairs = small_side(new).join(chunks, "id").join(small_side(asked), "query_id")
+    else:
+        pairs = new.join(small_side(asked), "query_id").join(chunks, "id")
     if vector_group:
         pairs = pairs.filter(F.col("_wanted").isNull() | (F.col("_wanted") == F.col(vector_group)))
     vector = F.col("embedding").cast("array<double>")
@@ -323,7 +349,7 @@ def _by_keywords(
     cosine = F.when(size > 0, dot(F.col("_q"), vector) / size).otherwise(0.0)
     similarity = F.round((1 + F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))) / 2, SCORE_DIGITS)
     return pairs.withColumn("similarity", similarity).withColumn("rank", F.lit(None).cast("int")).select(
-        *hits.columns
+        *hits.columns, *(c for c in chunks.columns if c not in ("id", "embedding"))
     )
 
 

@@ -6,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tabulary.functions import columns
 from tabulary.functions.text import keyword_score, preprocess_text, row_to_text
 from tabulary.operators import collections, search, vector_index
 from tabulary.operators.embed import TextEmbedder, embedded_rows, row_search, text_search
@@ -356,3 +357,24 @@ def test_collections(spark, tmp_path):
     assert left.count() == 2
     info = {r["collection"]: r["n_documents"] for r in collections.collection_info(stored).collect()}
     assert info == {"c1": 2, "c2": 1}
+
+
+def test_many_hits_move_no_texts_to_their_queries(spark, monkeypatch):
+    texts = [f"block {n} of {' '.join(f'w{(n * 7 + k) % 90}' for k in range(60))}" for n in range(40)]
+    store = spark.createDataFrame([(n, t, "s") for n, t in enumerate(texts)], "id long, document string, source string")
+    asked = spark.createDataFrame(
+        [(n, f"w{n % 95} w{n % 31} Block") for n in range(60)] + [(60, None), (61, "")], "query_id long, query_text string"
+    )
+    stored = TextEmbedder().fit(store).embed(store)
+    asked = TextEmbedder().fit(store).embed(asked, "query_text", "query_vector")
+    few = search.hybrid_search(stored, asked, 5)
+    for module in (columns, search):
+        monkeypatch.setattr(module, "BROADCAST_ROWS", 20)
+    many = search.hybrid_search(stored, asked, 5)
+    assert many.columns == few.columns
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
+    plan = spark._jvm.PythonSQLUtils.explainString(
+        many.select("query_id", "id", "rank", "combined_score")._jdf.queryExecution(), "formatted"
+    )
+    moved = re.findall(r"Input \[\d+\]: \[([^\]]*)\]\nArguments: hashpartitioning\(query_id", plan)
+    assert moved and not any("document" in columns_ for columns_ in moved)
