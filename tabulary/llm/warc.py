@@ -32,6 +32,8 @@ EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 #: Bytes of payload wanted in a file, and never to be exceeded unless by a single record, as a
 #: file is read as a whole.
 FILE_BYTES, MOST_FILE_BYTES = 16 << 20, 512 << 20
+#: Pages made into records at once.
+ROWS = 256
 
 
 def payload_digest(payload: bytes) -> str:
@@ -108,6 +110,19 @@ def classified(pages: DataFrame, least_bytes: int) -> DataFrame:
     )
 
 
+def recorded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The records of classified pages, a few at a time, as each is held several times over."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            out = []
+            for page_id, url, html, digest, kept_id, response in zip(
+                *(column.to_pylist() for column in batch.slice(start, ROWS).columns), strict=True
+            ):
+                stated = base64.b32encode(bytes.fromhex(digest)).decode()
+                out.append(record(page_id, url or "", html.encode(), stated, response, kept_id))
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+
+
 def write(
     df: DataFrame,
     path: str,
@@ -126,17 +141,7 @@ def write(
     chosen = picked(df, page_id=id_col, url=url_col, html=html_col)
     rows = classified(chosen, least_bytes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for page_id, url, html, digest, kept_id, response in zip(
-                *(column.to_pylist() for column in batch.columns), strict=True
-            ):
-                stated = base64.b32encode(bytes.fromhex(digest)).decode()
-                out.append(record(page_id, url or "", html.encode(), stated, response, kept_id))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
-
-    records = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    records = rows.mapInArrow(recorded, "value binary").select(F.col("value").cast("string").alias("value"))
     size = F.octet_length("html") + 1024
     mean, most = chosen.agg(F.avg(size), F.max(size)).first()
     per_file = max(1, int(min(FILE_BYTES // (mean or 1024), MOST_FILE_BYTES // (most or 1024))))

@@ -5,6 +5,7 @@ import hashlib
 import random
 from itertools import chain
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -66,3 +67,13 @@ def test_url_keys():
     assert warc.url_key("http://www.Example.com/A?b=C") == "com,example)/a?b=c"
     assert warc.url_key("https://m.example.com:8080") == "com,example,m:8080)/"
     assert warc.url_key("not a url") == ")not a url"
+
+
+def test_records_are_made_a_few_at_a_time():
+    n = 3 * warc.ROWS + 1
+    names = ["page_id", "url", "html", "digest", "kept_id", "response"]
+    columns = [[*range(n)], ["http://a.de/"] * n, ["<p>"] * n, [hashlib.sha1(b"<p>").hexdigest()] * n, [None] * n, [True] * n]
+    made = list(warc.recorded(iter([pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)])))
+    assert [batch.num_rows for batch in made] == [warc.ROWS] * 3 + [1]
+    found = [int(data["page_id"]) for batch in made for v in batch.column(0).to_pylist() for data in warc.parsed(v)]
+    assert found == [*range(n)]
