@@ -11,12 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabulary.functions import words
 from tabulary.functions.text import row_to_text
 from tabulary.operators.search import hybrid_search, vector_topk
 from tabulary.session import in_arrow, reach_package, written
 
 FEATURES = 512
-WORD = re.compile(r"\w+")
+WORD, GAP = re.compile(r"\w+"), re.compile(r"\W")
+#: Texts whose features are counted at once.
+ROWS = 1024
 #: Words whose feature a worker remembers, and the longest of them.
 WORDS_KEPT, LONGEST_KEPT = 300_000, 64
 
@@ -28,8 +31,8 @@ class _Features(dict):
         super().__init__()
         self.features = features
 
-    def __missing__(self, word: str) -> int:
-        digest = hashlib.md5(word.encode(), usedforsecurity=False).digest()
+    def __missing__(self, word: bytes) -> int:
+        digest = hashlib.md5(word, usedforsecurity=False).digest()
         feature = int.from_bytes(digest[:2], "big") % self.features
         if len(word) <= LONGEST_KEPT:
             if len(self) >= WORDS_KEPT:
@@ -37,10 +40,17 @@ class _Features(dict):
             self[word] = feature
         return feature
 
-    def counts(self, text: str | None) -> np.ndarray:
-        found = WORD.findall(text or "")
-        places = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
-        return np.bincount(places, minlength=self.features)
+    def counts(self, batch: pa.Array) -> Iterator[np.ndarray]:
+        """How often each text has words of each feature, for ``ROWS`` texts at a time."""
+        for start in range(0, len(batch), ROWS):
+            texts = batch.slice(start, ROWS).to_pylist()
+            found = np.zeros((len(texts), self.features), dtype=np.int32)
+            for numbers, held in words.parts(texts, GAP):
+                rows, own, different = words.of_texts(held, WORD.pattern)
+                places = np.fromiter(map(self.__getitem__, different), np.int64, len(different))
+                cells = rows * self.features + places[own]
+                found[numbers] += np.bincount(cells, minlength=len(held) * self.features).reshape(len(held), -1)
+            yield found
 
 
 class TextEmbedder:
@@ -66,8 +76,8 @@ class TextEmbedder:
             known, total, rows = _Features(features), np.zeros(features, dtype=np.int64), 0
             for batch in batches:
                 rows += batch.num_rows
-                for one in batch.column(0).to_pylist():
-                    total += known.counts(one) > 0
+                for counts in known.counts(batch.column(0)):
+                    total += (counts > 0).sum(axis=0)
             held = pa.array([[rows, *total.tolist()]], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([held], names=["held"])
 
@@ -92,11 +102,11 @@ class TextEmbedder:
             known = _Features(features)
             for batch in batches:
                 rows = np.zeros((len(batch), features), dtype=np.float32)
-                for number, one in enumerate(batch.to_pylist()):
-                    weighted = known.counts(one) * weights
-                    length = np.sqrt((weighted * weighted).sum())
-                    if length:
-                        rows[number] = weighted / length
+                for number, counts in enumerate(known.counts(batch)):
+                    weighted = counts * weights
+                    lengths = np.sqrt((weighted * weighted).sum(axis=1))[:, None]
+                    part = rows[number * ROWS : (number + 1) * ROWS]
+                    np.divide(weighted, lengths, out=part, where=lengths > 0, casting="same_kind")
                 ends = np.arange(len(batch) + 1, dtype=np.int32) * features
                 yield pa.ListArray.from_arrays(pa.array(ends), pa.array(rows.ravel()))
 

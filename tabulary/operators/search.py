@@ -18,6 +18,7 @@ from tabulary.session import in_arrow, written
 
 QUERY_BYTES = 64 * 1024 * 1024  # query vectors a task holds at once
 TILE_CELLS = 2_000_000  # similarities a task holds at once
+VECTOR_CELLS = 1 << 20  # numbers of vectors a task turns into doubles at once
 SCORE_DIGITS = 9  # scores closer than this count as equal; the id decides
 
 # Weight of meaning against words per kind of search, the boost of chunks
@@ -66,9 +67,12 @@ def vector_topk(
         F.col("query_vector").cast("array<double>").alias("vector"),
         (F.col(query_group) if query_group else F.lit(None)).cast("string").alias("group"),
     ).filter(F.size("vector") > 0)
+    # Tasks make doubles of what they get; floats take half the room on the way there.
+    vector, kind = F.col("embedding"), vectors.schema["embedding"].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
     stored = vectors.select(
         "id",
-        F.col("embedding").cast("array<double>").alias("vector"),
+        (vector if single else vector.cast("array<double>")).alias("vector"),
         (F.col(vector_group) if vector_group else F.lit(None)).cast("string").alias("group"),
     ).filter(F.size("vector") > 0)
     size = asked.agg(F.coalesce(F.sum(F.size("vector").cast("long") * 8), F.lit(0))).first()[0]
@@ -80,6 +84,7 @@ def vector_topk(
     own, others = F.pmod(F.xxhash64("query_id"), F.lit(blocks)), F.sequence(F.lit(0), F.lit(tiles - 1))
     asked = asked.withColumn("block", own.cast("int")).withColumn("tile", F.explode(others))
     own, others = F.pmod(F.xxhash64("id"), F.lit(tiles)), F.sequence(F.lit(0), F.lit(blocks - 1))
+    stored = stored.withColumn("vector", F.col("vector").cast("array<double>"))
     stored = stored.withColumn("tile", own.cast("int")).withColumn("block", F.explode(others))
     return ranked(met(stored, asked, ["block", "tile"], k), k)
 
@@ -124,6 +129,11 @@ class _Best:
         self.ids = np.full((count, k), "" if textual else 0, dtype="U1" if textual else "int64")
 
     def add(self, vectors: pa.RecordBatch) -> None:
+        step = max(1, VECTOR_CELLS // max(1, self.matrix.shape[1]))
+        for start in range(0, vectors.num_rows, step):
+            self._add(vectors.slice(start, step))
+
+    def _add(self, vectors: pa.RecordBatch) -> None:
         found = vectors.column("id").to_numpy(zero_copy_only=False)
         found = found.astype(str) if self.textual else found.astype("int64")
         data = _unit_rows(_matrix(vectors.column("vector"), vectors.num_rows))

@@ -3,13 +3,14 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tabulary.functions import columns
+from tabulary.functions import columns, words
 from tabulary.functions.text import keyword_score, preprocess_text, row_to_text
 from tabulary.operators import collections, search, vector_index
-from tabulary.operators.embed import TextEmbedder, embedded_rows, row_search, text_search
+from tabulary.operators.embed import TextEmbedder, _Features, embedded_rows, row_search, text_search
 from tabulary.operators.vector_index import VectorIndex, vector_topk_approx
 from tabulary.plans import searching
 
@@ -331,6 +332,41 @@ def test_row_search_matches_brute_force(spark):
     assert got == {"q1": expected[0], "q2": expected[1]}
 
 
+@pytest.mark.parametrize("piece", [5, 1 << 20])
+def test_words_of_many_texts_are_counted_at_once(monkeypatch, piece):
+    monkeypatch.setattr(words, "PIECE", piece)
+    letters = "ab_ \n\t\u00e9\u65e5\u0301\U00020000\u00bd."
+    source = np.random.default_rng(3)
+    texts = ["".join(source.choice(list(letters), size)) for size in source.integers(0, 60, 1500)]
+    texts += ["", None, " ", "a", "a" * 50 + " b"]
+    features = _Features(64)
+    found = list(features.counts(pa.array(texts, pa.string())))
+    expected = np.zeros((len(texts), 64), dtype=int)
+    for number, text in enumerate(texts):
+        for word in re.findall(r"\w+", text or ""):
+            expected[number, int.from_bytes(hashlib.md5(word.encode()).digest()[:2], "big") % 64] += 1
+    assert [len(part) for part in found] == [1024, len(texts) - 1024]
+    assert (np.vstack(found) == expected).all()
+    assert not list(features.counts(pa.array([], pa.string())))
+
+
+def test_floats_are_sent_as_floats_and_multiplied_in_parts(spark, monkeypatch, data):
+    monkeypatch.setattr(search, "VECTOR_CELLS", 16 * 7)
+    vectors, queries = data
+    stored = spark.createDataFrame(
+        [(n, row.tolist()) for n, row in enumerate(vectors)], "id long, embedding array<float>"
+    )
+    asked = spark.createDataFrame(
+        [(n, row.tolist()) for n, row in enumerate(queries)], "query_id long, query_vector array<float>"
+    )
+    found = search.vector_topk(stored, asked, 5)
+    assert "cast(embedding" not in found._jdf.queryExecution().optimizedPlan().toString()
+    hits = {}
+    for row in found.orderBy("query_id", "rank").collect():
+        hits.setdefault(row["query_id"], []).append(row["id"])
+    assert hits == brute_force(list(range(len(vectors))), vectors.astype(float), queries.astype(float), 5)
+
+
 def test_own_model_slot(spark):
     @F.pandas_udf("array<float>")
     def model(texts: pd.Series) -> pd.Series:
